@@ -121,3 +121,92 @@ ORACLE["cf_top8"] = cf_query("interactions", """
 SELECT user_id, CAST(rank AS BIGINT) AS rank, product_id, score FROM top8""")
 ORACLE["recommend_users"] = cf_query("interactions", "SELECT * FROM recs")
 ORACLE["recommend_users_orders"] = cf_query("interactions_orders", "SELECT * FROM recs")
+
+
+# ------------------------------------------------------------------ catalog
+ENRICHED = """enriched AS (
+  SELECT p.*, b.id AS brand_id_ref, b.name AS brand_name, c.id AS category_id_ref,
+         c.code AS category_code, c.name AS category_name
+  FROM products p LEFT JOIN brands b ON p.brand_id = b.id
+  LEFT JOIN categories c ON p.category_id = c.id)"""
+
+
+def iso(col: str) -> str:
+    return (f"strftime({col}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({col}) % 1000000 <> 0 "
+            f"THEN '.' || lpad(CAST(epoch_us({col}) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || 'Z'")
+
+
+PLACEHOLDER = "'https://via.placeholder.com/120'"
+
+
+def chat_sql(where: str) -> str:
+    return with_views(["products", "categories"]) + f"""
+SELECT p.id, p.name, p.description, p.gender, p.price,
+       CASE WHEN coalesce(length(p.thumbnail), 0) > 0 THEN p.thumbnail ELSE {PLACEHOLDER} END AS thumbnail,
+       coalesce(lower(c.name), 'khác') AS category
+FROM products p LEFT JOIN categories c ON c.id = p.category_id
+WHERE p.status {where}"""
+
+
+def first_cat(name: str) -> str:
+    return f"(SELECT min(id) FROM categories WHERE lower(name) = lower('{name}'))"
+
+
+ORACLE["catalog_enriched"] = with_views(["products", "brands", "categories"], ENRICHED) + "SELECT * FROM enriched"
+ORACLE["category_dim"] = with_views(["categories"]) + "SELECT id, lower(name) AS name FROM categories"
+ORACLE["category_by_name"] = with_views(["categories"]) + (
+    "SELECT lower(name) AS category, min(id) AS id FROM categories GROUP BY 1")
+ORACLE["category_label"] = with_views(["products", "categories"]) + """
+SELECT p.id, p.category_id, coalesce(lower(c.name), 'khác') AS category
+FROM products p LEFT JOIN categories c ON c.id = p.category_id"""
+ORACLE["missing_required_categories"] = with_views(["categories"]) + """
+SELECT name FROM (VALUES ('áo'), ('quần'), ('giày')) r(name)
+WHERE name NOT IN (SELECT lower(name) FROM categories)"""
+ORACLE["catalog_counts"] = with_views(["products", "categories"]) + """
+SELECT 'categories' AS metric, count(*) AS n FROM categories
+UNION ALL SELECT 'products', count(*) FROM products
+UNION ALL SELECT 'active', count(*) FILTER (WHERE status) FROM products
+UNION ALL SELECT 'active_unpriced', count(*) FILTER (WHERE status AND price IS NULL) FROM products"""
+ORACLE["catalog_filter"] = chat_sql(
+    f"AND p.category_id = {first_cat('Áo')} AND p.gender = 'FEMALE' AND p.price <= 950.0")
+ORACLE["filter_category"] = chat_sql(f"AND p.category_id = {first_cat('Quần')}")
+ORACLE["filter_gender"] = chat_sql("AND p.gender = 'MALE'")
+ORACLE["filter_price"] = chat_sql("AND p.price <= 930.5")
+ORACLE["filter_gender_unisex"] = chat_sql(
+    "AND p.gender IS NOT NULL AND p.gender <> '' AND upper(p.gender) IN ('MALE', 'UNISEX')")
+ORACLE["product_record"] = with_views(["products", "brands", "categories"], ENRICHED) + f"""
+SELECT id,
+       coalesce({iso('created_at')}, '2025-01-01T00:00:00.000Z') AS created_at,
+       coalesce(created_by, 'system') AS created_by,
+       coalesce({iso('updated_at')}, '2025-01-01T00:00:00.000Z') AS updated_at,
+       coalesce(updated_by, 'system') AS updated_by,
+       coalesce(name, '') AS name, coalesce(description, '') AS description,
+       coalesce(price, 0.0) AS price, coalesce(gender, 'UNISEX') AS gender,
+       coalesce(sold, 0) AS sold, coalesce(rating, 0.0) AS rating, coalesce(status, true) AS status,
+       coalesce(thumbnail, '') AS thumbnail, slider,
+       coalesce(category_id, '') AS category_id, coalesce(brand_id, '') AS brand_id,
+       coalesce(brand_id_ref, '') AS brand_ref_id, coalesce(brand_name, '') AS brand_name,
+       coalesce(category_id_ref, '') AS category_ref_id, coalesce(category_code, '') AS category_code,
+       coalesce(category_name, '') AS category_name
+FROM enriched"""
+ORACLE["product_dedup"] = with_views(["products"]) + """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at IS NULL, created_at, name) AS rn
+               FROM products) t""".replace("SELECT * FROM (", "SELECT * EXCLUDE (rn) FROM (") + " WHERE rn = 1"
+ORACLE["product_document"] = with_views(["products", "categories"]) + f"""
+SELECT coalesce(p.name, 'None') || ': ' || coalesce(p.description, 'None') AS page_content,
+       p.id, p.name, p.gender, p.price,
+       CASE WHEN coalesce(length(p.thumbnail), 0) > 0 THEN p.thumbnail ELSE {PLACEHOLDER} END AS thumbnail,
+       coalesce(lower(c.name), 'khác') AS category
+FROM products p LEFT JOIN categories c ON c.id = p.category_id WHERE p.status"""
+ORACLE["thumbnail_uri"] = with_views(["products"]) + f"""
+SELECT id,
+  CASE WHEN CAST(id AS BIGINT) % 7 = 0 AND coalesce(length(name), 0) > 0
+       THEN 'data:image/jpeg;base64,' || to_base64(encode(name))
+       WHEN coalesce(length(thumbnail), 0) > 0 THEN thumbnail
+       ELSE {PLACEHOLDER} END AS thumbnail
+FROM products"""
+ORACLE["request_status"] = with_views(["interactions"], matrix_cte("interactions")) + """
+SELECT r.user_id,
+       CASE WHEN r.user_id = -1 THEN 'anonymous'
+            WHEN r.user_id IN (SELECT user_id FROM m) THEN 'known' ELSE 'unknown' END AS status
+FROM (SELECT c_custkey AS user_id FROM customer UNION ALL SELECT -1) r"""

@@ -135,3 +135,133 @@ def q_recommend_users(spark, sf_dir):
 def q_recommend_users_orders(spark, sf_dir):
     """D4 on the order-line interactions (15k users, 20k products at sf0.1)."""
     return N.recommend_users(FX.interactions_orders(spark, sf_dir)).recs
+
+
+# ------------------------------------------------------------------ catalog
+from vitrine.functions import records as R  # noqa: E402
+from vitrine.operators import catalog as C  # noqa: E402
+
+
+def _enriched(spark, sf_dir):
+    return C.catalog_enriched(FX.products(spark, sf_dir), FX.brands(spark, sf_dir),
+                              FX.categories(spark, sf_dir))
+
+
+@query("catalog_enriched")
+def q_catalog_enriched(spark, sf_dir):
+    """Products with brand and category columns."""
+    return _enriched(spark, sf_dir)
+
+
+@query("category_dim")
+def q_category_dim(spark, sf_dir):
+    """S3: category id -> lower-cased name."""
+    return C.category_dim(FX.categories(spark, sf_dir))
+
+
+@query("category_by_name")
+def q_category_by_name(spark, sf_dir):
+    """Category name -> first id."""
+    return C.category_by_name(FX.categories(spark, sf_dir))
+
+
+@query("category_label")
+def q_category_label(spark, sf_dir):
+    """Every product's category label (default 'khác')."""
+    return C.category_label(FX.products(spark, sf_dir), FX.categories(spark, sf_dir))
+
+
+@query("missing_required_categories")
+def q_missing_required_categories(spark, sf_dir):
+    """Required categories absent from the catalog."""
+    return C.missing_required_categories(FX.categories(spark, sf_dir))
+
+
+@query("catalog_counts")
+def q_catalog_counts(spark, sf_dir):
+    """emptiness checks as (metric, n) rows."""
+    p = FX.products(spark, sf_dir)
+    cats = FX.categories(spark, sf_dir).agg(F.lit("categories").alias("metric"),
+                                            F.count(F.lit(1)).alias("n"))
+    prods = p.agg(F.count(F.lit(1)).alias("products"),
+                  F.count(F.when(F.col("status"), 1)).alias("active"),
+                  F.count(F.when(F.col("status") & F.col("price").isNull(), 1)).alias("active_unpriced"))
+    prods = prods.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).alias("n"))
+        for c in ("products", "active", "active_unpriced")])).alias("r")).select("r.*")
+    return cats.unionByName(prods)
+
+
+def _chat(spark, sf_dir, category=None, gender=None, max_price=None):
+    cats = FX.categories(spark, sf_dir)
+    return C.chat_products(C.catalog_filter(FX.products(spark, sf_dir), cats, category, gender,
+                                            max_price), cats)
+
+
+@query("catalog_filter")
+def q_catalog_filter(spark, sf_dir):
+    """Active 'Áo' for women up to 950."""
+    return _chat(spark, sf_dir, "Áo", "female", 950.0)
+
+
+@query("filter_category")
+def q_filter_category(spark, sf_dir):
+    """category resolved by name ('Quần')."""
+    return _chat(spark, sf_dir, category="Quần")
+
+
+@query("filter_gender")
+def q_filter_gender(spark, sf_dir):
+    """gender equality after validation ('male' -> MALE)."""
+    return _chat(spark, sf_dir, gender="male")
+
+
+@query("filter_price")
+def q_filter_price(spark, sf_dir):
+    """price ceiling."""
+    return _chat(spark, sf_dir, max_price=930.5)
+
+
+@query("filter_gender_unisex")
+def q_filter_gender_unisex(spark, sf_dir):
+    """post-filter gender == MALE or UNISEX over the unfiltered active catalog."""
+    return C.gender_or_unisex(_chat(spark, sf_dir), "MALE")
+
+
+@query("product_record")
+def q_product_record(spark, sf_dir):
+    """API product records with defaults."""
+    return C.product_record(_enriched(spark, sf_dir))
+
+
+@query("product_dedup")
+def q_product_dedup(spark, sf_dir):
+    """First row per product id."""
+    return C.product_dedup(FX.products(spark, sf_dir))
+
+
+@query("product_document")
+def q_product_document(spark, sf_dir):
+    """P3: '{name}: {description}' documents of the active catalog."""
+    return C.product_document(_chat(spark, sf_dir))
+
+
+@query("thumbnail_uri")
+def q_thumbnail_uri(spark, sf_dir):
+    """Text / binary thumbnails to URIs (every 7th product stores bytes)."""
+    p = FX.products(spark, sf_dir)
+    blob = F.when(F.col("id").cast("long") % 7 == 0, F.encode(F.col("name"), "UTF-8"))
+    return p.select("id", R.thumbnail_uri(F.col("thumbnail"), blob).alias("thumbnail"))
+
+
+@query("request_status")
+def q_request_status(spark, sf_dir):
+    """recommendation request dispatch for every customer and the anonymous id."""
+    from vitrine.sources.tables import read_table
+    users = M.user_product_matrix(FX.interactions(spark, sf_dir)).select("user_id").distinct()
+    req = (read_table(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("user_id"))
+           .unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("user_id"))))
+    j = req.join(users.withColumn("found", F.lit(True)), "user_id", "left")
+    status = (F.when(F.col("user_id") == -1, "anonymous")
+              .when(F.col("found").isNotNull(), "known").otherwise("unknown"))
+    return j.select("user_id", status.alias("status"))
