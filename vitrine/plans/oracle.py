@@ -210,3 +210,102 @@ SELECT r.user_id,
        CASE WHEN r.user_id = -1 THEN 'anonymous'
             WHEN r.user_id IN (SELECT user_id FROM m) THEN 'known' ELSE 'unknown' END AS status
 FROM (SELECT c_custkey AS user_id FROM customer UNION ALL SELECT -1) r"""
+
+
+# ------------------------------------------------------------------ text and vectors
+from vitrine.plans.oracle_views import stopword_sql_list  # noqa: E402
+
+SW = stopword_sql_list()
+
+
+def raw_tokens_sql(text: str) -> str:
+    return (f"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({text}, '')), "
+            f"'[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+'), lambda x: x <> '')")
+
+
+def clean_tokens_sql(text: str) -> str:
+    return f"list_filter({raw_tokens_sql(text)}, lambda x: x NOT IN ({SW}))"
+
+
+TOKS = f"toks AS (SELECT id, {clean_tokens_sql('description')} AS tokens FROM products)"
+VOCAB = "vocab AS (SELECT word, count(*) AS n FROM (SELECT unnest(tokens) AS word FROM toks) t GROUP BY 1)"
+WV = """wv AS (
+  SELECT v.word, e.vector FROM (
+    SELECT word, (row_number() OVER (ORDER BY n DESC, word) - 1) % (SELECT count(*) FROM vectors) AS vec_id
+    FROM vocab) v JOIN vectors e ON e.vec_id = v.vec_id)"""
+DVEC = """tc AS (SELECT id, word, count(*) AS cnt FROM (SELECT id, unnest(tokens) AS word FROM toks) t GROUP BY 1, 2),
+dx AS (
+  SELECT tc.id, g.i, sum(tc.cnt * wv.vector[g.i]) / sum(tc.cnt) AS x, sum(tc.cnt) AS c
+  FROM tc JOIN wv ON wv.word = tc.word,
+       LATERAL (SELECT unnest(range(1, len(wv.vector) + 1)) AS i) g
+  GROUP BY 1, 2),
+dmean AS (SELECT id, list(x ORDER BY i) AS vector, max(c) AS n_vocab_tokens FROM dx GROUP BY 1),
+dvec AS (
+  SELECT t.id, coalesce(d.vector, list_transform(range(64), lambda i: 0.0::DOUBLE)) AS vector,
+         CAST(coalesce(d.n_vocab_tokens, 0) AS BIGINT) AS n_vocab_tokens
+  FROM toks t LEFT JOIN dmean d ON d.id = t.id)"""
+TEXT_VECTORS = ["products", "vectors"]
+
+
+def vsummary(v: str) -> str:
+    return (f"CAST(len({v}) AS BIGINT) AS dims, "
+            f"round(sqrt(list_sum(list_transform({v}, lambda x: x * x))), 6) AS norm, "
+            f"round(list_sum({v}), 6) AS vsum, "
+            f"round(list_sum(list_transform({v}, lambda x, i: x * i)), 6) AS vcheck, "
+            f"list_bool_and(list_transform({v}, lambda x: x = 0.0)) AS is_zero")
+
+
+ORACLE["tokens_clean"] = with_views(["products"], TOKS) + """
+SELECT id, CAST(len(tokens) AS BIGINT) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM toks"""
+ORACLE["text_joined"] = with_views([]) + f"""
+SELECT doc_id AS id, array_to_string({clean_tokens_sql('text')}, ' ') AS text FROM documents"""
+ORACLE["vocabulary"] = with_views(["products"], TOKS, VOCAB) + "SELECT * FROM vocab"
+ORACLE["stopword_dim"] = with_views([]) + f"""
+SELECT s.word, NOT regexp_matches(s.word, '\\s') AS active, CAST(coalesce(c.n, 0) AS BIGINT) AS corpus_count
+FROM (SELECT unnest([{SW}]) AS word) s
+LEFT JOIN (SELECT word, count(*) AS n FROM (SELECT unnest({raw_tokens_sql('text')}) AS word FROM documents) t
+           GROUP BY 1) c ON c.word = s.word"""
+ORACLE["word_vectors_fixture"] = with_views(TEXT_VECTORS, TOKS, VOCAB) + """
+SELECT word, n, (row_number() OVER (ORDER BY n DESC, word) - 1) % (SELECT count(*) FROM vectors) AS vec_id
+FROM vocab"""
+ORACLE["doc_vectors"] = with_views(TEXT_VECTORS, TOKS, VOCAB, WV, DVEC) + f"""
+SELECT id, n_vocab_tokens, {vsummary('vector')} FROM dvec"""
+ORACLE["zero_vectors"] = with_views(TEXT_VECTORS, TOKS, VOCAB, WV, DVEC) + """
+SELECT id FROM dvec WHERE list_bool_and(list_transform(vector, lambda x: x = 0.0))"""
+COS_PAIRS = """nv AS (SELECT id, vector, sqrt(list_inner_product(vector, vector)) AS nrm FROM dvec),
+cp AS (
+  SELECT a.id AS product_id, b.id AS other_id,
+         CASE WHEN a.nrm > 0 AND b.nrm > 0
+              THEN round(list_inner_product(a.vector, b.vector) / (a.nrm * b.nrm), 9) + 0.0
+              ELSE 0.0 END AS score
+  FROM nv a, nv b)"""
+ORACLE["similar_products"] = with_views(TEXT_VECTORS, TOKS, VOCAB, WV, DVEC, COS_PAIRS) + """
+SELECT product_id, CAST(rank AS BIGINT) AS rank, other_id AS similar_id, round(score, 6) AS similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, other_id) AS rank
+      FROM cp WHERE product_id <> other_id) t WHERE rank <= 6"""
+ORACLE["product_similarity"] = with_views(TEXT_VECTORS, TOKS, VOCAB, WV, DVEC, COS_PAIRS) + """
+SELECT product_id, other_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, other_id) AS rank
+      FROM cp) t WHERE rank <= 7"""
+ORACLE["vector_cosine"] = with_views(["vectors"]) + """
+SELECT a.vec_id, b.vec_id AS next_id,
+       round(CASE WHEN list_inner_product(a.vector, a.vector) > 0 AND list_inner_product(b.vector, b.vector) > 0
+                  THEN list_inner_product(a.vector, b.vector)
+                       / (sqrt(list_inner_product(a.vector, a.vector)) * sqrt(list_inner_product(b.vector, b.vector)))
+                  ELSE 0.0 END, 6) AS cosine
+FROM vectors a JOIN vectors b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM vectors)"""
+ORACLE["document_vectors"] = with_views(["products", "vectors"]) + """
+SELECT id, coalesce(name, 'None') || ': ' || coalesce(description, 'None') AS page_content,
+       CAST(id AS BIGINT) % (SELECT count(*) FROM vectors) AS vec_id
+FROM products WHERE status"""
+ORACLE["phrase_bigrams"] = with_views([]) + f"""
+dt AS (SELECT {clean_tokens_sql('text')} AS tokens FROM documents),
+uni AS (SELECT word, count(*) AS n FROM (SELECT unnest(tokens) AS word FROM dt) t GROUP BY 1),
+big AS (
+  SELECT w1, w2, count(*) AS n FROM (
+    SELECT tokens[i] AS w1, tokens[i + 1] AS w2
+    FROM dt, LATERAL (SELECT unnest(range(1, len(tokens))) AS i) g) t
+  GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT b.w1, b.w2, b.n,
+       round(ln(CAST(b.n AS DOUBLE) * (SELECT sum(n) FROM uni) / (CAST(u1.n AS DOUBLE) * u2.n)), 6) AS pmi
+FROM big b JOIN uni u1 ON u1.word = b.w1 JOIN uni u2 ON u2.word = b.w2""".replace("\ndt AS", "WITH dt AS", 1)

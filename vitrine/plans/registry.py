@@ -265,3 +265,142 @@ def q_request_status(spark, sf_dir):
     status = (F.when(F.col("user_id") == -1, "anonymous")
               .when(F.col("found").isNotNull(), "known").otherwise("unknown"))
     return j.select("user_id", status.alias("status"))
+
+
+# ------------------------------------------------------------------ text and vectors
+from vitrine.functions.text import raw_tokens  # noqa: E402
+from vitrine.operators import text as TX  # noqa: E402
+from vitrine.operators import vectors as V  # noqa: E402
+from vitrine.sources.stopwords import stopword_frame, stopword_list  # noqa: E402
+from vitrine.sources.tables import read_table  # noqa: E402
+
+
+def _product_tokens(spark, sf_dir):
+    return TX.tokens_clean(FX.products(spark, sf_dir), stopword_list())
+
+
+def _doc_tokens(spark, sf_dir):
+    return TX.tokens_clean(read_table(spark, sf_dir, "documents", "doc_id", "text"), stopword_list(),
+                           id_col="doc_id", text_col="text")
+
+
+def _fixture_word_vectors(spark, sf_dir, tokens=None):
+    tokens = tokens if tokens is not None else _product_tokens(spark, sf_dir)
+    return TX.table_word_vectors(TX.vocabulary(tokens), FX.embedding_table(spark, sf_dir))
+
+
+def _product_vectors(spark, sf_dir):
+    tokens = _product_tokens(spark, sf_dir)
+    return TX.doc_vectors(tokens, _fixture_word_vectors(spark, sf_dir, tokens), dim=64)
+
+
+@query("tokens_clean")
+def q_tokens_clean(spark, sf_dir):
+    """Cleaned description tokens of every product."""
+    t = _product_tokens(spark, sf_dir)
+    return t.select("id", F.size("tokens").cast("long").alias("n_tokens"),
+                    F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("text_joined")
+def q_text_joined(spark, sf_dir):
+    """X3 (split=False): every document's cleaned text re-joined."""
+    return TX.text_joined(read_table(spark, sf_dir, "documents", "doc_id", "text"), stopword_list(),
+                          "doc_id", "text")
+
+
+@query("vocabulary")
+def q_vocabulary(spark, sf_dir):
+    """Corpus word counts of the product descriptions."""
+    return TX.vocabulary(_product_tokens(spark, sf_dir))
+
+
+@query("stopword_dim")
+def q_stopword_dim(spark, sf_dir):
+    """The stopword dimension with each word's frequency in the documents."""
+    docs = read_table(spark, sf_dir, "documents", "text")
+    words = stopword_list()
+    hits = (docs.select(F.explode(raw_tokens(F.col("text"))).alias("word"))
+            .where(F.col("word").isin(words)).groupBy("word").agg(F.count(F.lit(1)).alias("corpus_count")))
+    dim = stopword_frame(spark).withColumn("active", ~F.col("word").rlike(r"\s"))
+    return dim.join(F.broadcast(hits), "word", "left").select(
+        "word", "active", F.coalesce("corpus_count", F.lit(0)).cast("long").alias("corpus_count"))
+
+
+@query("word_vectors_fixture")
+def q_word_vectors_fixture(spark, sf_dir):
+    """Table-given word vectors: word of corpus rank r -> embedding r % n."""
+    tokens = _product_tokens(spark, sf_dir)
+    n = FX.embedding_table(spark, sf_dir).count()
+    from vitrine.operators.ranking import global_rank
+    r = global_rank(TX.vocabulary(tokens), [F.col("n").desc(), F.col("word").asc()])
+    return r.select("word", "n", ((F.col("rnk") - 1) % n).alias("vec_id"))
+
+
+@query("doc_vectors")
+def q_doc_vectors(spark, sf_dir):
+    """Product mean vectors (digests of the 64 values)."""
+    dv = _product_vectors(spark, sf_dir)
+    return dv.select("id", "n_vocab_tokens", *TX.vector_summary(dv))
+
+
+@query("zero_vectors")
+def q_zero_vectors(spark, sf_dir):
+    """products whose vector is all zeros (no in-vocabulary token)."""
+    dv = _product_vectors(spark, sf_dir)
+    return dv.where(F.forall("vector", lambda x: x == 0.0)).select("id")
+
+
+@query("similar_products")
+def q_similar_products(spark, sf_dir):
+    """Six most similar products per product (self excluded)."""
+    sp = V.similar_products(_product_vectors(spark, sf_dir))
+    return sp.select("product_id", "rank", "similar_id", F.round("score", 6).alias("similarity"))
+
+
+@query("product_similarity")
+def q_product_similarity(spark, sf_dir):
+    """Blocked all-pairs cosine, top 7 per product including itself."""
+    dv = _product_vectors(spark, sf_dir)
+    t = V.blocked_topk(dv, dv, lkey="id", rkey="id", k=7)
+    return t.select(F.col("left_key").alias("product_id"), F.col("right_key").alias("other_id"),
+                    F.col("pos").cast("long").alias("rank"), F.round("score", 6).alias("similarity"))
+
+
+@query("vector_cosine")
+def q_vector_cosine(spark, sf_dir):
+    """Cosine between each embedding and the next one (array expressions)."""
+    e = FX.embedding_table(spark, sf_dir)
+    n = e.count()
+    a = e.select(F.col("vec_id"), ((F.col("vec_id") + 1) % n).alias("next_id"), F.col("vector").alias("va"))
+    b = e.select(F.col("vec_id").alias("next_id"), F.col("vector").alias("vb"))
+    return a.join(b, "next_id").select("vec_id", "next_id",
+                                       F.round(V.cosine_expr(F.col("va"), F.col("vb")), 6).alias("cosine"))
+
+
+@query("document_vectors")
+def q_document_vectors(spark, sf_dir):
+    """Documents of the active catalog with their vector ids (computed once)."""
+    from vitrine.operators import catalog as C2
+    docs = C2.product_document(_chat(spark, sf_dir))
+    n = FX.embedding_table(spark, sf_dir).count()
+    return docs.select("id", "page_content", (F.col("id").cast("long") % n).alias("vec_id"))
+
+
+@query("phrase_bigrams")
+def q_phrase_bigrams(spark, sf_dir):
+    """Corpus bigrams with PMI over the whole documents table."""
+    return TX.phrase_bigrams(_doc_tokens(spark, sf_dir), min_count=5)
+
+
+@query("word_vectors")
+def q_word_vectors(spark, sf_dir):
+    """Spark ML Word2Vec (100-d, window 5, min count 1) saved and reread."""
+    from vitrine.session import scratch_path
+    tokens = _product_tokens(spark, sf_dir)
+    model = TX.train_word2vec(tokens, partitions=4)
+    path = scratch_path(spark, "word2vec")
+    model.write().overwrite().save(path)
+    TX.model_word_vectors(model).write.mode("overwrite").parquet(path + "-vectors")
+    wv = spark.read.parquet(path + "-vectors")
+    return wv.select("word", F.size("vector").cast("long").alias("dims"))
