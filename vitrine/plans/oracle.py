@@ -309,3 +309,259 @@ big AS (
 SELECT b.w1, b.w2, b.n,
        round(ln(CAST(b.n AS DOUBLE) * (SELECT sum(n) FROM uni) / (CAST(u1.n AS DOUBLE) * u2.n)), 6) AS pmi
 FROM big b JOIN uni u1 ON u1.word = b.w1 JOIN uni u2 ON u2.word = b.w2""".replace("\ndt AS", "WITH dt AS", 1)
+
+
+# ------------------------------------------------------------------ dialog
+from vitrine.operators import dialog as DL  # noqa: E402  (fixed answer texts)
+from vitrine.plans.oracle_views import lit  # noqa: E402
+
+STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def strip(x: str) -> str:
+    return STRIP.format(x=x)
+
+
+NUMK = "('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT')"
+REPLY_CTES = [
+    f"""ra AS (
+  SELECT question_id, attempt,
+         {strip("regexp_replace(regexp_replace(" + strip("raw") + ", '^\\x{FEFF}', ''), '^```json\\n|\\n```$', '', 'g')")} AS clean
+  FROM model_replies)""",
+    """rj AS (
+  SELECT *, (length(clean) > 0 AND clean LIKE '{%' AND clean LIKE '%}') AS shape_ok,
+         CASE WHEN json_valid(clean) THEN CAST(clean AS JSON) END AS j FROM ra)""",
+    """rk AS (
+  SELECT *, json_type(j, '$.gender') AS gk, json_type(j, '$.parts') AS pk, json_type(j, '$.max_price') AS mk,
+         json_extract_string(j, '$.gender') AS gs, json_extract_string(j, '$.max_price') AS ps FROM rj)""",
+    f"""rf AS (
+  SELECT *, (gk IS NULL OR gk = 'NULL' OR (gk IN {NUMK} AND TRY_CAST(gs AS DOUBLE) = 0)
+             OR (gk = 'BOOLEAN' AND gs = 'false') OR (gk = 'VARCHAR' AND gs = '')
+             OR (gk = 'ARRAY' AND json_array_length(j, '$.gender') = 0)
+             OR (gk = 'OBJECT' AND gs = '{{}}')) AS gfalsy FROM rk)""",
+    f"""rp AS (
+  SELECT question_id, attempt, clean, shape_ok,
+         coalesce(shape_ok AND j IS NOT NULL AND (gfalsy OR gk = 'VARCHAR') AND (pk IS NULL OR pk = 'ARRAY'),
+                  false) AS valid,
+         json_extract_string(j, '$.intent') AS intent, json_extract_string(j, '$.category') AS category,
+         CASE WHEN gfalsy THEN '' WHEN upper(gs) IN ('MALE', 'FEMALE', 'UNISEX') THEN gs ELSE '' END AS gender,
+         CASE WHEN mk = 'VARCHAR' THEN TRY_CAST(ps AS DOUBLE) WHEN mk IN {NUMK} THEN CAST(ps AS DOUBLE) END
+           AS max_price,
+         coalesce(CASE WHEN mk = 'VARCHAR' THEN length(ps) > 0 WHEN mk IN {NUMK} THEN CAST(ps AS DOUBLE) <> 0 END,
+                  false) AS price_filter,
+         CASE WHEN pk IS NULL THEN CAST([] AS VARCHAR[])
+              WHEN pk = 'ARRAY' THEN list_slice(json_extract_string(j, '$.parts[*]'), 1, 3) END AS parts
+  FROM rf)""",
+    """fv AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY attempt) AS rn
+    FROM rp WHERE valid AND attempt <= 3) t WHERE rn = 1)""",
+    """pq AS (
+  SELECT q.question_id, q.question,
+         CASE WHEN f.attempt IS NOT NULL THEN 'model' ELSE 'fallback' END AS source,
+         CASE WHEN f.attempt IS NOT NULL THEN f.intent
+              WHEN contains(lower(q.question), 'áo') AND contains(lower(q.question), 'nam')
+              THEN 'gợi ý sản phẩm' END AS intent,
+         CASE WHEN f.attempt IS NOT NULL THEN f.category
+              WHEN contains(lower(q.question), 'áo') AND contains(lower(q.question), 'nam') THEN 'áo' END
+           AS category,
+         CASE WHEN f.attempt IS NOT NULL THEN f.gender
+              WHEN contains(lower(q.question), 'áo') AND contains(lower(q.question), 'nam') THEN 'MALE' END
+           AS gender,
+         CASE WHEN f.attempt IS NOT NULL THEN f.max_price END AS max_price,
+         coalesce(CASE WHEN f.attempt IS NOT NULL THEN f.price_filter END, false) AS price_filter,
+         CASE WHEN f.attempt IS NOT NULL THEN f.parts ELSE CAST([] AS VARCHAR[]) END AS parts
+  FROM questions q LEFT JOIN fv f ON f.question_id = q.question_id)""",
+    """rt AS (
+  SELECT *,
+    CASE WHEN intent = 'trò chuyện' THEN 'chat'
+         WHEN intent = 'gợi ý set đồ' AND len(parts) > 0 THEN 'outfit'
+         WHEN intent = 'gợi ý sản phẩm' AND coalesce(length(category), 0) > 0 THEN 'single'
+         ELSE 'fallback' END AS route,
+    CASE WHEN upper(coalesce(gender, '')) IN ('MALE', 'FEMALE', 'UNISEX') THEN 'eq' ELSE 'up' END AS mode,
+    CASE WHEN upper(coalesce(gender, '')) IN ('MALE', 'FEMALE', 'UNISEX') THEN upper(gender) ELSE 'UNISEX' END
+      AS gkey
+  FROM pq)""",
+]
+PART_CTE = f"""pr0 AS (
+  SELECT *, contains(part, ':') AS has_colon,
+         lower({strip("split_part(part, ':', 1)")}) AS head,
+         {strip("regexp_replace(part, '^[^:]*:', '')")} AS desc0
+  FROM (SELECT question_id, question, gender, mode, gkey, price_filter, max_price, parts,
+               unnest(parts) AS part, generate_subscripts(parts, 1) AS pos
+        FROM rt WHERE route = 'outfit') t),
+pr AS (
+  SELECT *, CASE WHEN has_colon THEN head END AS part_category, CASE WHEN has_colon THEN desc0 END AS part_desc,
+         CASE WHEN NOT has_colon THEN NULL
+              WHEN contains(head, 'áo') OR contains(head, 'blazer') OR contains(head, 'sơ mi') THEN 'áo'
+              WHEN contains(head, 'quần') OR contains(head, 'pants') OR contains(head, 'jeans') THEN 'quần'
+              WHEN contains(head, 'giày') OR contains(head, 'sandal') OR contains(head, 'dép') THEN 'giày'
+         END AS category_key
+  FROM pr0)"""
+
+
+def _gender_ok(r: str, a: str) -> str:
+    return f"(({r}.mode = 'eq' AND {a}.gender = {r}.gkey) OR ({r}.mode = 'up' AND upper({a}.gender) = 'UNISEX'))"
+
+
+def _price_ok(r: str, a: str) -> str:
+    return f"(NOT {r}.price_filter OR {a}.price <= {r}.max_price)"
+
+
+def _stage1(r: str, a: str) -> str:
+    return f"(({r}.mode = 'up' OR {a}.gender = {r}.gkey) AND {_price_ok(r, a)})"
+
+
+RETRIEVAL_CTES = [
+    "act AS (SELECT * FROM products WHERE status)",
+    """docs AS (
+  SELECT a.id, a.category_id, coalesce(a.name, 'None') || ': ' || coalesce(a.description, 'None') AS page_content,
+         a.name, a.gender, a.price,
+         CASE WHEN coalesce(length(a.thumbnail), 0) > 0 THEN a.thumbnail
+              ELSE 'https://via.placeholder.com/120' END AS thumbnail,
+         coalesce(lower(c.name), 'khác') AS category, v.vector
+  FROM act a LEFT JOIN categories c ON c.id = a.category_id
+  JOIN vectors v ON v.vec_id = CAST(a.id AS BIGINT) % (SELECT count(*) FROM vectors))""",
+    f"""ro AS (
+  SELECT r.*, EXISTS (SELECT 1 FROM act a WHERE {_gender_ok('r', 'a')} AND {_price_ok('r', 'a')}) AS outfit_ok
+  FROM rt r WHERE r.route = 'outfit')""",
+    f"""pa AS (
+  SELECT p.*, o.outfit_ok,
+         (SELECT min(id) FROM categories c WHERE lower(c.name) = p.category_key) AS cat_id
+  FROM pr p JOIN ro o ON o.question_id = p.question_id)""",
+    f"""pav AS (
+  SELECT p.*,
+         EXISTS (SELECT 1 FROM act a WHERE a.category_id = p.cat_id AND {_stage1('p', 'a')}) AS has_rows,
+         EXISTS (SELECT 1 FROM act a WHERE a.category_id = p.cat_id AND {_stage1('p', 'a')}
+                 AND {_gender_ok('p', 'a')}) AS has_gender_rows
+  FROM pa p)""",
+    f"""sav AS (
+  SELECT s.*,
+         EXISTS (SELECT 1 FROM act a WHERE a.category_id = s.cat_id AND {_stage1('s', 'a')}) AS has_rows,
+         EXISTS (SELECT 1 FROM act a WHERE a.category_id = s.cat_id AND {_stage1('s', 'a')}
+                 AND {_gender_ok('s', 'a')}) AS has_gender_rows
+  FROM (SELECT r.*, (SELECT min(id) FROM categories c WHERE lower(c.name) = lower(r.category)) AS cat_id
+        FROM rt r WHERE r.route = 'single') s)""",
+    """req AS (
+  SELECT question_id * 10 + pos AS req_key, question_id, pos, cat_id, mode, gkey, price_filter, max_price,
+         (question_id * 7 + pos) AS vid
+  FROM pav WHERE outfit_ok AND cat_id IS NOT NULL AND has_gender_rows
+  UNION ALL
+  SELECT question_id * 10, question_id, 0, cat_id, mode, gkey, price_filter, max_price, question_id * 7
+  FROM sav WHERE cat_id IS NOT NULL AND has_gender_rows)""",
+    f"""hits AS (
+  SELECT * FROM (
+    SELECT r.req_key, r.question_id, r.pos, d.id, d.page_content, d.name, d.gender, d.price, d.thumbnail,
+           d.category, t.d2, row_number() OVER (PARTITION BY r.req_key ORDER BY t.d2, d.id) AS rank
+    FROM req r JOIN vectors v ON v.vec_id = r.vid % (SELECT count(*) FROM vectors)
+    JOIN docs d ON d.category_id = r.cat_id AND {_gender_ok('r', 'd')} AND {_price_ok('r', 'd')},
+    LATERAL (SELECT round(greatest(list_inner_product(v.vector, v.vector) + list_inner_product(d.vector, d.vector)
+                                   - 2 * list_inner_product(v.vector, d.vector), 0.0), 9) + 0.0 AS d2) t) x
+  WHERE rank <= 3)""",
+    """hagg AS (
+  SELECT req_key, count(*) AS n_sources, string_agg(id, ',' ORDER BY rank) AS source_ids,
+         arg_min(page_content, rank) AS best,
+         string_agg(page_content, chr(10) || chr(10) ORDER BY rank) AS ctx,
+         string_agg(page_content || ' (Category: ' || coalesce(category, 'None') || ', Gender: '
+                    || coalesce(gender, 'None') || ', Price: ' || coalesce(CAST(price AS VARCHAR), 'None') || ')',
+                    chr(10) ORDER BY rank) AS lines
+  FROM hits GROUP BY 1)""",
+    f"""psug AS (
+  SELECT p.question_id, p.pos, p.part, p.category_key, p.outfit_ok,
+         CASE WHEN NOT p.has_colon THEN {lit(DL.MSG_BAD_FORMAT)}
+              WHEN p.category_key IS NULL THEN {lit(DL.MSG_UNKNOWN_CATEGORY)}
+              WHEN NOT p.has_rows THEN 'Không tìm thấy sản phẩm phù hợp cho danh mục ' || p.category_key || '.'
+              WHEN NOT p.has_gender_rows
+                THEN 'Không tìm thấy sản phẩm phù hợp với giới tính ' || coalesce(p.gender, 'None') || '.'
+              ELSE coalesce(h.best, 'Không tìm thấy sản phẩm phù hợp.') END AS suggestion,
+         coalesce(h.n_sources, 0) AS n_sources, coalesce(h.source_ids, '') AS source_ids
+  FROM pav p LEFT JOIN hagg h ON h.req_key = p.question_id * 10 + p.pos)""",
+]
+
+
+def dialog_sql(body: str, *extra: str, retrieval: bool = False) -> str:
+    views = ["questions", "model_replies"] + (["products", "categories", "vectors"] if retrieval else [])
+    ctes = REPLY_CTES + ([PART_CTE] + RETRIEVAL_CTES if retrieval else []) + list(extra)
+    return with_views(views, *ctes) + body
+
+
+ORACLE["llm_reply_clean"] = dialog_sql("SELECT question_id, attempt, clean, shape_ok FROM rp")
+ORACLE["llm_reply_parsed"] = dialog_sql("""
+SELECT question_id, attempt, valid, intent, category, gender, max_price, price_filter,
+       array_to_string(parts, ' | ') AS parts FROM rp""")
+ORACLE["first_valid_attempt"] = dialog_sql("""
+SELECT question_id, attempt, intent, category, gender, max_price, array_to_string(parts, ' | ') AS parts FROM fv""")
+ORACLE["intent_fallback"] = dialog_sql(
+    "SELECT question_id, intent, category, gender FROM pq WHERE source = 'fallback'")
+ORACLE["chat_route"] = dialog_sql("SELECT question_id, source, route FROM rt")
+ORACLE["part_routed"] = dialog_sql("""
+SELECT question_id, CAST(pos AS BIGINT) AS pos, part, has_colon, part_category, part_desc, category_key FROM pr""",
+                                   PART_CTE)
+ORACLE["retrieval_candidates"] = dialog_sql("""
+SELECT question_id, CAST(pos AS BIGINT) AS pos, cat_id AS category_id, has_rows, has_gender_rows FROM pav
+UNION ALL
+SELECT question_id, CAST(0 AS BIGINT), cat_id, has_rows, has_gender_rows FROM sav""", retrieval=True)
+ORACLE["retrieve_top3"] = dialog_sql("""
+SELECT question_id, CAST(pos AS BIGINT) AS pos, CAST(rank AS BIGINT) AS rank, id, round(d2, 6) AS l2 FROM hits""",
+                                     retrieval=True)
+ORACLE["retrieve_top5"] = dialog_sql("""
+SELECT question_id, CAST(rank AS BIGINT) AS rank, id, round(d2, 6) AS l2 FROM (
+  SELECT r.question_id, d.id, t.d2, row_number() OVER (PARTITION BY r.question_id ORDER BY t.d2, d.id) AS rank
+  FROM ro r JOIN vectors v ON v.vec_id = (r.question_id * 7) % (SELECT count(*) FROM vectors)
+  JOIN docs d ON """ + _gender_ok('r', 'd') + " AND " + _price_ok('r', 'd') + """,
+  LATERAL (SELECT round(greatest(list_inner_product(v.vector, v.vector) + list_inner_product(d.vector, d.vector)
+                                 - 2 * list_inner_product(v.vector, d.vector), 0.0), 9) + 0.0 AS d2) t
+  WHERE r.outfit_ok) x WHERE rank <= 5""", retrieval=True)
+ORACLE["outfit_retrieval"] = dialog_sql("""
+SELECT question_id, CAST(pos AS BIGINT) AS pos, part, category_key, suggestion, CAST(n_sources AS BIGINT) AS n_sources,
+       source_ids FROM psug""", retrieval=True)
+SINGLE_ANS = f"""sans AS (
+  SELECT s.question_id, s.route,
+         {strip("'Dựa trên yêu cầu của bạn, đây là gợi ý sản phẩm cho ' || coalesce(s.category, 'None') || ':'"
+                " || chr(10) || chr(10) || CASE WHEN s.cat_id IS NULL OR NOT s.has_rows"
+                " THEN 'Không tìm thấy ' || coalesce(s.category, 'None') || ' phù hợp với yêu cầu.'"
+                " WHEN NOT s.has_gender_rows THEN 'Không tìm thấy ' || coalesce(s.category, 'None')"
+                " || ' phù hợp với giới tính ' || coalesce(s.gender, 'None') || '.'"
+                " ELSE coalesce(h.best, 'Không tìm thấy sản phẩm phù hợp.') END")} AS answer,
+         CAST(coalesce(h.n_sources, 0) AS BIGINT) AS n_sources, coalesce(h.source_ids, '') AS source_ids
+  FROM sav s LEFT JOIN hagg h ON h.req_key = s.question_id * 10)"""
+ORACLE["category_retrieval"] = dialog_sql("SELECT question_id, answer, n_sources, source_ids FROM sans",
+                                          SINGLE_ANS, retrieval=True)
+_QA = DL.QA_PROMPT.split("{question}")
+_QA2 = _QA[1].split("{context}")
+PROMPTS = f"""qp AS (
+  SELECT p.question_id, p.pos, p.part_desc AS q, h.ctx, h.lines FROM pav p JOIN hagg h ON h.req_key = p.question_id * 10 + p.pos
+  UNION ALL
+  SELECT s.question_id, 0, s.question, h.ctx, h.lines FROM sav s JOIN hagg h ON h.req_key = s.question_id * 10)"""
+ORACLE["qa_prompt"] = dialog_sql(f"""
+SELECT question_id, CAST(pos AS BIGINT) AS pos,
+       {lit(_QA[0])} || coalesce(q, 'None') || {lit(_QA2[0])} || ctx || {lit(_QA2[1])} AS prompt FROM qp""",
+                                 PROMPTS, retrieval=True)
+ORACLE["retrieval_context"] = dialog_sql("""
+SELECT question_id, CAST(pos AS BIGINT) AS pos, lines AS context, substring(lines, 1, 200) AS context_preview FROM qp""",
+                                         PROMPTS, retrieval=True)
+OUTFIT_ANS = f"""oagg AS (
+  SELECT question_id, max(CAST(outfit_ok AS INTEGER)) AS ok,
+         string_agg('- ' || part || chr(10) || '  ' || suggestion || chr(10), '' ORDER BY pos) AS details,
+         sum(n_sources) AS n_src,
+         string_agg(CASE WHEN source_ids <> '' THEN source_ids END, ',' ORDER BY pos) AS src_ids
+  FROM psug GROUP BY 1),
+oans AS (
+  SELECT r.question_id, r.route,
+         CASE WHEN coalesce(o.ok, 0) = 1 THEN
+           {strip("CASE WHEN contains(lower(r.question), 'set đồ') THEN " + lit(DL.HEADER_OUTFIT_SET)
+                  + " ELSE " + lit(DL.HEADER_OUTFIT) + " END || chr(10) || chr(10) || 'Set đồ gợi ý:' || chr(10)"
+                  " || array_to_string(list_transform(r.parts, lambda x: '- ' || x || chr(10)), '') || chr(10)"
+                  " || 'Chi tiết sản phẩm:' || chr(10) || o.details")}
+         ELSE {strip(lit(DL.HEADER_OUTFIT) + " || chr(10) || chr(10) || 'Set đồ gợi ý:' || chr(10)"
+                     " || array_to_string(list_transform(r.parts, lambda x: '- ' || x || chr(10)), '') || chr(10)")}
+         END AS answer,
+         CAST(CASE WHEN coalesce(o.ok, 0) = 1 THEN o.n_src ELSE 0 END AS BIGINT) AS n_sources,
+         CASE WHEN coalesce(o.ok, 0) = 1 THEN coalesce(o.src_ids, '') ELSE '' END AS source_ids
+  FROM rt r LEFT JOIN oagg o ON o.question_id = r.question_id WHERE r.route = 'outfit')"""
+ORACLE["chat_answer"] = dialog_sql(f"""
+SELECT * FROM oans
+UNION ALL SELECT * FROM sans
+UNION ALL SELECT question_id, route,
+  CASE WHEN route = 'fallback' THEN {lit(DL.FALLBACK_ANSWER)} END, CAST(0 AS BIGINT), ''
+FROM rt WHERE route IN ('chat', 'fallback')""", SINGLE_ANS, OUTFIT_ANS, retrieval=True)

@@ -404,3 +404,147 @@ def q_word_vectors(spark, sf_dir):
     TX.model_word_vectors(model).write.mode("overwrite").parquet(path + "-vectors")
     wv = spark.read.parquet(path + "-vectors")
     return wv.select("word", F.size("vector").cast("long").alias("dims"))
+
+
+# ------------------------------------------------------------------ dialog
+from vitrine.operators import dialog as D  # noqa: E402
+
+
+def _replies(spark, sf_dir):
+    return FX.model_replies(spark, sf_dir)
+
+
+def _chat_frames(spark, sf_dir):
+    return D.chat_pipeline(FX.questions(spark, sf_dir), _replies(spark, sf_dir), FX.products(spark, sf_dir),
+                           FX.categories(spark, sf_dir), FX.embedding_table(spark, sf_dir))
+
+
+def _parts_text(c="parts"):
+    return F.array_join(c, " | ").alias("parts")
+
+
+@query("llm_reply_clean")
+def q_llm_reply_clean(spark, sf_dir):
+    """Strip, BOM and fence removal, brace check of every stored reply."""
+    return D.reply_attempts(_replies(spark, sf_dir))
+
+
+@query("llm_reply_parsed")
+def q_llm_reply_parsed(spark, sf_dir):
+    """JSON validity and parsed fields of every attempt."""
+    p = D.parsed_attempts(_replies(spark, sf_dir))
+    return p.select("question_id", "attempt", "valid", "intent", "category", "gender", "max_price",
+                    "price_filter", _parts_text())
+
+
+@query("first_valid_attempt")
+def q_first_valid_attempt(spark, sf_dir):
+    """First valid attempt of three per question."""
+    f = D.first_valid_attempt(D.parsed_attempts(_replies(spark, sf_dir)))
+    return f.select("question_id", "attempt", "intent", "category", "gender", "max_price", _parts_text())
+
+
+@query("intent_fallback")
+def q_intent_fallback(spark, sf_dir):
+    """Questions without a valid reply and their substring fallback."""
+    p = D.parse_questions(FX.questions(spark, sf_dir), _replies(spark, sf_dir))
+    return p.where(F.col("source") == "fallback").select("question_id", "intent", "category", "gender")
+
+
+@query("question_intent")
+def q_question_intent(spark, sf_dir):
+    """Rule-based intent, category, gender, price and parts."""
+    q = D.question_intent(FX.questions(spark, sf_dir))
+    return q.select("question_id", "intent", "category", "gender", "max_price", _parts_text())
+
+
+@query("chat_route")
+def q_chat_route(spark, sf_dir):
+    """Route of every question."""
+    p = D.chat_route(D.parse_questions(FX.questions(spark, sf_dir), _replies(spark, sf_dir)))
+    return p.select("question_id", "source", "route")
+
+
+@query("part_routed")
+def q_part_routed(spark, sf_dir):
+    """Outfit parts split at ':' and routed to a category key."""
+    p = D.part_routed(D.parse_questions(FX.questions(spark, sf_dir), _replies(spark, sf_dir)))
+    return p.select("question_id", F.col("pos").cast("long").alias("pos"), "part", "has_colon",
+                    "part_category", "part_desc", "category_key")
+
+
+@query("retrieval_candidates")
+def q_retrieval_candidates(spark, sf_dir):
+    """Does the filtered catalog hold rows (before / after the gender post-filter)?"""
+    cf = _chat_frames(spark, sf_dir)
+    a = cf.parts.select("question_id", F.col("pos").cast("long").alias("pos"), F.col("cat_id").alias("category_id"),
+                        "has_rows", "has_gender_rows")
+    b = cf.singles.select("question_id", F.lit(0).cast("long").alias("pos"), F.col("cat_id").alias("category_id"),
+                          "has_rows", "has_gender_rows")
+    return a.unionByName(b)
+
+
+def _hits_out(hits):
+    return hits.select((F.col("req_key") / 10).cast("long").alias("question_id"),
+                       (F.col("req_key") % 10).cast("long").alias("pos"),
+                       F.col("rank").cast("long").alias("rank"), "id", F.round("l2", 6).alias("l2"))
+
+
+@query("retrieve_top3")
+def q_retrieve_top3(spark, sf_dir):
+    """Three nearest documents (L2) per outfit part and per single-category question."""
+    cf = _chat_frames(spark, sf_dir)
+    return _hits_out(cf.part_hits).unionByName(_hits_out(cf.single_hits))
+
+
+@query("retrieve_top5")
+def q_retrieve_top5(spark, sf_dir):
+    """The k=5 retriever over each outfit question's filtered catalog."""
+    cf = _chat_frames(spark, sf_dir)
+    return cf.outfit_top5.select(F.col("req_key").alias("question_id"), F.col("rank").cast("long").alias("rank"),
+                                 "id", F.round("l2", 6).alias("l2"))
+
+
+def _src_cols(c="sources"):
+    return [F.size(c).cast("long").alias("n_sources"),
+            F.array_join(F.transform(c, lambda s: s["id"]), ",").alias("source_ids")]
+
+
+@query("outfit_retrieval")
+def q_outfit_retrieval(spark, sf_dir):
+    """Per outfit part: suggestion or status message, and its sources."""
+    cf = _chat_frames(spark, sf_dir)
+    ps = D.part_suggestions(cf.parts, cf.part_hits, cf.docs)
+    return ps.select("question_id", F.col("pos").cast("long").alias("pos"), "part", "category_key",
+                     "suggestion", *_src_cols())
+
+
+@query("category_retrieval")
+def q_category_retrieval(spark, sf_dir):
+    """Single-category answers and their sources."""
+    cf = _chat_frames(spark, sf_dir)
+    a = cf.answers.where(F.col("route") == "single")
+    return a.select("question_id", "answer", *_src_cols())
+
+
+@query("qa_prompt")
+def q_qa_prompt(spark, sf_dir):
+    """Retrieval prompt (question + retrieved context) per part / question."""
+    cf = _chat_frames(spark, sf_dir)
+    p = D.qa_prompts(cf.parts, cf.part_hits, cf.singles, cf.single_hits, cf.docs)
+    return p.select("question_id", F.col("pos").cast("long").alias("pos"), "prompt")
+
+
+@query("retrieval_context")
+def q_retrieval_context(spark, sf_dir):
+    """Context lines of the retrieved documents and their 200-char preview."""
+    cf = _chat_frames(spark, sf_dir)
+    p = D.qa_prompts(cf.parts, cf.part_hits, cf.singles, cf.single_hits, cf.docs)
+    return p.select("question_id", F.col("pos").cast("long").alias("pos"), "context", "context_preview")
+
+
+@query("chat_answer")
+def q_chat_answer(spark, sf_dir):
+    """Answer text and sources of every question."""
+    cf = _chat_frames(spark, sf_dir)
+    return cf.answers.select("question_id", "route", "answer", *_src_cols())

@@ -163,17 +163,20 @@ REPLY_ATTEMPTS = 3
 
 
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three stored model replies per question (question_id, attempt, raw)."""
+    """Three stored model replies per question (question_id, attempt, raw).
+
+    The templates form a 10-row dimension joined by slot (broadcast: fixed size).
+    """
     qs = questions(spark, sf_dir).select("question_id")
     att = qs.select("question_id", F.explode(F.sequence(F.lit(1), F.lit(REPLY_ATTEMPTS))).alias("attempt"))
-    slot = (F.col("question_id") + F.col("attempt")) % len(REPLY_TEMPLATES)
+    tpl = spark.createDataFrame(
+        [(i, t.split("{p}")[0], t.split("{p}")[1] if "{p}" in t else None)
+         for i, t in enumerate(REPLY_TEMPLATES)], "slot int, head string, tail string")
+    slot = ((F.col("question_id") + F.col("attempt")) % len(REPLY_TEMPLATES)).cast("int")
     price = ((F.col("question_id") % 40 + 5) * 100000).cast("string")
-    raw = None
-    for i, t in enumerate(REPLY_TEMPLATES):
-        parts = t.split("{p}")
-        val = F.lit(parts[0]) if len(parts) == 1 else F.concat(F.lit(parts[0]), price, F.lit(parts[1]))
-        raw = F.when(slot == i, val) if raw is None else raw.when(slot == i, val)
-    return att.select("question_id", F.col("attempt").cast("int").alias("attempt"), raw.alias("raw"))
+    j = att.withColumn("slot", slot).join(F.broadcast(tpl), "slot")
+    raw = F.when(F.col("tail").isNull(), F.col("head")).otherwise(F.concat("head", price, "tail"))
+    return j.select("question_id", F.col("attempt").cast("int").alias("attempt"), raw.alias("raw"))
 
 
 # ---------------------------------------------------------------- vectors
