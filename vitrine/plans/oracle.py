@@ -565,3 +565,74 @@ UNION ALL SELECT * FROM sans
 UNION ALL SELECT question_id, route,
   CASE WHEN route = 'fallback' THEN {lit(DL.FALLBACK_ANSWER)} END, CAST(0 AS BIGINT), ''
 FROM rt WHERE route IN ('chat', 'fallback')""", SINGLE_ANS, OUTFIT_ANS, retrieval=True)
+
+
+# ------------------------------------------------------------------ question rules, responses, audit
+from vitrine.functions import intent as IN  # noqa: E402
+
+
+def _has(p: str, w: str) -> str:
+    return f"contains({p}, {lit(' ' + w + ' ')})"
+
+
+_P = "qi.padded"
+_price = ("CASE WHEN qi.mil <> '' THEN TRY_CAST(replace(qi.mil, ',', '.') AS DOUBLE) * 1000000.0 "
+          "WHEN TRY_CAST(qi.bare AS DOUBLE) >= 1000 THEN TRY_CAST(qi.bare AS DOUBLE) END")
+_anyset = " OR ".join(_has(_P, w) for w in IN.SET_WORDS)
+_ncat = " + ".join(f"CAST({_has(_P, w)} AS INTEGER)" for w in IN.CATEGORY_WORDS)
+_thecat = "CASE " + " ".join(f"WHEN {_has(_P, w)} THEN {lit(w)}" for w in IN.CATEGORY_WORDS) + " END"
+_other = " OR ".join(_has(_P, w) for w in IN.PRICE_WORDS + tuple(IN.GENDER_WORDS))
+ORACLE["question_intent"] = with_views(["questions"]) + f"""
+, qi AS (
+  SELECT question_id, question,
+         ' ' || trim(regexp_replace(regexp_replace(lower(question), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))
+           || ' ' AS padded,
+         regexp_extract(lower(question), '(\\d+([.,]\\d+)?)\\s*triệu', 1) AS mil,
+         regexp_extract(lower(question), '(\\d{{4,}})', 1) AS bare
+  FROM questions),
+qr AS (
+  SELECT qi.question_id, qi.question, {_price} AS max_price,
+         CASE WHEN {_anyset} THEN {lit(IN.INTENT_OUTFIT)}
+              WHEN ({_ncat}) = 1 THEN {lit(IN.INTENT_SINGLE)}
+              WHEN ({_ncat}) = 0 AND NOT ({_other} OR {_price} IS NOT NULL) THEN {lit(IN.INTENT_CHAT)}
+              ELSE {lit(IN.INTENT_OUTFIT)} END AS intent,
+         {_thecat} AS the_cat,
+         CASE WHEN {_has(_P, 'nam')} AND NOT {_has(_P, 'nữ')} THEN 'MALE'
+              WHEN {_has(_P, 'nữ')} AND NOT {_has(_P, 'nam')} THEN 'FEMALE' ELSE '' END AS gender
+  FROM qi)
+SELECT question_id, intent, CASE WHEN intent = {lit(IN.INTENT_SINGLE)} THEN the_cat END AS category, gender, max_price,
+       CASE WHEN intent = {lit(IN.INTENT_OUTFIT)}
+            THEN 'Áo: ' || question || ' | Quần: ' || question || ' | Giày: ' || question ELSE '' END AS parts
+FROM qr""".replace("WITH questions AS", "WITH questions AS", 1)
+
+HYDRATED = f"""hy AS (
+  SELECT r.user_id, r.rank, r.product_id, r.score, coalesce(e.name, '') AS name, coalesce(e.price, 0.0) AS price,
+         coalesce(e.category_name, '') AS category_name, coalesce(e.brand_name, '') AS brand_name,
+         coalesce({iso('e.created_at')}, '2025-01-01T00:00:00.000Z') AS created_at
+  FROM recs r JOIN enriched e ON e.id = r.product_id)"""
+
+
+def cf_full(src: str, *extra: str) -> str:
+    return with_views([src, "products", "brands", "categories"], *cf_ctes(src), ENRICHED, *extra)
+
+
+ORACLE["recommend_hydrated"] = cf_full("interactions", HYDRATED) + """
+SELECT user_id, rank, product_id, name, price, category_name, brand_name, created_at FROM hy"""
+ORACLE["response_envelope"] = cf_full("interactions", HYDRATED) + """
+SELECT user_id, 'success' AS status, CAST(200 AS BIGINT) AS "statusCode", 'Product retrieved successfully' AS message,
+       CAST(count(*) AS BIGINT) AS n_products, string_agg(product_id, ',' ORDER BY rank) AS product_ids
+FROM hy GROUP BY user_id"""
+ORACLE["recommend_requests"] = cf_query("interactions", """,
+rq AS (SELECT c_custkey AS user_id FROM customer UNION ALL SELECT -1),
+top8p AS (SELECT product_id, prank FROM popr WHERE prank <= 8)
+SELECT q.user_id, r.rank, r.product_id, r.source FROM rq q JOIN recs r ON r.user_id = q.user_id WHERE q.user_id <> -1
+UNION ALL
+SELECT q.user_id, CAST(t.prank AS BIGINT), t.product_id, 'popular' FROM rq q CROSS JOIN top8p t
+WHERE q.user_id = -1 OR q.user_id NOT IN (SELECT user_id FROM users)""".replace(",\nrq AS", "\n, rq AS", 1)
+                                       ).replace("SELECT * FROM recs", "")
+ORACLE["call_gap_audit"] = with_views([]) + """
+SELECT event_id AS call_id, user_id,
+       round(CASE WHEN prev IS NOT NULL THEN (epoch_us(ts) - prev) / 1e6 END, 6) AS gap_s,
+       round(coalesce(greatest(0.0, 6.0 - (epoch_us(ts) - prev) / 1e6), 0.0), 6) AS wait_s
+FROM (SELECT *, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) t"""
+ORACLE["stream_matrix"] = ORACLE["user_product_matrix"]

@@ -548,3 +548,80 @@ def q_chat_answer(spark, sf_dir):
     """Answer text and sources of every question."""
     cf = _chat_frames(spark, sf_dir)
     return cf.answers.select("question_id", "route", "answer", *_src_cols())
+
+
+# ------------------------------------------------------------------ responses, audit, streaming
+from vitrine.operators import audit as AU  # noqa: E402
+from vitrine.operators import responses as RS  # noqa: E402
+
+
+def _requests(spark, sf_dir):
+    return (read_table(spark, sf_dir, "customer", "c_custkey").select(F.col("c_custkey").alias("user_id"))
+            .unionByName(spark.range(1).select(F.lit(RS.ANONYMOUS).cast("long").alias("user_id"))))
+
+
+@query("recommend_hydrated")
+def q_recommend_hydrated(spark, sf_dir):
+    """Recommendations joined to API product records (rank order kept)."""
+    h = RS.hydrate(N.recommend_users(FX.interactions(spark, sf_dir)).recs, _enriched(spark, sf_dir))
+    p = F.col("product")
+    return h.select("user_id", "rank", "product_id", p["name"].alias("name"), p["price"].alias("price"),
+                    p["category_name"].alias("category_name"), p["brand_name"].alias("brand_name"),
+                    p["created_at"].alias("created_at"))
+
+
+@query("response_envelope")
+def q_response_envelope(spark, sf_dir):
+    """One response envelope per user (products in rank order)."""
+    h = RS.hydrate(N.recommend_users(FX.interactions(spark, sf_dir)).recs, _enriched(spark, sf_dir))
+    e = RS.envelope(h)
+    return e.select("user_id", "status", F.col("statusCode").cast("long").alias("statusCode"), "message",
+                    F.size("data").cast("long").alias("n_products"),
+                    F.array_join(F.transform("data", lambda d: d["id"]), ",").alias("product_ids"))
+
+
+@query("recommend_requests")
+def q_recommend_requests(spark, sf_dir):
+    """D4 request form: every customer plus the anonymous id (-1)."""
+    res = N.recommend_users(FX.interactions(spark, sf_dir))
+    return RS.serve_requests(_requests(spark, sf_dir), res.recs, res.popular)
+
+
+@query("call_gap_audit")
+def q_call_gap_audit(spark, sf_dir):
+    """R2: gap to the previous call and the limiter's wait (10 calls / minute)."""
+    return AU.call_gap_audit(FX.call_log(spark, sf_dir))
+
+
+@query("stream_matrix")
+def q_stream_matrix(spark, sf_dir):
+    """The matrix maintained by Structured Streaming (availableNow)."""
+    from vitrine.streaming.matrix_stream import stream_matrix
+    return stream_matrix(spark, sf_dir)
+
+
+@query("refresh_snapshot")
+def q_refresh_snapshot(spark, sf_dir):
+    """Versioned refresh of matrix, catalog and vectors; returns row counts read back."""
+    from vitrine.streaming.refresh import read_snapshot, snapshot_base, write_snapshot
+    base = snapshot_base(spark)
+    tables = {"matrix": M.user_product_matrix(FX.interactions(spark, sf_dir)),
+              "catalog": _enriched(spark, sf_dir),
+              "vectors": _product_vectors(spark, sf_dir)}
+    write_snapshot(spark, base, tables)
+    parts = [read_snapshot(spark, base, n).agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("n"))
+             for n in tables]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("retrieve_lsh")
+def q_retrieve_lsh(spark, sf_dir):
+    """Approximate L2 top-3 (random-projection LSH) of every question over the active catalog."""
+    cf_docs = D.chat_pipeline(FX.questions(spark, sf_dir), _replies(spark, sf_dir), FX.products(spark, sf_dir),
+                              FX.categories(spark, sf_dir), FX.embedding_table(spark, sf_dir)).docs
+    q = D._vector_of(FX.questions(spark, sf_dir).select(F.col("question_id").alias("qid")),
+                     F.col("qid") * D.VEC_STRIDE, FX.embedding_table(spark, sf_dir))
+    return V.lsh_neighbors(q, cf_docs.select("id", "vector"), k=3)
