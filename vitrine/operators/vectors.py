@@ -37,8 +37,8 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
 
 
-def _tile_topk(pl: pd.DataFrame, pr: pd.DataFrame, metric: str, k: int, exclude_same: bool,
-               residual: Callable | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tile_scores(pl: pd.DataFrame, pr: pd.DataFrame, metric: str) -> np.ndarray:
+    """Higher is nearer: cosine, or minus the squared L2 distance."""
     A, B = _stack(pl["_lv"]), _stack(pr["_rv"])
     if metric == "cosine":
         na = np.linalg.norm(A, axis=1)
@@ -49,7 +49,12 @@ def _tile_topk(pl: pd.DataFrame, pr: pd.DataFrame, metric: str, k: int, exclude_
     else:  # negative squared L2, larger is nearer
         S = -((A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * (A @ B.T))
         S = np.minimum(S, 0.0)
-    S = np.round(S, 9) + 0.0
+    return np.round(S, 9) + 0.0
+
+
+def _tile_topk(pl: pd.DataFrame, pr: pd.DataFrame, metric, k: int, exclude_same: bool,
+               residual: Callable | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    S = metric(pl, pr) if callable(metric) else _tile_scores(pl, pr, metric)
     valid = np.ones(S.shape, dtype=bool)
     lk = pl["_lk"].to_numpy()
     rk = pr["_rk"].to_numpy()
@@ -57,26 +62,51 @@ def _tile_topk(pl: pd.DataFrame, pr: pd.DataFrame, metric: str, k: int, exclude_
         valid &= lk[:, None] != rk[None, :]
     if residual is not None:
         valid &= residual(pl, pr)
-    rows, cols = np.nonzero(valid)
-    if len(rows) == 0:
-        return rows, cols, np.zeros(0)
-    vals = S[rows, cols]
+    rk = pr["_rk"].to_numpy()
     rord = np.argsort(np.argsort(rk.astype(str) if rk.dtype == object else rk, kind="stable"),
-                      kind="stable")
-    order = np.lexsort((rord[cols], -vals, rows))
-    rows, cols, vals = rows[order], cols[order], vals[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-    lens = np.diff(np.r_[starts, len(rows)])
-    pos = np.arange(len(rows)) - np.repeat(starts, lens)
-    keep = pos < k
-    return rows[keep], cols[keep], vals[keep]
+                      kind="stable").astype(np.int64)
+    return _select_topk(np.where(valid, S, -np.inf), rord, k)
+
+
+def _select_topk(S: np.ndarray, rord: np.ndarray, k: int):
+    """Per row, the k best columns by (score desc, rord asc), -inf excluded.
+
+    Exact under ties without sorting whole rows: the k-th best score t is
+    found by partition; columns above t are all kept, and among the columns
+    equal to t the smallest rord values fill the remaining slots.
+    """
+    n, m = S.shape
+    kk = min(k, m)
+    if n == 0 or kk == 0:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    t = -np.partition(-S, kk - 1, axis=1)[:, kk - 1]
+    above = S > t[:, None]
+    n_above = above.sum(1)
+    tie = (S == t[:, None]) & np.isfinite(t)[:, None]
+    big = np.iinfo(np.int64).max
+    tie_ord = np.where(tie, rord[None, :], big)
+    need = kk - n_above
+    # the kk smallest rord among ties (kk is small), then keep `need` of them
+    part = np.argpartition(tie_ord, kk - 1, axis=1)[:, :kk]
+    part_ord = np.take_along_axis(tie_ord, part, axis=1)
+    order = np.argsort(part_ord, axis=1, kind="stable")
+    part = np.take_along_axis(part, order, axis=1)
+    part_ord = np.take_along_axis(part_ord, order, axis=1)
+    slot = np.arange(kk)[None, :]
+    tie_keep = (slot < need[:, None]) & (part_ord < big)
+    sel = above.copy()
+    rr = np.repeat(np.arange(n), kk).reshape(n, kk)
+    sel[rr[tie_keep], part[tie_keep]] = True
+    sel &= np.isfinite(S)
+    rows, cols = np.nonzero(sel)
+    return rows, cols, S[rows, cols]
 
 
 def blocked_topk(left: DataFrame, right: DataFrame, *, lkey: str, rkey: str, k: int,
                  lvec: str = "vector", rvec: str = "vector", group: str | None = None,
                  metric: str = "cosine", exclude_same_key: bool = False,
                  residual: Callable | None = None, lextra: tuple = (), rextra: tuple = (),
-                 block_rows: int = 1024) -> DataFrame:
+                 block_rows: int = 1024, score_fn: Callable | None = None) -> DataFrame:
     """Top-k right rows per left row (per group).  Returns
     (left_key[, group], right_key, score, pos): score = cosine, or the squared
     L2 distance for 'l2' (rounded to 9 dp, the precision ties are decided at)."""
@@ -84,8 +114,10 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, lkey: str, rkey: str, k:
     lt = dict(left.dtypes)
     rt = dict(right.dtypes)
     gexpr = F.col(group) if group else F.lit(0)
-    L = left.select(F.col(lkey).alias("_lk"), gexpr.alias("_g"), F.col(lvec).alias("_lv"), *lextra)
-    R = right.select(F.col(rkey).alias("_rk"), gexpr.alias("_g"), F.col(rvec).alias("_rv"), *rextra)
+    lv = [F.col(lvec).alias("_lv")] if lvec else []
+    rv = [F.col(rvec).alias("_rv")] if rvec else []
+    L = left.select(F.col(lkey).alias("_lk"), gexpr.alias("_g"), *lv, *lextra)
+    R = right.select(F.col(rkey).alias("_rk"), gexpr.alias("_g"), *rv, *rextra)
 
     nl = L.groupBy("_g").agg(F.count(F.lit(1)).alias("_nl"))
     nr = R.groupBy("_g").agg(F.count(F.lit(1)).alias("_nr"))
@@ -114,7 +146,7 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, lkey: str, rkey: str, k:
     def kernel(pl: pd.DataFrame, pr: pd.DataFrame) -> pd.DataFrame:
         if len(pl) == 0 or len(pr) == 0:
             return pd.DataFrame({"_lk": [], "_g": [], "_rk": [], "_s": []})
-        rows, cols, vals = _tile_topk(pl, pr, metric, k, exclude_same_key, residual)
+        rows, cols, vals = _tile_topk(pl, pr, score_fn or metric, k, exclude_same_key, residual)
         return pd.DataFrame({"_lk": pl["_lk"].to_numpy()[rows], "_g": pl["_g"].to_numpy()[rows],
                              "_rk": pr["_rk"].to_numpy()[cols], "_s": vals})
 
@@ -122,7 +154,7 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, lkey: str, rkey: str, k:
              .applyInPandas(kernel, out_schema))
     w = Window.partitionBy("_lk", "_g").orderBy(F.col("_s").desc(), F.col("_rk").asc())
     top = tiles.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
-    score = -F.col("_s") + F.lit(0.0) if metric == "l2" else F.col("_s")
+    score = (-F.col("_s") + F.lit(0.0)) if metric in ("l2", "neg") else F.col("_s")
     cols = [F.col("_lk").alias("left_key"), F.col("_rk").alias("right_key"),
             F.round(score, 9).alias("score"), "pos"]
     if group:
