@@ -636,3 +636,8 @@ SELECT event_id AS call_id, user_id,
        round(coalesce(greatest(0.0, 6.0 - (epoch_us(ts) - prev) / 1e6), 0.0), 6) AS wait_s
 FROM (SELECT *, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) t"""
 ORACLE["stream_matrix"] = ORACLE["user_product_matrix"]
+ORACLE["unread_candidates"] = cf_query("interactions", """
+SELECT n.user_id, m.product_id, count(*) AS n_neighbors
+FROM nbk n JOIN m ON m.user_id = n.neighbor_id AND m.score > 0
+WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.user_id = n.user_id AND o.product_id = m.product_id AND o.score <> 0)
+GROUP BY 1, 2""")

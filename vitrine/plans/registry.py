@@ -625,3 +625,15 @@ def q_retrieve_lsh(spark, sf_dir):
     q = D._vector_of(FX.questions(spark, sf_dir).select(F.col("question_id").alias("qid")),
                      F.col("qid") * D.VEC_STRIDE, FX.embedding_table(spark, sf_dir))
     return V.lsh_neighbors(q, cf_docs.select("id", "vector"), k=3)
+
+
+@query("unread_candidates")
+def q_unread_candidates(spark, sf_dir):
+    """Products of the k nearest users with a positive cell, kept
+    only when the user's own cell is 0 or absent (left anti join)."""
+    m = M.user_product_matrix(FX.interactions(spark, sf_dir))
+    nb = N.user_neighbors(m)
+    pos = m.where(F.col("score") > 0).select(F.col("user_id").alias("neighbor_id"), "product_id")
+    cand = nb.select("user_id", "neighbor_id").join(pos, "neighbor_id").groupBy("user_id", "product_id").agg(
+        F.count(F.lit(1)).alias("n_neighbors"))
+    return M.unread_candidates(m, cand)
