@@ -58,13 +58,13 @@ def test_all_zero_user_gets_smallest_ids(spark):
     rows = [(9, "a", 3), (9, "a", -3)] + [(u, "x", 1) for u in range(1, 7)]
     inter = inter_df(spark, rows)
     m = M.user_product_matrix(inter)
-    for mode in ("dense", "sparse"):
+    for mode in ("tile", "sparse"):
         nb = N.user_neighbors(m, mode=mode).where(F.col("user_id") == 9).orderBy("nrank").collect()
         assert [r["neighbor_id"] for r in nb] == [1, 2, 3, 4, 5]
         assert all(r["dist"] == 1.0 for r in nb)
 
 
-@pytest.mark.parametrize("mode", ["dense", "sparse"])
+@pytest.mark.parametrize("mode", ["tile", "sparse"])
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_against_bruteforce(spark, mode, seed):
     rnd = random.Random(seed)
@@ -111,3 +111,15 @@ def test_properties_on_events(spark):
     per = recs.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("product_id").alias("d"),
                                       F.max("rank").alias("mx")).collect()
     assert all(r["n"] == r["d"] == r["mx"] <= 8 for r in per)
+
+
+@pytest.mark.parametrize("dense_items", [0, 4096])
+def test_tile_kernel_branches_and_blocks(spark, dense_items, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(60), f"p{rnd.randrange(30)}", rnd.choice([1, 2, -1, 4])) for _ in range(260)]
+    rows += [(200, "q", 3), (200, "q", -3)]
+    m = M.user_product_matrix(inter_df(spark, rows))
+    monkeypatch.setattr(N, "TILE_DENSE_ITEMS", dense_items)
+    tiled = sorted(map(tuple, N.tile_user_neighbors(m, 5, block_rows=7).collect()))
+    sparse = sorted(map(tuple, N.sparse_user_neighbors(m, 5, N.CFParams()).collect()))
+    assert tiled == sparse

@@ -34,6 +34,7 @@ from vitrine.functions.replies import clean_reply, parse_replies, shape_ok
 from vitrine.functions.text import strip_unicode
 from vitrine.operators import catalog as C
 from vitrine.operators.vectors import blocked_topk
+from vitrine.session import materialize
 
 # Answer texts, messages and the retrieval prompt of the chat surface.
 HEADER_OUTFIT_SET = "Dựa trên yêu cầu của bạn, đây là gợi ý set đồ:"
@@ -195,7 +196,7 @@ def _residual(pl: pd.DataFrame, pr: pd.DataFrame) -> np.ndarray:
     return (eq | up) & price_ok
 
 
-def retrieve(requests: DataFrame, docs: DataFrame, k: int, block_rows: int = 1024,
+def retrieve(requests: DataFrame, docs: DataFrame, k: int, block_rows: int = 2048,
              group: str | None = "category_id") -> DataFrame:
     """Top-k products by L2 per request under category (equi) and
     gender / price (residual).  requests: (req_key, category_id, vector, mode,
@@ -231,19 +232,25 @@ def _vector_of(df: DataFrame, vec_id: Column, vectors: DataFrame) -> DataFrame:
 
 
 def chat_pipeline(questions: DataFrame, replies: DataFrame, products: DataFrame,
-                  categories: DataFrame, vectors: DataFrame, block_rows: int = 1024) -> ChatFrames:
+                  categories: DataFrame, vectors: DataFrame, block_rows: int = 2048,
+                  checkpoint: bool = True) -> ChatFrames:
+    keep = materialize if checkpoint else (lambda df: df)
     parsed = parse_questions(questions, replies)
     routed = chat_route(parsed)
     mode, gkey = gender_mode(F.col("gender"))
-    routed = routed.withColumn("mode", mode).withColumn("gkey", gkey)
-    avail = availability(products)
+    routed = keep(routed.withColumn("mode", mode).withColumn("gkey", gkey))
+    products = keep(products.select("id", "name", "description", "gender", "price", "status",
+                                    "thumbnail", "category_id"))
+    categories = keep(categories)
+    vectors = keep(vectors)
+    avail = keep(availability(products))
     by_name = C.category_by_name(categories).select(F.col("category").alias("_cname"),
                                                     F.col("id").alias("cat_id"))
 
     # active catalog documents with vectors (computed once, reused by every request)
     chat = C.chat_products(products.where(F.col("status")), categories)
     docs = C.product_document(chat).join(products.select("id", "category_id"), "id")
-    docs = _vector_of(docs, F.col("id").cast("long"), vectors)
+    docs = keep(_vector_of(docs, F.col("id").cast("long"), vectors))
 
     # ---- outfit questions: global gender/price check, then one request per part
     outfit = routed.where(F.col("route") == "outfit")

@@ -102,46 +102,57 @@ def _select_topk(S: np.ndarray, rord: np.ndarray, k: int):
     return rows, cols, S[rows, cols]
 
 
-def blocked_topk(left: DataFrame, right: DataFrame, *, lkey: str, rkey: str, k: int,
-                 lvec: str = "vector", rvec: str = "vector", group: str | None = None,
-                 metric: str = "cosine", exclude_same_key: bool = False,
-                 residual: Callable | None = None, lextra: tuple = (), rextra: tuple = (),
-                 block_rows: int = 1024, score_fn: Callable | None = None) -> DataFrame:
-    """Top-k right rows per left row (per group).  Returns
-    (left_key[, group], right_key, score, pos): score = cosine, or the squared
-    L2 distance for 'l2' (rounded to 9 dp, the precision ties are decided at)."""
-    spark = left.sparkSession
-    lt = dict(left.dtypes)
-    rt = dict(right.dtypes)
-    gexpr = F.col(group) if group else F.lit(0)
-    lv = [F.col(lvec).alias("_lv")] if lvec else []
-    rv = [F.col(rvec).alias("_rv")] if rvec else []
-    L = left.select(F.col(lkey).alias("_lk"), gexpr.alias("_g"), *lv, *lextra)
-    R = right.select(F.col(rkey).alias("_rk"), gexpr.alias("_g"), *rv, *rextra)
-
-    nl = L.groupBy("_g").agg(F.count(F.lit(1)).alias("_nl"))
-    nr = R.groupBy("_g").agg(F.count(F.lit(1)).alias("_nr"))
+def tile_cogroup(L: DataFrame, R: DataFrame, kernel: Callable, out_schema: T.StructType,
+                 block_rows: int = 2048) -> DataFrame:
+    """Cut both sides into key blocks per group and run ``kernel(pl, pr)`` on
+    every (left block, right block) pair of a group.
+
+    L has columns _lk, _g (+ payload), R has _rk, _g (+ payload); several rows
+    may share a key (they stay in one block).  Block counts come from per-group
+    distinct-key counts, broadcast only under a checked bound.
+    """
+    spark = L.sparkSession
+    nl = L.groupBy("_g").agg(F.countDistinct("_lk").alias("_nl"))
+    nr = R.groupBy("_g").agg(F.countDistinct("_rk").alias("_nr"))
     sizes = nl.join(nr, "_g").select(
         "_g", F.greatest(F.lit(1), F.ceil(F.col("_nl") / block_rows)).cast("int").alias("_nbl"),
         F.greatest(F.lit(1), F.ceil(F.col("_nr") / block_rows)).cast("int").alias("_nbr"))
     ngroups = sizes.limit(MAX_BROADCAST_GROUPS + 1).count()
     if ngroups == 0:
-        return spark.createDataFrame(
-            [], f"left_key {lt[lkey]}, right_key {rt[rkey]}, score double, pos int")
+        return spark.createDataFrame([], out_schema)
     sizes = F.broadcast(sizes) if ngroups <= MAX_BROADCAST_GROUPS else sizes
-
     L = L.join(sizes, "_g").select(
         "*", F.pmod(F.xxhash64("_lk"), F.col("_nbl")).cast("int").alias("_bl"),
         F.explode(F.sequence(F.lit(0), F.col("_nbr") - 1)).alias("_br")).drop("_nbl", "_nbr")
     R = R.join(sizes, "_g").select(
         "*", F.explode(F.sequence(F.lit(0), F.col("_nbl") - 1)).alias("_bl"),
         F.pmod(F.xxhash64("_rk"), F.col("_nbr")).cast("int").alias("_br")).drop("_nbl", "_nbr")
+    return (L.groupBy("_g", "_bl", "_br").cogroup(R.groupBy("_g", "_bl", "_br"))
+            .applyInPandas(kernel, out_schema))
+
 
-    lk_type = L.schema["_lk"].dataType
-    rk_type = R.schema["_rk"].dataType
+def merge_tiles(tiles: DataFrame, k: int) -> DataFrame:
+    """Global top-k per left key from per-tile top-k rows (_lk, _g, _rk, _s)."""
+    w = Window.partitionBy("_lk", "_g").orderBy(F.col("_s").desc(), F.col("_rk").asc())
+    return tiles.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+
+
+def blocked_topk(left: DataFrame, right: DataFrame, *, lkey: str, rkey: str, k: int,
+                 lvec: str = "vector", rvec: str = "vector", group: str | None = None,
+                 metric: str = "cosine", exclude_same_key: bool = False,
+                 residual: Callable | None = None, lextra: tuple = (), rextra: tuple = (),
+                 block_rows: int = 2048, score_fn: Callable | None = None) -> DataFrame:
+    """Top-k right rows per left row (per group).  Returns
+    (left_key[, group], right_key, score, pos): score = cosine, or the squared
+    L2 distance for 'l2' (rounded to 9 dp, the precision ties are decided at)."""
+    gexpr = F.col(group) if group else F.lit(0)
+    lv = [F.col(lvec).alias("_lv")] if lvec else []
+    rv = [F.col(rvec).alias("_rv")] if rvec else []
+    L = left.select(F.col(lkey).alias("_lk"), gexpr.alias("_g"), *lv, *lextra)
+    R = right.select(F.col(rkey).alias("_rk"), gexpr.alias("_g"), *rv, *rextra)
     out_schema = T.StructType([
-        T.StructField("_lk", lk_type), T.StructField("_g", L.schema["_g"].dataType),
-        T.StructField("_rk", rk_type), T.StructField("_s", T.DoubleType())])
+        T.StructField("_lk", L.schema["_lk"].dataType), T.StructField("_g", L.schema["_g"].dataType),
+        T.StructField("_rk", R.schema["_rk"].dataType), T.StructField("_s", T.DoubleType())])
 
     def kernel(pl: pd.DataFrame, pr: pd.DataFrame) -> pd.DataFrame:
         if len(pl) == 0 or len(pr) == 0:
@@ -150,10 +161,7 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, lkey: str, rkey: str, k:
         return pd.DataFrame({"_lk": pl["_lk"].to_numpy()[rows], "_g": pl["_g"].to_numpy()[rows],
                              "_rk": pr["_rk"].to_numpy()[cols], "_s": vals})
 
-    tiles = (L.groupBy("_g", "_bl", "_br").cogroup(R.groupBy("_g", "_bl", "_br"))
-             .applyInPandas(kernel, out_schema))
-    w = Window.partitionBy("_lk", "_g").orderBy(F.col("_s").desc(), F.col("_rk").asc())
-    top = tiles.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+    top = merge_tiles(tile_cogroup(L, R, kernel, out_schema, block_rows), k)
     score = (-F.col("_s") + F.lit(0.0)) if metric in ("l2", "neg") else F.col("_s")
     cols = [F.col("_lk").alias("left_key"), F.col("_rk").alias("right_key"),
             F.round(score, 9).alias("score"), "pos"]
@@ -170,7 +178,7 @@ def cosine_expr(a, b):
     return F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(F.lit(0.0))
 
 
-def similar_products(vectors: DataFrame, k: int = 6, block_rows: int = 1024) -> DataFrame:
+def similar_products(vectors: DataFrame, k: int = 6, block_rows: int = 2048) -> DataFrame:
     """Six most similar products, the product itself excluded
     (= ranks 2-7 of the reference's order with self first)."""
     top = blocked_topk(vectors, vectors, lkey="id", rkey="id", k=k, exclude_same_key=True,
