@@ -17,7 +17,7 @@ from vitrine.sources.tables import TABLES, table_path
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "8GB", "threads": 4})
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(sf_dir, t)}')")
     return con

@@ -68,3 +68,13 @@ def test_stream_matrix_equals_batch(spark):
     s = QUERIES["stream_matrix"](spark, SF001)
     b = QUERIES["user_product_matrix"](spark, SF001)
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_no_cross_product_in_any_plan(spark):
+    skip = {"stream_matrix", "refresh_snapshot", "word_vectors"}
+    for name, fn in QUERIES.items():
+        if name in skip:
+            continue
+        txt = plan_text(fn(spark, SF001))
+        assert "CartesianProduct" not in txt and "BroadcastNestedLoopJoin" not in txt, name
+        assert "BatchEvalPython" not in txt, name          # no row-at-a-time Python UDF

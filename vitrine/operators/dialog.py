@@ -273,9 +273,8 @@ def chat_pipeline(questions: DataFrame, replies: DataFrame, products: DataFrame,
     # the k=5 retriever built over the outfit-wide filtered catalog (never queried there)
     o_req = _vector_of(outfit.where(F.col("has_gender_rows")).withColumn("req_key", F.col("question_id")),
                        F.col("question_id") * VEC_STRIDE, vectors)
-    outfit_top5 = retrieve(o_req.select("req_key", F.lit("*").alias("category_id"), "vector", "mode",
-                                        "gkey", "price_filter", "max_price"),
-                           docs.withColumn("category_id", F.lit("*")), TOP_K_UNUSED, block_rows)
+    outfit_top5 = retrieve(o_req.select("req_key", "vector", "mode", "gkey", "price_filter", "max_price"),
+                           docs, TOP_K_UNUSED, block_rows, group=None)
 
     # ---- single-category questions
     singles = routed.where(F.col("route") == "single")

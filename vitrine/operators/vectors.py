@@ -103,15 +103,28 @@ def _select_topk(S: np.ndarray, rord: np.ndarray, k: int):
 
 
 def tile_cogroup(L: DataFrame, R: DataFrame, kernel: Callable, out_schema: T.StructType,
-                 block_rows: int = 2048) -> DataFrame:
+                 block_rows: int = 2048, grouped: bool = True) -> DataFrame:
     """Cut both sides into key blocks per group and run ``kernel(pl, pr)`` on
     every (left block, right block) pair of a group.
 
     L has columns _lk, _g (+ payload), R has _rk, _g (+ payload); several rows
     may share a key (they stay in one block).  Block counts come from per-group
-    distinct-key counts, broadcast only under a checked bound.
+    distinct-key counts, broadcast only under a checked bound; without groups
+    they are two scalars.
     """
     spark = L.sparkSession
+    if not grouped:
+        nl = L.select(F.countDistinct("_lk")).first()[0]
+        nr = R.select(F.countDistinct("_rk")).first()[0]
+        if not nl or not nr:
+            return spark.createDataFrame([], out_schema)
+        nbl, nbr = max(1, math.ceil(nl / block_rows)), max(1, math.ceil(nr / block_rows))
+        L = L.select("*", F.pmod(F.xxhash64("_lk"), F.lit(nbl)).cast("int").alias("_bl"),
+                     F.explode(F.sequence(F.lit(0), F.lit(nbr - 1))).alias("_br"))
+        R = R.select("*", F.explode(F.sequence(F.lit(0), F.lit(nbl - 1))).alias("_bl"),
+                     F.pmod(F.xxhash64("_rk"), F.lit(nbr)).cast("int").alias("_br"))
+        return (L.groupBy("_g", "_bl", "_br").cogroup(R.groupBy("_g", "_bl", "_br"))
+                .applyInPandas(kernel, out_schema))
     nl = L.groupBy("_g").agg(F.countDistinct("_lk").alias("_nl"))
     nr = R.groupBy("_g").agg(F.countDistinct("_rk").alias("_nr"))
     sizes = nl.join(nr, "_g").select(
@@ -161,7 +174,7 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, lkey: str, rkey: str, k:
         return pd.DataFrame({"_lk": pl["_lk"].to_numpy()[rows], "_g": pl["_g"].to_numpy()[rows],
                              "_rk": pr["_rk"].to_numpy()[cols], "_s": vals})
 
-    top = merge_tiles(tile_cogroup(L, R, kernel, out_schema, block_rows), k)
+    top = merge_tiles(tile_cogroup(L, R, kernel, out_schema, block_rows, grouped=group is not None), k)
     score = (-F.col("_s") + F.lit(0.0)) if metric in ("l2", "neg") else F.col("_s")
     cols = [F.col("_lk").alias("left_key"), F.col("_rk").alias("right_key"),
             F.round(score, 9).alias("score"), "pos"]
