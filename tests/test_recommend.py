@@ -123,3 +123,12 @@ def test_tile_kernel_branches_and_blocks(spark, dense_items, monkeypatch):
     tiled = sorted(map(tuple, N.tile_user_neighbors(m, 5, block_rows=7).collect()))
     sparse = sorted(map(tuple, N.sparse_user_neighbors(m, 5, N.CFParams()).collect()))
     assert tiled == sparse
+
+
+def test_tile_pairs_equal_join_pairs(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.randrange(50), f"p{rnd.randrange(20)}", rnd.choice([1, 2, -3, 4])) for _ in range(220)]
+    m = M.user_product_matrix(inter_df(spark, rows))
+    a = sorted(map(tuple, N.user_similarity(m, mode="tile").collect()))
+    b = sorted(map(tuple, N.user_similarity(m, mode="sparse").collect()))
+    assert a == b and len(a) > 50
