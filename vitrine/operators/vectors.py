@@ -103,14 +103,16 @@ def _select_topk(S: np.ndarray, rord: np.ndarray, k: int):
 
 
 def tile_cogroup(L: DataFrame, R: DataFrame, kernel: Callable, out_schema: T.StructType,
-                 block_rows: int = 2048, grouped: bool = True) -> DataFrame:
+                 block_rows: int = 2048, grouped: bool = True, symmetric: bool = False) -> DataFrame:
     """Cut both sides into key blocks per group and run ``kernel(pl, pr)`` on
     every (left block, right block) pair of a group.
 
     L has columns _lk, _g (+ payload), R has _rk, _g (+ payload); several rows
     may share a key (they stay in one block).  Block counts come from per-group
     distinct-key counts, broadcast only under a checked bound; without groups
-    they are two scalars.
+    they are two scalars.  ``symmetric`` (same keys on both sides, no groups):
+    only block pairs bl <= br are formed and ``kernel(key, pl, pr)`` receives
+    the block key so that an off-diagonal tile can answer for both sides.
     """
     spark = L.sparkSession
     if not grouped:
@@ -119,6 +121,16 @@ def tile_cogroup(L: DataFrame, R: DataFrame, kernel: Callable, out_schema: T.Str
         if not nl or not nr:
             return spark.createDataFrame([], out_schema)
         nbl, nbr = max(1, math.ceil(nl / block_rows)), max(1, math.ceil(nr / block_rows))
+        if symmetric:
+            nb = max(nbl, nbr)
+            lb = F.pmod(F.xxhash64("_lk"), F.lit(nb)).cast("int")
+            rb = F.pmod(F.xxhash64("_rk"), F.lit(nb)).cast("int")
+            L = L.select("*", lb.alias("_bl")).select(
+                "*", F.explode(F.sequence(F.col("_bl"), F.lit(nb - 1))).alias("_br"))
+            R = R.select("*", rb.alias("_br")).select(
+                "*", F.explode(F.sequence(F.lit(0), F.col("_br"))).alias("_bl"))
+            return (L.groupBy("_g", "_bl", "_br").cogroup(R.groupBy("_g", "_bl", "_br"))
+                    .applyInPandas(kernel, out_schema))
         L = L.select("*", F.pmod(F.xxhash64("_lk"), F.lit(nbl)).cast("int").alias("_bl"),
                      F.explode(F.sequence(F.lit(0), F.lit(nbr - 1))).alias("_br"))
         R = R.select("*", F.explode(F.sequence(F.lit(0), F.lit(nbl - 1))).alias("_bl"),
