@@ -164,16 +164,18 @@ def availability(products: DataFrame) -> DataFrame:
 
 def with_availability(req: DataFrame, avail: DataFrame, cat_col: str) -> DataFrame:
     """Add has_rows (stage 1) and has_gender_rows (stage 2) to requests with
-    columns (<cat_col>, mode, gkey, price_filter, max_price)."""
+    columns (<cat_col>, mode, gkey, price_filter, max_price).  ``avail`` is the
+    small lookup of ``availability`` (already broadcast-hinted by the caller
+    after its size check)."""
     out = req
     for stage, name in ((1, "has_rows"), (2, "has_gender_rows")):
         key = F.when((F.col("mode") == "up") & F.lit(stage == 1), F.lit("ANY")).otherwise(F.col("gkey"))
         a = avail.where(F.col("stage") == stage).select(
             F.col("category_id").alias("_cat"), F.col("mode").alias("_mode"), F.col("key").alias("_key"),
             F.col("minp").alias(f"_minp{stage}"), F.lit(True).alias(f"_hit{stage}"))
-        out = C.join_dim(out.withColumn("_k", key), a,
-                         (F.col(cat_col) == F.col("_cat")) & (F.col("mode") == F.col("_mode"))
-                         & (F.col("_k") == F.col("_key")))
+        out = out.withColumn("_k", key).join(
+            a, (F.col(cat_col) == F.col("_cat")) & (F.col("mode") == F.col("_mode"))
+            & (F.col("_k") == F.col("_key")), "left")
         ok = F.col(f"_hit{stage}").isNotNull() & (~F.col("price_filter") | (
             F.col(f"_minp{stage}") <= F.col("max_price")))
         out = out.withColumn(name, F.coalesce(ok, F.lit(False))).drop(
@@ -181,6 +183,12 @@ def with_availability(req: DataFrame, avail: DataFrame, cat_col: str) -> DataFra
     return out
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Small lookup side: joined plainly so that AQE broadcasts it from its
+    measured runtime size (and keeps a shuffle join beyond the threshold)."""
+    return df
+
+
 def _residual(pl: pd.DataFrame, pr: pd.DataFrame) -> np.ndarray:
     g = pr["_pg"].fillna("").astype(str).to_numpy()
     gu = np.char.upper(g.astype(str))
@@ -220,15 +228,23 @@ class ChatFrames:
     part_hits: DataFrame
     singles: DataFrame
     single_hits: DataFrame
-    outfit_top5: DataFrame
     docs: DataFrame
     answers: DataFrame
+    outfit: DataFrame
+    vector_of: object
+    block_rows: int
+
+    def outfit_top5(self) -> DataFrame:
+        """The k=5 retriever over each outfit question's filtered catalog
+        (built by the reference and never queried; computed on demand)."""
+        o_req = self.vector_of(self.outfit.where(F.col("has_gender_rows"))
+                               .withColumn("req_key", F.col("question_id")),
+                               F.col("question_id") * VEC_STRIDE)
+        return retrieve(o_req.select("req_key", "vector", "mode", "gkey", "price_filter", "max_price"),
+                        self.docs, TOP_K_UNUSED, self.block_rows, group=None)
 
 
-def _vector_of(df: DataFrame, vec_id: Column, vectors: DataFrame) -> DataFrame:
-    n = vectors.count()
-    v = vectors.select(F.col("vec_id").alias("_vid"), "vector")
-    return C.join_dim(df.withColumn("_vid", F.pmod(vec_id, F.lit(n))), v, "_vid", "inner").drop("_vid")
+VECTOR_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def chat_pipeline(questions: DataFrame, replies: DataFrame, products: DataFrame,
@@ -241,16 +257,21 @@ def chat_pipeline(questions: DataFrame, replies: DataFrame, products: DataFrame,
     routed = keep(routed.withColumn("mode", mode).withColumn("gkey", gkey))
     products = keep(products.select("id", "name", "description", "gender", "price", "status",
                                     "thumbnail", "category_id"))
-    categories = keep(categories)
-    vectors = keep(vectors)
-    avail = keep(availability(products))
-    by_name = C.category_by_name(categories).select(F.col("category").alias("_cname"),
-                                                    F.col("id").alias("cat_id"))
+    avail = _small(availability(products))
+    by_name = _small(C.category_by_name(categories).select(F.col("category").alias("_cname"),
+                                                           F.col("id").alias("cat_id")))
+    n_vec = vectors.count()
+    vside = vectors.select(F.col("vec_id").alias("_vid"), "vector")
+    if n_vec and n_vec * (8 * len(vectors.first()["vector"]) + 64) <= VECTOR_BROADCAST_BYTES:
+        vside = F.broadcast(vside)
+
+    def vector_of(df: DataFrame, vec_id: Column) -> DataFrame:
+        return df.withColumn("_vid", F.pmod(vec_id, F.lit(max(n_vec, 1)))).join(vside, "_vid").drop("_vid")
 
     # active catalog documents with vectors (computed once, reused by every request)
     chat = C.chat_products(products.where(F.col("status")), categories)
     docs = C.product_document(chat).join(products.select("id", "category_id"), "id")
-    docs = keep(_vector_of(docs, F.col("id").cast("long"), vectors))
+    docs = keep(vector_of(docs, F.col("id").cast("long")))
 
     # ---- outfit questions: global gender/price check, then one request per part
     outfit = routed.where(F.col("route") == "outfit")
@@ -261,34 +282,28 @@ def chat_pipeline(questions: DataFrame, replies: DataFrame, products: DataFrame,
              .withColumn("pos", F.col("pos0") + 1).drop("pos0"))
     rp = I.route_part(F.col("part"))
     parts = parts.select("*", *[v.alias(k) for k, v in rp.items()])
-    parts = C.join_dim(parts, by_name, F.col("category_key") == F.col("_cname")).drop("_cname")
+    parts = parts.join(by_name, F.col("category_key") == F.col("_cname"), "left").drop("_cname")
     parts = with_availability(parts, avail, "cat_id")
     part_req = parts.where(F.col("outfit_ok") & F.col("cat_id").isNotNull() & F.col("has_gender_rows"))
-    part_req = _vector_of(part_req.withColumn("req_key", F.col("question_id") * 10 + F.col("pos")),
-                          F.col("question_id") * VEC_STRIDE + F.col("pos"), vectors)
+    part_req = vector_of(part_req.withColumn("req_key", F.col("question_id") * 10 + F.col("pos")),
+                         F.col("question_id") * VEC_STRIDE + F.col("pos"))
     part_hits = retrieve(part_req.select("req_key", F.col("cat_id").alias("category_id"), "vector",
                                          "mode", "gkey", "price_filter", "max_price"),
                          docs, TOP_K, block_rows)
 
-    # the k=5 retriever built over the outfit-wide filtered catalog (never queried there)
-    o_req = _vector_of(outfit.where(F.col("has_gender_rows")).withColumn("req_key", F.col("question_id")),
-                       F.col("question_id") * VEC_STRIDE, vectors)
-    outfit_top5 = retrieve(o_req.select("req_key", "vector", "mode", "gkey", "price_filter", "max_price"),
-                           docs, TOP_K_UNUSED, block_rows, group=None)
-
     # ---- single-category questions
     singles = routed.where(F.col("route") == "single")
-    singles = C.join_dim(singles, by_name, F.lower(F.col("category")) == F.col("_cname")).drop("_cname")
+    singles = singles.join(by_name, F.lower(F.col("category")) == F.col("_cname"), "left").drop("_cname")
     singles = with_availability(singles, avail, "cat_id")
     s_req = singles.where(F.col("cat_id").isNotNull() & F.col("has_gender_rows"))
-    s_req = _vector_of(s_req.withColumn("req_key", F.col("question_id") * 10),
-                       F.col("question_id") * VEC_STRIDE, vectors)
+    s_req = vector_of(s_req.withColumn("req_key", F.col("question_id") * 10), F.col("question_id") * VEC_STRIDE)
     single_hits = retrieve(s_req.select("req_key", F.col("cat_id").alias("category_id"), "vector", "mode",
                                         "gkey", "price_filter", "max_price"),
                            docs, TOP_K, block_rows)
 
     answers = assemble_answers(routed, parts, part_hits, singles, single_hits, docs)
-    return ChatFrames(parsed, routed, parts, part_hits, singles, single_hits, outfit_top5, docs, answers)
+    return ChatFrames(parsed, routed, parts, part_hits, singles, single_hits, docs, answers, outfit,
+                      vector_of, block_rows)
 
 
 def _source_struct(d: str = "") -> Column:

@@ -109,8 +109,8 @@ def tile_cogroup(L: DataFrame, R: DataFrame, kernel: Callable, out_schema: T.Str
 
     L has columns _lk, _g (+ payload), R has _rk, _g (+ payload); several rows
     may share a key (they stay in one block).  Block counts come from per-group
-    distinct-key counts, broadcast only under a checked bound; without groups
-    they are two scalars.  ``symmetric`` (same keys on both sides, no groups):
+    distinct-key counts (AQE picks broadcast from measured sizes); without
+    groups they are two scalars.  ``symmetric`` (same keys on both sides, no groups):
     only block pairs bl <= br are formed and ``kernel(key, pl, pr)`` receives
     the block key so that an off-diagonal tile can answer for both sides.
     """
@@ -139,13 +139,11 @@ def tile_cogroup(L: DataFrame, R: DataFrame, kernel: Callable, out_schema: T.Str
                 .applyInPandas(kernel, out_schema))
     nl = L.groupBy("_g").agg(F.countDistinct("_lk").alias("_nl"))
     nr = R.groupBy("_g").agg(F.countDistinct("_rk").alias("_nr"))
+    # one row per group; AQE broadcasts it at runtime when its measured size is
+    # under the threshold, else it stays a shuffle join (no driver-side count)
     sizes = nl.join(nr, "_g").select(
         "_g", F.greatest(F.lit(1), F.ceil(F.col("_nl") / block_rows)).cast("int").alias("_nbl"),
         F.greatest(F.lit(1), F.ceil(F.col("_nr") / block_rows)).cast("int").alias("_nbr"))
-    ngroups = sizes.limit(MAX_BROADCAST_GROUPS + 1).count()
-    if ngroups == 0:
-        return spark.createDataFrame([], out_schema)
-    sizes = F.broadcast(sizes) if ngroups <= MAX_BROADCAST_GROUPS else sizes
     L = L.join(sizes, "_g").select(
         "*", F.pmod(F.xxhash64("_lk"), F.col("_nbl")).cast("int").alias("_bl"),
         F.explode(F.sequence(F.lit(0), F.col("_nbr") - 1)).alias("_br")).drop("_nbl", "_nbr")

@@ -504,7 +504,7 @@ def q_retrieve_top3(spark, sf_dir):
 def q_retrieve_top5(spark, sf_dir):
     """The k=5 retriever over each outfit question's filtered catalog."""
     cf = _chat_frames(spark, sf_dir)
-    return cf.outfit_top5.select(F.col("req_key").alias("question_id"), F.col("rank").cast("long").alias("rank"),
+    return cf.outfit_top5().select(F.col("req_key").alias("question_id"), F.col("rank").cast("long").alias("rank"),
                                  "id", F.round("l2", 6).alias("l2"))
 
 
@@ -625,8 +625,8 @@ def q_retrieve_lsh(spark, sf_dir):
     """Approximate L2 top-3 (random-projection LSH) of every question over the active catalog."""
     cf_docs = D.chat_pipeline(FX.questions(spark, sf_dir), _replies(spark, sf_dir), FX.products(spark, sf_dir),
                               FX.categories(spark, sf_dir), FX.embedding_table(spark, sf_dir)).docs
-    q = D._vector_of(FX.questions(spark, sf_dir).select(F.col("question_id").alias("qid")),
-                     F.col("qid") * D.VEC_STRIDE, FX.embedding_table(spark, sf_dir))
+    q = D.vectors_by_id(FX.questions(spark, sf_dir).select(F.col("question_id").alias("qid")),
+                        F.col("qid") * D.VEC_STRIDE, FX.embedding_table(spark, sf_dir))
     return V.lsh_neighbors(q, cf_docs.select("id", "vector"), k=3)
 
 

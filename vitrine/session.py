@@ -34,7 +34,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     b = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
+    conf.setdefault("spark.driver.memory", "10g")
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
