@@ -291,10 +291,11 @@ def _fixture_word_vectors(spark, sf_dir, tokens=None):
 
 def _product_vectors(spark, sf_dir):
     from vitrine.session import materialize
-    tokens = materialize(_product_tokens(spark, sf_dir))
+    tokens = _product_tokens(spark, sf_dir)
+    counts = materialize(TX.token_counts(tokens))
     vecs = FX.embedding_table(spark, sf_dir)
-    ids = TX.table_word_ids(TX.vocabulary(tokens), vecs.count())
-    return TX.doc_vectors_by_id(tokens, ids, vecs, dim=64)
+    ids = TX.table_word_ids(TX.vocabulary_from_counts(counts), vecs.count())
+    return TX.doc_vectors_from_counts(tokens.select("id"), counts, ids, vecs, dim=64)
 
 
 @query("tokens_clean")
