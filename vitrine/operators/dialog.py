@@ -219,7 +219,7 @@ def retrieve(requests: DataFrame, docs: DataFrame, k: int, block_rows: int = 204
                     F.col("pos").alias("rank"), F.col("score").alias("l2"))
 
 
-# ---------------------------------------------------------------- pipeline
+# ---------------------------------------------------------------- end-to-end flow
 @dataclass
 class ChatFrames:
     parsed: DataFrame
@@ -247,7 +247,14 @@ class ChatFrames:
 VECTOR_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def chat_pipeline(questions: DataFrame, replies: DataFrame, products: DataFrame,
+def vectors_by_id(df: DataFrame, vec_id: Column, vectors: DataFrame) -> DataFrame:
+    """Attach ``vectors.vector`` of row ``vec_id mod n`` (size-checked broadcast)."""
+    n = vectors.count()
+    v = vectors.select(F.col("vec_id").alias("_vid"), "vector")
+    return C.join_dim(df.withColumn("_vid", F.pmod(vec_id, F.lit(max(n, 1)))), v, "_vid", "inner").drop("_vid")
+
+
+def chat_flow(questions: DataFrame, replies: DataFrame, products: DataFrame,
                   categories: DataFrame, vectors: DataFrame, block_rows: int = 2048,
                   checkpoint: bool = True) -> ChatFrames:
     keep = materialize if checkpoint else (lambda df: df)

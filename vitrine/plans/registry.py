@@ -419,7 +419,7 @@ def _replies(spark, sf_dir):
 
 
 def _chat_frames(spark, sf_dir):
-    return D.chat_pipeline(FX.questions(spark, sf_dir), _replies(spark, sf_dir), FX.products(spark, sf_dir),
+    return D.chat_flow(FX.questions(spark, sf_dir), _replies(spark, sf_dir), FX.products(spark, sf_dir),
                            FX.categories(spark, sf_dir), FX.embedding_table(spark, sf_dir))
 
 
@@ -624,11 +624,13 @@ def q_refresh_snapshot(spark, sf_dir):
 @query("retrieve_lsh")
 def q_retrieve_lsh(spark, sf_dir):
     """Approximate L2 top-3 (random-projection LSH) of every question over the active catalog."""
-    cf_docs = D.chat_pipeline(FX.questions(spark, sf_dir), _replies(spark, sf_dir), FX.products(spark, sf_dir),
-                              FX.categories(spark, sf_dir), FX.embedding_table(spark, sf_dir)).docs
+    vecs = FX.embedding_table(spark, sf_dir)
+    prods = FX.products(spark, sf_dir)
+    docs = C.product_document(C.chat_products(prods.where(F.col("status")), FX.categories(spark, sf_dir)))
+    docs = D.vectors_by_id(docs.select("id"), F.col("id").cast("long"), vecs)
     q = D.vectors_by_id(FX.questions(spark, sf_dir).select(F.col("question_id").alias("qid")),
-                        F.col("qid") * D.VEC_STRIDE, FX.embedding_table(spark, sf_dir))
-    return V.lsh_neighbors(q, cf_docs.select("id", "vector"), k=3)
+                        F.col("qid") * D.VEC_STRIDE, vecs)
+    return V.lsh_neighbors(q, docs, k=3)
 
 
 @query("unread_candidates")
