@@ -87,6 +87,12 @@ def q_orphan_interactions(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ neighbours
+def _matrix(spark, sf_dir):
+    """Event matrix, checkpointed once: every CF query reads it in several branches."""
+    from vitrine.session import materialize
+    return materialize(M.user_product_matrix(FX.interactions(spark, sf_dir)))
+
+
 @query("user_norms")
 def q_user_norms(spark, sf_dir):
     """Per-user vector norms."""
@@ -97,13 +103,13 @@ def q_user_norms(spark, sf_dir):
 @query("user_similarity")
 def q_user_similarity(spark, sf_dir):
     """Overlapping user pairs with cosine distance (both directions)."""
-    return N.user_similarity(M.user_product_matrix(FX.interactions(spark, sf_dir)))
+    return N.user_similarity(_matrix(spark, sf_dir))
 
 
 @query("user_neighbors")
 def q_user_neighbors(spark, sf_dir):
     """K nearest users (self included, zero-overlap users at distance 1)."""
-    m = M.user_product_matrix(FX.interactions(spark, sf_dir))
+    m = _matrix(spark, sf_dir)
     nb = N.user_neighbors(m)
     return nb.select("user_id", "neighbor_id", F.col("nrank").cast("long").alias("nrank"), "dist",
                      F.round("weight", 6).alias("weight"))
@@ -112,7 +118,7 @@ def q_user_neighbors(spark, sf_dir):
 @query("cf_scores")
 def q_cf_scores(spark, sf_dir):
     """A5 + F8: weighted scores of unread products."""
-    m = M.user_product_matrix(FX.interactions(spark, sf_dir))
+    m = _matrix(spark, sf_dir)
     sc = N.cf_scores(m, N.user_neighbors(m))
     return sc.select("user_id", "product_id", F.round("score", 6).alias("score"),
                      F.col("first_nrank").cast("long").alias("first_nrank"))
@@ -121,7 +127,7 @@ def q_cf_scores(spark, sf_dir):
 @query("cf_top8")
 def q_cf_top8(spark, sf_dir):
     """Stable top 8 per user before the popularity fill."""
-    m = M.user_product_matrix(FX.interactions(spark, sf_dir))
+    m = _matrix(spark, sf_dir)
     return N.cf_topn(N.cf_scores(m, N.user_neighbors(m)))
 
 
@@ -637,7 +643,7 @@ def q_retrieve_lsh(spark, sf_dir):
 def q_unread_candidates(spark, sf_dir):
     """Products of the k nearest users with a positive cell, kept
     only when the user's own cell is 0 or absent (left anti join)."""
-    m = M.user_product_matrix(FX.interactions(spark, sf_dir))
+    m = _matrix(spark, sf_dir)
     nb = N.user_neighbors(m)
     pos = m.where(F.col("score") > 0).select(F.col("user_id").alias("neighbor_id"), "product_id")
     cand = nb.select("user_id", "neighbor_id").join(pos, "neighbor_id").groupBy("user_id", "product_id").agg(
