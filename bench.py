@@ -45,7 +45,8 @@ def main() -> None:
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
     # warm-up of the JVM and of the Python workers (no test data touched)
     spark.range(1000).selectExpr("sum(id)").collect()
-    (spark.range(1000).withColumn("g", F.col("id") % 8).groupBy("g")
+    n = int(cpus) * 2
+    (spark.range(0, 100 * n, 1, n).withColumn("g", F.col("id") % n).groupBy("g")
      .applyInPandas(lambda pdf: pdf.head(1), "id long, g long").collect())
     times = {}
     for n in names:
