@@ -226,7 +226,3 @@ def lsh_neighbors(queries: DataFrame, corpus: DataFrame, k: int, bucket_length:
     w = Window.partitionBy("qid").orderBy("dist", "id")
     return (pairs.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
             .select("qid", "id", (F.col("dist") * F.col("dist")).alias("l2"), "pos"))
-
-
-def block_count(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / block_rows))

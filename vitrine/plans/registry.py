@@ -290,11 +290,6 @@ def _doc_tokens(spark, sf_dir):
                            id_col="doc_id", text_col="text")
 
 
-def _fixture_word_vectors(spark, sf_dir, tokens=None):
-    tokens = tokens if tokens is not None else _product_tokens(spark, sf_dir)
-    return TX.table_word_vectors(TX.vocabulary(tokens), FX.embedding_table(spark, sf_dir))
-
-
 def _product_vectors(spark, sf_dir):
     from vitrine.session import materialize
     tokens = _product_tokens(spark, sf_dir)
