@@ -23,6 +23,23 @@ def raw_tokens(text: Column) -> Column:
     return F.filter(F.split(normalize_text(text), r"\s+"), lambda x: x != "")
 
 
+def split_words(text: Column) -> Column:
+    """Whitespace split of the normalised text (may hold empty strings)."""
+    return F.split(normalize_text(text), r"\s+")
+
+
+def kept_word(word: Column, stopwords: list[str]) -> Column:
+    """Row predicate for an exploded word: non-empty and not a stopword.
+
+    Used after ``explode(split_words(...))`` where only the multiset of words
+    matters: plain predicates stay inside whole-stage codegen, unlike the
+    lambda of ``F.filter`` over the array.
+    """
+    words = sorted(set(stopwords))
+    keep = word != ""
+    return keep & ~word.isin(words) if words else keep
+
+
 def clean_tokens(text: Column, stopwords: list[str]) -> Column:
     """array<string> of tokens, stopwords removed, order and repeats kept."""
     words = sorted(set(stopwords))

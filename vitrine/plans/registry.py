@@ -274,7 +274,7 @@ def q_request_status(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ text and vectors
-from vitrine.functions.text import raw_tokens  # noqa: E402
+from vitrine.functions.text import split_words  # noqa: E402
 from vitrine.operators import text as TX  # noqa: E402
 from vitrine.operators import vectors as V  # noqa: E402
 from vitrine.sources.stopwords import stopword_frame, stopword_list  # noqa: E402
@@ -290,13 +290,17 @@ def _doc_tokens(spark, sf_dir):
                            id_col="doc_id", text_col="text")
 
 
+def _product_counts(spark, sf_dir):
+    """(id, word, cnt) of every product description (codegen path, no token arrays)."""
+    return TX.text_token_counts(FX.products(spark, sf_dir).select("id", "description"), stopword_list())
+
+
 def _product_vectors(spark, sf_dir):
     from vitrine.session import materialize
-    tokens = _product_tokens(spark, sf_dir)
-    counts = materialize(TX.token_counts(tokens))
+    counts = materialize(_product_counts(spark, sf_dir))
     vecs = FX.embedding_table(spark, sf_dir)
     ids = TX.table_word_ids(TX.vocabulary_from_counts(counts), vecs.count())
-    return TX.doc_vectors_from_counts(tokens.select("id"), counts, ids, vecs, dim=64)
+    return TX.doc_vectors_from_counts(FX.products(spark, sf_dir).select("id"), counts, ids, vecs, dim=64)
 
 
 @query("tokens_clean")
@@ -317,7 +321,7 @@ def q_text_joined(spark, sf_dir):
 @query("vocabulary")
 def q_vocabulary(spark, sf_dir):
     """Corpus word counts of the product descriptions."""
-    return TX.vocabulary(_product_tokens(spark, sf_dir))
+    return TX.vocabulary_from_counts(_product_counts(spark, sf_dir))
 
 
 @query("stopword_dim")
@@ -325,7 +329,7 @@ def q_stopword_dim(spark, sf_dir):
     """The stopword dimension with each word's frequency in the documents."""
     docs = read_table(spark, sf_dir, "documents", "text")
     words = stopword_list()
-    hits = (docs.select(F.explode(raw_tokens(F.col("text"))).alias("word"))
+    hits = (docs.select(F.explode(split_words(F.col("text"))).alias("word"))
             .where(F.col("word").isin(words)).groupBy("word").agg(F.count(F.lit(1)).alias("corpus_count")))
     dim = stopword_frame(spark).withColumn("active", ~F.col("word").rlike(r"\s"))
     return dim.join(F.broadcast(hits), "word", "left").select(
@@ -335,10 +339,10 @@ def q_stopword_dim(spark, sf_dir):
 @query("word_vectors_fixture")
 def q_word_vectors_fixture(spark, sf_dir):
     """Table-given word vectors: word of corpus rank r -> embedding r % n."""
-    tokens = _product_tokens(spark, sf_dir)
     n = FX.embedding_table(spark, sf_dir).count()
     from vitrine.operators.ranking import global_rank
-    r = global_rank(TX.vocabulary(tokens), [F.col("n").desc(), F.col("word").asc()])
+    r = global_rank(TX.vocabulary_from_counts(_product_counts(spark, sf_dir)),
+                    [F.col("n").desc(), F.col("word").asc()])
     return r.select("word", "n", ((F.col("rnk") - 1) % n).alias("vec_id"))
 
 
