@@ -74,6 +74,17 @@ def test_blocked_topk_matches_bruteforce_with_ties(spark):
         assert res == brute_topk(vecs, 6, True)
 
 
+def test_symmetric_tiles_equal_full_grid(spark):
+    rnd = random.Random(11)
+    vecs = [(f"{i:03d}", [float(rnd.randint(-2, 2)) for _ in range(4)]) for i in range(90)]
+    df = spark.createDataFrame(vecs, "id string, vector array<double>")
+    for metric in ("cosine", "l2"):
+        full = V.blocked_topk(df, df, lkey="id", rkey="id", k=7, metric=metric, block_rows=8).collect()
+        sym = V.blocked_topk(df, df, lkey="id", rkey="id", k=7, metric=metric, block_rows=8,
+                             symmetric=True).collect()
+        assert sorted(map(tuple, sym)) == sorted(map(tuple, full)) and len(full) == 90 * 7
+
+
 def test_four_products_give_three(spark):
     df = spark.createDataFrame([(str(i), [1.0, float(i)]) for i in range(4)], "id string, vector array<double>")
     got = V.similar_products(df).groupBy("product_id").count().collect()

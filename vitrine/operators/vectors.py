@@ -62,10 +62,29 @@ def _tile_topk(pl: pd.DataFrame, pr: pd.DataFrame, metric, k: int, exclude_same:
         valid &= lk[:, None] != rk[None, :]
     if residual is not None:
         valid &= residual(pl, pr)
-    rk = pr["_rk"].to_numpy()
-    rord = np.argsort(np.argsort(rk.astype(str) if rk.dtype == object else rk, kind="stable"),
+    return _select_topk(np.where(valid, S, -np.inf), _key_order(rk), k)
+
+
+def _key_order(keys: np.ndarray) -> np.ndarray:
+    """Position of each key in ascending key order (the tie-break rank)."""
+    return np.argsort(np.argsort(keys.astype(str) if keys.dtype == object else keys, kind="stable"),
                       kind="stable").astype(np.int64)
-    return _select_topk(np.where(valid, S, -np.inf), rord, k)
+
+
+def _tile_topk_both(pl: pd.DataFrame, pr: pd.DataFrame, metric: str, k: int, exclude_same: bool,
+                    both: bool) -> list:
+    """Symmetric metric over one tile: top-k of the left rows among the right
+    rows and, when ``both``, of the right rows among the left rows from the
+    same score matrix (one GEMM answers an off-diagonal tile for both sides).
+    Returns [(row_keys, col_keys, rows, cols, vals), ...]."""
+    S = _tile_scores(pl, pr, metric)
+    lk, rk = pl["_lk"].to_numpy(), pr["_rk"].to_numpy()
+    if exclude_same:
+        S = np.where(lk[:, None] != rk[None, :], S, -np.inf)
+    out = [(lk, rk, *_select_topk(S, _key_order(rk), k))]
+    if both:
+        out.append((rk, lk, *_select_topk(np.ascontiguousarray(S.T), _key_order(lk), k)))
+    return out
 
 
 def _select_topk(S: np.ndarray, rord: np.ndarray, k: int):
@@ -164,10 +183,18 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, lkey: str, rkey: str, k:
                  lvec: str = "vector", rvec: str = "vector", group: str | None = None,
                  metric: str = "cosine", exclude_same_key: bool = False,
                  residual: Callable | None = None, lextra: tuple = (), rextra: tuple = (),
-                 block_rows: int = 2048, score_fn: Callable | None = None) -> DataFrame:
+                 block_rows: int = 2048, score_fn: Callable | None = None,
+                 symmetric: bool = False) -> DataFrame:
     """Top-k right rows per left row (per group).  Returns
     (left_key[, group], right_key, score, pos): score = cosine, or the squared
-    L2 distance for 'l2' (rounded to 9 dp, the precision ties are decided at)."""
+    L2 distance for 'l2' (rounded to 9 dp, the precision ties are decided at).
+
+    ``symmetric``: left and right are the same keyed vector set (no group,
+    no residual, built-in metric); only tiles bl <= br are formed and each
+    off-diagonal tile answers for both of its blocks, which halves the
+    shuffled vectors and the GEMM work of the all-pairs step."""
+    if symmetric and (group or residual or score_fn or lextra or rextra):
+        raise ValueError("symmetric tiles need one ungrouped set and a built-in metric")
     gexpr = F.col(group) if group else F.lit(0)
     lv = [F.col(lvec).alias("_lv")] if lvec else []
     rv = [F.col(rvec).alias("_rv")] if rvec else []
@@ -184,7 +211,19 @@ def blocked_topk(left: DataFrame, right: DataFrame, *, lkey: str, rkey: str, k:
         return pd.DataFrame({"_lk": pl["_lk"].to_numpy()[rows], "_g": pl["_g"].to_numpy()[rows],
                              "_rk": pr["_rk"].to_numpy()[cols], "_s": vals})
 
-    top = merge_tiles(tile_cogroup(L, R, kernel, out_schema, block_rows, grouped=group is not None), k)
+    def sym_kernel(key, pl: pd.DataFrame, pr: pd.DataFrame) -> pd.DataFrame:
+        if len(pl) == 0 or len(pr) == 0:
+            return pd.DataFrame({"_lk": [], "_g": [], "_rk": [], "_s": []})
+        parts = [pd.DataFrame({"_lk": a[rows], "_g": np.zeros(len(rows), dtype=np.int32),
+                               "_rk": b[cols], "_s": vals})
+                 for a, b, rows, cols, vals in _tile_topk_both(pl, pr, metric, k, exclude_same_key,
+                                                               both=key[1] != key[2])]
+        return pd.concat(parts, ignore_index=True)
+
+    tiles = (tile_cogroup(L, R, sym_kernel, out_schema, block_rows, grouped=False, symmetric=True)
+             if symmetric else
+             tile_cogroup(L, R, kernel, out_schema, block_rows, grouped=group is not None))
+    top = merge_tiles(tiles, k)
     score = (-F.col("_s") + F.lit(0.0)) if metric in ("l2", "neg") else F.col("_s")
     cols = [F.col("_lk").alias("left_key"), F.col("_rk").alias("right_key"),
             F.round(score, 9).alias("score"), "pos"]
@@ -205,7 +244,7 @@ def similar_products(vectors: DataFrame, k: int = 6, block_rows: int = 2048) ->
     """Six most similar products, the product itself excluded
     (= ranks 2-7 of the reference's order with self first)."""
     top = blocked_topk(vectors, vectors, lkey="id", rkey="id", k=k, exclude_same_key=True,
-                       block_rows=block_rows)
+                       block_rows=block_rows, symmetric=True)
     return top.select(F.col("left_key").alias("product_id"), F.col("pos").cast("long").alias("rank"),
                       F.col("right_key").alias("similar_id"), "score")
 

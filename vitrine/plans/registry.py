@@ -371,7 +371,7 @@ def q_similar_products(spark, sf_dir):
 def q_product_similarity(spark, sf_dir):
     """Blocked all-pairs cosine, top 7 per product including itself."""
     dv = _product_vectors(spark, sf_dir)
-    t = V.blocked_topk(dv, dv, lkey="id", rkey="id", k=7)
+    t = V.blocked_topk(dv, dv, lkey="id", rkey="id", k=7, symmetric=True)
     return t.select(F.col("left_key").alias("product_id"), F.col("right_key").alias("other_id"),
                     F.col("pos").cast("long").alias("rank"), F.round("score", 6).alias("similarity"))
 
