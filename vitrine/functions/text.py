@@ -45,7 +45,8 @@ def clean_tokens(text: Column, stopwords: list[str]) -> Column:
     words = sorted(set(stopwords))
     if not words:
         return raw_tokens(text)
-    return F.filter(raw_tokens(text), lambda x: ~x.isin(words))
+    # one pass over the words: empty strings and stopwords dropped together
+    return F.filter(split_words(text), lambda x: (x != "") & ~x.isin(words))
 
 
 def joined_tokens(text: Column, stopwords: list[str]) -> Column:
