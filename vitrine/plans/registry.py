@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import matrix as M
 from vitrine.operators import neighbors as N
-from vitrine.session import ensure_checkpoint_dir
+from vitrine.session import ensure_checkpoint_dir, ship_package
 from vitrine.sources import fixtures as FX
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ def query(name: str):
     def deco(fn: QueryFn) -> QueryFn:
         def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_checkpoint_dir(spark)
+            ship_package(spark)
             return fn(spark, sf_dir)
         wrapped.__name__ = fn.__name__
         wrapped.__doc__ = fn.__doc__

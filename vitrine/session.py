@@ -43,6 +43,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -68,6 +69,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vitrine`` importable in the Python workers (once per context).
+
+    Pandas-UDF kernels and helpers are pickled by module reference, so the
+    workers need the package on their path wherever the driver runs from.
+    The package is zipped on the driver and handed to ``addPyFile`` (the
+    ``--py-files`` mechanism), which distributes it to every executor.
+    """
+    import zipfile
+    try:
+        sc = spark.sparkContext
+        key = id(sc._jsc)
+    except Exception:  # remote (Connect) session
+        sc, key = None, ("connect", id(spark))
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="vitrine-pyfiles-"), "vitrine.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg):
+            dirs[:] = sorted(d for d in dirs if d != "__pycache__")
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    if sc is not None:
+        sc.addPyFile(out)
+    else:
+        spark.addArtifacts(out, pyfile=True)
+    _SHIPPED.add(key)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (tables, streams)."""
     import uuid
