@@ -24,6 +24,28 @@ def test_entry_contract(spark):
     assert set(o) <= set(q) and len(q) >= 60
 
 
+def test_entry_from_foreign_working_dir(tmp_path):
+    """Python-worker kernels must import the package wherever the driver runs."""
+    import subprocess
+    import sys
+    code = (
+        "import importlib.util\n"
+        f"spec = importlib.util.spec_from_file_location('se', {os.path.join(ROOT, '__spark_entry__.py')!r})\n"
+        "se = importlib.util.module_from_spec(spec); spec.loader.exec_module(se)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = (SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')\n"
+        "         .config('spark.sql.shuffle.partitions', '4').getOrCreate())\n"
+        "print('ROWS', se.entry(spark).count(), se.queries()['similar_products'](spark, se.SMOKE_DIR).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    r = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True,
+                       text=True, timeout=600)
+    line = [x for x in r.stdout.splitlines() if x.startswith("ROWS")]
+    assert line, r.stderr[-3000:]
+    _, n_recs, n_sim = line[0].split()
+    assert int(n_recs) > 0 and int(n_sim) > 0
+
+
 def test_no_cartesian_or_nested_loop_in_flagship(spark):
     df = QUERIES["recommend_users_orders"](spark, SF001)
     txt = plan_text(df)
