@@ -100,3 +100,12 @@ def test_no_cross_product_in_any_plan(spark):
         txt = plan_text(fn(spark, SF001))
         assert "CartesianProduct" not in txt and "BroadcastNestedLoopJoin" not in txt, name
         assert "BatchEvalPython" not in txt, name          # no row-at-a-time Python UDF
+
+
+def test_cluster_conf_sizes_partitions():
+    from vitrine.session import cluster_conf
+    c = cluster_conf(100 << 40, 8000)            # 100 TB on 8,000 cores
+    assert int(c["spark.sql.shuffle.partitions"]) == 100_000       # capped (map x reduce blocks)
+    assert int(cluster_conf(1 << 40, 100)["spark.sql.shuffle.partitions"]) == 8192
+    assert int(cluster_conf(1 << 30, 8000)["spark.sql.shuffle.partitions"]) == 24000   # 3 waves minimum
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"

@@ -47,6 +47,32 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20,
+                 max_partitions: int = 100_000) -> dict:
+    """Settings for a cluster session sized from the input volume.
+
+    Shuffle partitions start at about one per ``target_partition_bytes`` of
+    input (at least 3 waves of the cores), capped at ``max_partitions``
+    because shuffle blocks grow as map tasks x reduce partitions; shuffled
+    data is far smaller than the scanned input after pruning and partial
+    aggregation, and AQE coalesces small partitions and splits skewed ones
+    (over 4x the median and 256 MB) at runtime.  File splits follow the
+    target, so a scan task holds a bounded slice of input.
+    """
+    waves = 3 * max(1, total_cores)
+    parts = min(max(waves, -(-int(input_bytes) // target_partition_bytes)), max(max_partitions, waves))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory, creating one only locally."""
     try:
