@@ -66,16 +66,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Odd multipliers of a word's place in a window.
+_PLACE = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hash of every window of n words; the whole sequence if it is
-    shorter; nothing without words."""
+    """64-bit hash of every window of n words (n <= 64); of the whole
+    sequence if it is shorter; nothing without words."""
     if not len(words):
         return words
     m = min(n, len(words))
-    acc = np.zeros(len(words) - m + 1, dtype=np.uint64)
-    for i in range(m):
-        acc = mix64(acc + words[i:i + len(acc)]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1)
-    return mix64(acc + np.uint64(m) * np.uint64(0xD6E8FEB86659FD93))
+    size = len(words) - m + 1
+    acc = words[:size] * _PLACE[0]
+    for i in range(1, m):
+        acc += words[i:i + size] * _PLACE[i]
+    return mix64(acc + np.uint64(m))
 
 
 def strata_bucket(doc_id: str, modulus: int) -> Column:

@@ -39,3 +39,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from vitrine.llm import bpe
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), PATTERN)
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and risk-controlled verdict of every document."""
+    from vitrine.llm import quality
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
