@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import map_batches, text_or_empty
 
 #: Words kept between batches of a worker; emptied when full (bounded memory).
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 900_000
 #: Words of one replay; more are replayed in several runs (bounded memory).
-REPLAY_WORDS = 400_000
+REPLAY_WORDS = 250_000
 
 #: ``\s`` of the split pattern is Unicode white space; Python's also takes
 #: the separators U+001C-U+001F, so the class is written out.
@@ -265,7 +265,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(rank_table(path, pattern))
 
 
-def slices(texts: list[str], budget: int = 32_000_000):
+def slices(texts: list[str], budget: int = 16_000_000):
     """Cut a batch into runs of at most so many characters (one text at least)."""
     lo = size = 0
     for i, text in enumerate(texts):

@@ -128,7 +128,7 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, delta: float,
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05,
-               price: float = 25.0, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+               price: float = 100.0, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """(stratum, cutoffs map<rule, step>) from the labelled documents: a rule
     rejects values over (step - 1) / STEPS.
 
