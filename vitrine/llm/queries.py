@@ -46,3 +46,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and risk-controlled verdict of every document."""
     from vitrine.llm import quality
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of at most 2048 ids."""
+    from vitrine.llm import packing
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
