@@ -53,3 +53,31 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 2048 ids."""
     from vitrine.llm import packing
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op6_secrets")
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base patterns and entropy spans."""
+    from vitrine.llm import secrets
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    from vitrine.llm import fingerprints
+    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    from vitrine.llm import language
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    from vitrine.llm import toxicity
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
