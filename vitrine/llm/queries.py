@@ -81,3 +81,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     from vitrine.llm import toxicity
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_suffixes")
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat an earlier document's."""
+    from vitrine.llm import suffixes
+    return suffixes.report(table(spark, sf_dir, "documents"))

@@ -1,8 +1,9 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over the words of a text (presence).  The words are those
-that tell the classes apart best on all learning rows (chi-square of document
-counts, summed by Spark).  Besides the usual loss, each labelled text is read
+A logistic model over the words of a text and their stems, i.e. the first
+characters (presence).  The terms are those that tell the classes apart best on
+all learning rows (chi-square of document counts, summed by Spark), if they do
+so significantly.  Besides the usual loss, each labelled text is read
 once more with its identity terms swapped for others, and the squared change
 of its score is penalised, so that a neutral mention of a group moves nothing.
 
@@ -15,11 +16,11 @@ only the named columns are read, so other columns may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import strata_bucket, text_or_empty
@@ -44,10 +45,29 @@ THRESHOLD = 0.7
 _WORD = r"[^\p{L}\p{Nd}']+"
 
 
-def _words(text) -> list[str]:
+#: Lengths of stems (marked by ^), and the chi-square that a term needs (1 degree of freedom).
+STEMS = (4, 5)
+SIGNIFICANT = 15.0
+
+
+def _stem(length: int) -> Callable[[Column], Column]:
+    return lambda word: F.concat(F.lit("^"), F.substring(word, 1, length))
+
+
+def _terms(words: Column) -> Column:
+    """Distinct words and their stems."""
+    parts = [words, *[F.transform(words, _stem(n)) for n in STEMS]]
+    return F.array_distinct(F.concat(*parts))
+
+
+def _words(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), _WORD))
 
 
+def _python_terms(words: set[str]) -> set[str]:
+    return words.union(*[{"^" + w[:n] for w in words} for n in STEMS])
+
+
 def swaps() -> dict[str, str]:
     """Each identity term's counterpart: the next of its line."""
     out = {}
@@ -96,7 +116,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """doc_id, held_out, score and predicted of every document.
 
     The word counts cover all learning rows; of the rows, at most ``fit_rows``
-    are fitted, and only the places of their words in the model come to the
+    are fitted, and only the places of their terms in the model come to the
     driver.  The model, ``words`` weights, goes to the tasks.
     """
     held = strata_bucket(id_col, 3) == 1
@@ -110,12 +130,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     vocabulary: dict[str, int] = {}
     w = np.zeros(1)
     if n1 and n0:
-        counts = (rows.select("y", F.explode("words").alias("word")).filter("word <> ''")
+        counts = (rows.select("y", F.explode(_terms(F.col("words"))).alias("word")).filter("word not in ('', '^')")
                   .groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
                   .filter(f"a + b >= {MIN_DOCS}"))
         share = F.expr(f"(a + b) / {n1 + n0}D")
-        chi = F.expr(f"pow(a / {n1}D - b / {n0}D, 2)") / (share * (1 - share) + 1e-9)
-        best = counts.orderBy(chi.desc(), "word").limit(words).collect()
+        chi = F.expr(f"pow(a / {n1}D - b / {n0}D, 2)") / (share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+        best = counts.filter(chi >= SIGNIFICANT).orderBy(chi.desc(), "word").limit(words).collect()
         vocabulary = {r["word"]: i for i, r in enumerate(best)}
         lookup = dict(vocabulary)
 
@@ -123,8 +143,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for b in batches:
                 own, other = [], []
                 for ws in b.column(1).to_pylist():
-                    own.append(sorted(lookup[x] for x in ws if x in lookup))
-                    other.append(sorted({lookup[x] for x in (swap.get(x, x) for x in ws) if x in lookup}))
+                    own.append(sorted(lookup[x] for x in _python_terms(set(ws)) if x in lookup))
+                    changed = _python_terms({swap.get(x, x) for x in ws})
+                    other.append(sorted(lookup[x] for x in changed if x in lookup))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32())),
                                                   pa.array(other, pa.list_(pa.int32()))], ["y", "own", "other"])
         half = fit_rows // 2
@@ -142,7 +163,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out = np.zeros(b.num_rows)
             if base is not None:
                 for i, t in enumerate(b.column(2).to_pylist()):
-                    s = base + sum(map(weights.__getitem__, weights.keys() & set(split(t.lower()))))
+                    s = base + sum(map(weights.__getitem__, weights.keys() & _python_terms(set(split(t.lower())))))
                     out[i] = 1 / (1 + np.exp(-min(max(s, -30.0), 30.0)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(out), pa.array((out >= threshold).astype(np.int32))],
