@@ -88,3 +88,10 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat an earlier document's."""
     from vitrine.llm import suffixes
     return suffixes.report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_ngram_join")
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are alike."""
+    from vitrine.llm import ngramjoin
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
