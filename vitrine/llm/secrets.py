@@ -97,14 +97,17 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
                        lambda acc: acc["best"])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and the spans of every kind (assign, access, hex, entropy),
-    each an array of (start, end) in code points, end exclusive."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    text = F.col("text")
-    rows = rows.select("doc_id", "text", *[pattern_spans(text, p, n).alias(k) for k, (p, n) in BASE.items()],
-                       pattern_spans(text, CANDIDATE, WINDOW).alias("candidates"))
-    base = F.concat(*BASE)
+KINDS = (*BASE, "entropy")
+
+
+def with_spans(rows: DataFrame, text_col: str) -> DataFrame:
+    """The rows with the spans of every kind in columns ``_assign``,
+    ``_access``, ``_hex`` and ``_entropy``: arrays of (start, end) in code
+    points, end exclusive.  ``text_col`` has no nulls."""
+    text = F.col(text_col)
+    found = rows.withColumns({f"_{k}": pattern_spans(text, p, n) for k, (p, n) in BASE.items()}
+                             | {"_candidates": pattern_spans(text, CANDIDATE, WINDOW)})
+    base = F.concat(*[F.col(f"_{k}") for k in BASE])
 
     def secret(span: Column) -> Column:
         value = F.substring(text, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
@@ -113,13 +116,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             limit = F.when(value.rlike(pattern), F.lit(bits)).otherwise(limit)
         apart = ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
         return F.when(apart & ~value.rlike(ALLOWED) & (limit < 99), window_entropy(value) > limit).otherwise(F.lit(False))
-    return rows.withColumn("entropy", F.filter("candidates", secret)).drop("candidates")
+    return found.withColumn("_entropy", F.filter("_candidates", secret)).drop("_candidates")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and the spans of every kind (see ``with_spans``)."""
+    return with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")),
+                      "text")
 
 
 def _listed(kinds: list[str]) -> Column:
     """kind:start:end of the spans, by start and then kind as listed."""
     def named(n: int, kind: str) -> Column:
-        return F.transform(F.col(kind), lambda s: F.struct(
+        return F.transform(F.col(f"_{kind}"), lambda s: F.struct(
             s["start"].alias("start"), F.lit(n).alias("n"),
             F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")).alias("text")))
     parts = [named(n, kind) for n, kind in enumerate(kinds)]
@@ -129,5 +138,5 @@ def _listed(kinds: list[str]) -> Column:
 def report(docs: DataFrame, **columns) -> DataFrame:
     """Counts of the base kinds, digest of their spans, and all spans."""
     return scan(docs, **columns).select(
-        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
-        F.sha2(_listed(list(BASE)), 256).alias("base_sha256"), _listed([*BASE, "entropy"]).alias("spans"))
+        "doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE],
+        F.sha2(_listed(list(BASE)), 256).alias("base_sha256"), _listed(list(KINDS)).alias("spans"))
