@@ -100,6 +100,25 @@ def first_basis(demand: np.ndarray) -> list[np.ndarray]:
     return basis
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Matrix by vector, without BLAS: its threads have hung in a Spark driver."""
+    return (matrix * vector).sum(axis=1)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots (a few hundred rows), without LAPACK."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        top = i + int(np.abs(work[i:, i]).argmax())
+        work[[i, top]] = work[[top, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        work -= factor[:, None] * work[i]
+    return work[:, n:]
+
+
 def solve(demand: np.ndarray, gap: float = 1e-4, max_rounds: int = 5_000) -> tuple[list[np.ndarray], np.ndarray]:
     """Patterns and their (fractional) counts: the LP relaxation of
     cutting-stock for ``demand[c]`` pieces of class c = 1..size, to a relative
@@ -108,16 +127,16 @@ def solve(demand: np.ndarray, gap: float = 1e-4, max_rounds: int = 5_000) -> tup
     classes = np.flatnonzero(demand > 0)
     m = len(classes)
     basis = first_basis(demand)
-    inverse = np.linalg.inv(np.array([p[classes] for p in basis], dtype=float).T)
-    counts = inverse @ demand[classes]
+    inverse = _inverse(np.array([p[classes] for p in basis], dtype=float).T)
+    counts = _times(inverse, demand[classes])
     for r in range(max_rounds):
         duals = inverse.sum(axis=0)
         value = np.zeros(size + 1)
         value[classes] = np.maximum(duals, 0)
         pattern = best_pattern(value, size)
-        if value @ pattern <= 1 + gap:
+        if (value * pattern).sum() <= 1 + gap:
             break
-        column = inverse @ pattern[classes]
+        column = _times(inverse, pattern[classes])
         ratio = np.full(m, np.inf)
         up = column > 1e-9
         ratio[up] = counts[up] / column[up]
@@ -131,8 +150,8 @@ def solve(demand: np.ndarray, gap: float = 1e-4, max_rounds: int = 5_000) -> tup
         inverse[out] = row
         if r % 200 == 199:  # keep rounding errors small
             matrix = np.array([p[classes] for p in basis], dtype=float).T
-            inverse = np.linalg.inv(matrix)
-            counts = inverse @ demand[classes]
+            inverse = _inverse(matrix)
+            counts = _times(inverse, demand[classes])
     return basis, np.maximum(counts, 0)
 
 
