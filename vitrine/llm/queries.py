@@ -95,3 +95,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose shingle sets are alike."""
     from vitrine.llm import ngramjoin
     return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
+@query("op8_html")
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page, laid out."""
+    from vitrine.llm import html
+    return html.extract(table(spark, sf_dir, "pages"))
