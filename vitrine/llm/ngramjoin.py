@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import mix64, shingle_hashes, text_or_empty, word_hashes
@@ -212,10 +212,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     groups = materialize(classes.join(splits, "low").select(
         "set_key", "rep", "n", "prefix", F.xxhash64("low", F.pmod(F.xxhash64("set_key"), "splits")).alias("group")))
     spread = groups.groupBy("group").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.count("rep").alias("members"))
-    matrix = groups.select("group", F.explode("prefix").alias("token"), "n").groupBy("token", "group").agg(
-        F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    matrix = materialize(matrix.join(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token"),
-                                     "token"))
+    # one shuffle by token serves the sums by group and the count of a token's groups
+    matrix = (groups.select("group", F.explode("prefix").alias("token"), "n").repartition("token")
+              .groupBy("token", "group").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+              .withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token"))))
+    matrix = materialize(matrix.filter("k > 1").drop("k"))
     left, right = matrix.alias("x"), matrix.alias("y")
     pairs = materialize(
         left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group"))
