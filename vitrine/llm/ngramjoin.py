@@ -3,11 +3,14 @@
 A document is its set of distinct word shingles; equal sets are one class.
 Classes are partitioned into groups of similar ones (equal lowest hash; large
 groups are split).  The matrix holds, for each token of a group's union of
-prefixes, the group; a prefix holds the n - ceil(t * n) + 1 first tokens of a
-set in a global order (rare ones first), of which similar sets share one.  Two
-groups that share a token and whose sizes fit are opened: a member whose
-overlap with the other group's token union falls short of t * n is passed over,
-the rest is compared exactly.  Links between classes give the components.
+prefixes, the group; a prefix holds the n - ceil(t * n) + OVERLAP first tokens
+of a set in a global order (rare ones first), of which similar sets share
+OVERLAP (or, if they are smaller, ceil(t * n)).  Two groups that share so many
+tokens and whose sizes fit qualify.  A qualifying pair is opened at one of the
+two groups: a member of the other whose overlap with the group's token union
+falls short of t * n is passed over, the rest is compared exactly.  A group
+with many partners is opened in several tasks, ``PARTNERS`` of them in each.
+Links between classes give the components.
 
 The global order comes from a sketch of fixed size (``SLOTS`` counts, 1 MB):
 whatever it holds, the order is the same everywhere, so no link is lost.
@@ -39,12 +42,38 @@ SLOTS = 1 << 17
 CHUNKS = 64
 #: Tokens that a group holds, about.
 GROUP_TOKENS = 100_000
+#: Members that a group has, about.
+GROUP_MEMBERS = 500
+#: Tokens of their prefixes that two groups must share.
+OVERLAP = 4
+#: Partners of a group that are looked at in one task, about.
+PARTNERS = 32
+#: Characters whose words are hashed at once.
+SLICE_CHARS = 1_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+def shingles(texts: list[str], n: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of each text, repeated ones too; words are hashed
+    for ``SLICE_CHARS`` of texts at once."""
+    held, chars = [], 0
+    for k, text in enumerate(texts, 1):
+        held.append(text.encode().translate(_LOWER).split())
+        chars += len(text)
+        if chars < SLICE_CHARS and k < len(texts):
+            continue
+        words = word_hashes([w for own in held for w in own])
+        whole = shingle_hashes(words, n) if len(words) >= n else words[:0]
+        at = 0
+        for own in held:
+            yield whole[at:at + len(own) - n + 1] if len(own) >= n else shingle_hashes(words[at:at + len(own)], n)
+            at += len(own)
+        held, chars = [], 0
+
+
 def token_set(text: str, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    return np.unique(shingle_hashes(word_hashes(text.encode().translate(_LOWER).split()), n))
+    return np.unique(next(shingles([text], n)))
 
 
 def needed(size: int, percent: int) -> int:
@@ -64,12 +93,15 @@ def frequency_sketch(texts: DataFrame, n: int = SHINGLE) -> np.ndarray:
         for b in batches:
             ids = b.column(0)
             salt = int(ids[0].as_py()) % 32 if b.num_rows else salt
-            for text in b.column(1).to_pylist():
-                t = token_set(text, n)
-                total += np.bincount((t & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS) \
-                    if len(t) > 5_000 else 0
-                if len(t) <= 5_000:
-                    total[(t & np.uint64(SLOTS - 1)).astype(np.int64)] += 1
+            held, size = [], 0
+            for t in shingles(b.column(1).to_pylist(), n):
+                held.append((t & np.uint64(SLOTS - 1)).astype(np.int32))
+                size += len(t)
+                if size > SLOTS:
+                    total += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held, size = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=SLOTS)
         parts = total.reshape(CHUNKS, -1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()),
@@ -90,9 +122,23 @@ def frequency_sketch(texts: DataFrame, n: int = SHINGLE) -> np.ndarray:
 
 
 def prefix_of(tokens: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
-    keep = len(tokens) - needed(len(tokens), percent) + 1
-    by = np.lexsort((tokens, order[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)]))
-    return tokens[by[:keep]]
+    """The first tokens of a sorted set, by count and then value."""
+    keep = min(len(tokens), len(tokens) - needed(len(tokens), percent) + OVERLAP)
+    count = order[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)]
+    last = np.partition(count, keep - 1)[keep - 1]
+    below = count < last
+    return np.concatenate([tokens[below], tokens[count == last][:keep - int(below.sum())]])
+
+
+def pack_tokens(tokens: np.ndarray) -> bytes:
+    """The 48 upper bits of each token."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpack_tokens(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    wide[:, 2:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return np.unique(wide.view("<u8").ravel())
 
 
 def token_sets(texts: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -104,8 +150,7 @@ def token_sets(texts: DataFrame, order: np.ndarray, n: int, percent: int) -> Dat
         import xxhash
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
-                t = token_set(text, n)
+            for t in map(np.unique, shingles(b.column(1).to_pylist(), n)):
                 if len(t):
                     low = int(mix64(t).min() >> np.uint64(1))
                     out.append((len(t), xxhash.xxh3_128_digest(t.tobytes()), low,
@@ -137,35 +182,57 @@ class Classes:
         self.parent[max(a, b)] = min(a, b)
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two sorted sets."""
+    if not len(b):
+        return 0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exact test: 100 * intersection >= percent * union."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if 100 * len(small) < percent * len(large):
         return False
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    both = int((large[at] == small).sum())
+    both = overlap(small, large)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def open_groups(ids: list[int], sets: list[np.ndarray], first: list[int], second: list[int], classes: Classes,
-                percent: int) -> list[tuple[int, int]]:
-    """New links between members of two groups (or within one, if equal):
-    one for each two components that meet."""
-    found = []
-    union = np.unique(np.concatenate([sets[k] for k in second]))
-    for i in first:
-        own = sets[i]
-        at = np.searchsorted(union, own)
-        at[at == len(union)] = 0
-        if int((union[at] == own).sum()) < needed(len(own), percent):
-            continue
-        for k in second:
-            if i != k and (first is not second or k < i) and classes.root(i) != classes.root(k) \
-                    and linked(own, sets[k], percent):
-                classes.join(i, k)
-                found.append((ids[i], ids[k]))
-    return found
+class Opened:
+    """One group, opened: its members, their token union, and what is known of
+    the components of its members and its partners' ones."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.ids: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.classes = Classes(0)
+        self.union: np.ndarray | None = None
+        self.seen: set[tuple[int, int]] = set()
+
+    def links(self, rep: int, tokens: np.ndarray, member: bool) -> list[tuple[int, int]]:
+        """New links of a set with the members so far, one for each component
+        it meets; a member is then one of them."""
+        if member:
+            row = (rep, hash(tokens.tobytes()))
+            if row in self.seen:  # a repeated row
+                return []
+            self.seen.add(row)
+        found, own = [], len(self.classes.parent)
+        self.classes.parent.append(own)
+        if not member and self.union is None:
+            self.union = np.unique(np.concatenate(self.sets)) if self.sets else np.empty(0, dtype=np.uint64)
+        if member or overlap(tokens, self.union) >= needed(len(tokens), self.percent):
+            for k, other in enumerate(self.sets):
+                if self.classes.root(k) != self.classes.root(own) and linked(tokens, other, self.percent):
+                    self.classes.join(k, own)
+                    found.append((rep, self.ids[k]))
+        if member:
+            self.ids.append(rep)
+            self.sets.append(tokens)
+        return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,7 +275,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     twice = (some.groupBy("doc_id").agg(F.count_distinct("set_key").alias("k")).filter("k > 1")
              .join(some, "doc_id").join(classes.select("set_key", "rep"), "set_key")
              .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    splits = classes.groupBy("low").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("splits"), F.count("rep").alias("members"))
+    splits = classes.groupBy("low").agg(
+        F.ceil(F.greatest(F.sum("n") / GROUP_TOKENS, F.count("rep") / GROUP_MEMBERS)).alias("splits"))
     groups = materialize(classes.join(splits, "low").select(
         "set_key", "rep", "n", "prefix", F.xxhash64("low", F.pmod(F.xxhash64("set_key"), "splits")).alias("group")))
     spread = groups.groupBy("group").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.count("rep").alias("members"))
@@ -218,66 +286,65 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
               .withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token"))))
     matrix = materialize(matrix.filter("k > 1").drop("k"))
     left, right = matrix.alias("x"), matrix.alias("y")
+    least = F.expr(f"least({OVERLAP}, (x.n_min * {percent} + 99) div 100, (y.n_min * {percent} + 99) div 100)")
     pairs = materialize(
         left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group"))
                   & F.expr(f"100 * x.n_max >= {percent} * y.n_min and 100 * y.n_max >= {percent} * x.n_min"))
-        .select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct())
-    open_ = pairs.select(F.col("g").alias("group")).union(pairs.select(F.col("h").alias("group"))).union(
-        spread.filter("members > 1").select("group")).distinct()
-    wanted = groups.join(open_, "group").select("group", F.col("rep").alias("doc_id"), "set_key")
+        .groupBy(F.col("x.group").alias("g"), F.col("y.group").alias("h"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.min(least).alias("least"))
+        .filter("shared >= least").select("g", "h"))
+    # a pair is opened at g, in the part of g's partners that h falls into
+    parts = pairs.groupBy("g").agg(F.ceil(F.count("h") / PARTNERS).alias("parts"))
+    placed = pairs.join(parts, "g").select("g", "h", F.pmod(F.xxhash64("h"), "parts").cast("int").alias("part"))
+    places = (spread.filter("members > 1").select(F.col("group").alias("g"), F.lit(0).alias("part"))
+              .union(placed.select("g", "part")).distinct()
+              .select(F.col("g").alias("group"), "g", "part", F.lit(False).alias("partner"))
+              .union(placed.select(F.col("h").alias("group"), "g", "part", F.lit(True))))
+    wanted = (groups.join(places.groupBy("group").agg(F.collect_list(F.struct("g", "part", "partner")).alias("places")), "group")
+              .select(F.col("rep").alias("doc_id"), "set_key", "group", "places"))
 
     def retell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
+        now, told = None, set()
         for b in batches:
-            out = []
-            for g, i, key, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                t = token_set(text, shingle)
-                if xxhash.xxh3_128_digest(t.tobytes()) == bytes(key):  # not another text of the same id
-                    out.append((g, i, key, t.tobytes()))
-            if out:
+            rows = zip(*[c.to_pylist() for c in b.columns[:3]], strict=True)
+            texts_ = b.column(3).to_pylist()
+            keep, tokens = [], []
+            for k, ((i, key, _), t) in enumerate(zip(rows, map(np.unique, shingles(texts_, shingle)), strict=True)):
+                if i != now:
+                    now, told = i, set()
+                # not another text of the same id, nor a repeated row
+                if bytes(key) not in told and xxhash.xxh3_128_digest(t.tobytes()) == bytes(key):
+                    told.add(bytes(key))
+                    keep.append(k)
+                    tokens.append(pack_tokens(t))
+            if keep:
+                at = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True),
-                                                    (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                    ["group", "rep", "set_key", "tokens"])
-    # class representatives by their own key, since an id may stand for two classes
-    members = (wanted.join(texts, "doc_id").select("group", "doc_id", "set_key", "text")
-               .mapInArrow(retell, "group long, rep long, set_key binary, tokens binary")
-               .dropDuplicates(["group", "rep", "set_key"]))
-    bundle = materialize(members.groupBy("group").agg(F.collect_list(F.struct("rep", "tokens")).alias("members")))
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for own in b.column(0).to_pylist():
-                ids, sets_ = [m["rep"] for m in own], [np.frombuffer(m["tokens"], dtype=np.uint64) for m in own]
-                every = list(range(len(ids)))
-                out += open_groups(ids, sets_, every, every, Classes(len(ids)), percent)
-            if out:
-                a, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+                    [b.column(0).take(at), b.column(2).take(at), pa.array(tokens, pa.binary())], ["rep", "places", "tokens"])
+    members = (wanted.join(texts, "doc_id").select("doc_id", "set_key", "places", "text")
+               .mapInArrow(retell, "rep long, places array<struct<g:long,part:int,partner:boolean>>, tokens binary")
+               .select("rep", F.explode("places").alias("at"), "tokens").select("at.*", "rep", "tokens"))
 
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def open_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, opened = None, Opened(percent)
         for b in batches:
             out = []
-            for k in range(b.num_rows):  # one pair of groups at a time in Python's memory
-                own, other = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                every = own + other
-                ids, sets_ = [m["rep"] for m in every], [np.frombuffer(m["tokens"], dtype=np.uint64) for m in every]
-                first, second = list(range(len(own))), list(range(len(own), len(every)))
-                known = Classes(len(ids))
-                if len(own) > 1:
-                    open_groups(ids, sets_, first, first, known, percent)
-                if len(other) > 1:
-                    open_groups(ids, sets_, second, second, known, percent)
-                out += open_groups(ids, sets_, first, second, known, percent)
+            g, part, partner, rep, tokens = [b.column(k) for k in range(5)]
+            for k in range(b.num_rows):
+                here = (g[k].as_py(), part[k].as_py())
+                if here != place:
+                    place, opened = here, Opened(percent)
+                member = not partner[k].as_py()
+                new = opened.links(rep[k].as_py(), unpack_tokens(tokens[k].as_py()), member)
+                # links within a group are told once, by its first part
+                out += new if not member or here[1] == 0 else []
             if out:
                 a, c = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
-    within = bundle.filter("size(members) > 1").select("members").mapInArrow(inside, "a long, b long")
-    across = (pairs.join(bundle.select(F.col("group").alias("g"), F.col("members").alias("own")), "g")
-              .join(bundle.select(F.col("group").alias("h"), F.col("members").alias("other")), "h")
-              .select("own", "other").mapInArrow(between, "a long, b long"))
-    found = components(within.union(across).union(twice))
+    across = (members.repartition("g", "part").sortWithinPartitions("g", "part", "partner")
+              .mapInArrow(open_all, "a long, b long"))
+    found = components(across.union(twice))
     by_class = classes.join(found, classes["rep"] == found["node"], "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id"))
     return sets.join(by_class, "set_key", "left").select(
