@@ -31,23 +31,38 @@ SAMPLES = 128
 #: (term, weight) rows kept by a worker; emptied when full (bounded memory).
 CACHE_TERMS = 150_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_STEPS = np.arange(1, 6, dtype=np.uint64) * _GOLDEN
+#: Quantiles of the gamma tables: for r, and for c, whose low tail decides.
+R_BITS, C_BITS = 16, 20
 
 
-def _uniform(seed: np.ndarray, k: int) -> np.ndarray:
-    """In (0, 1], by draw."""
-    bits = mix64(seed + _STEPS[k]) >> np.uint64(11)
-    return (bits.astype(np.float64) + 1.0) * 2.0 ** -53
+def gamma_quantiles(bits: int) -> np.ndarray:
+    """Middle quantiles of Gamma(2, 1), by Newton steps on 1 - (1 + x) exp(-x) = p."""
+    p = (np.arange(1 << bits) + 0.5) / (1 << bits)
+    x = np.where(p < 0.5, np.sqrt(2 * p), 1.0 - np.log1p(-p))
+    for _ in range(40):
+        x = np.maximum(x - (-np.expm1(-x) - x * np.exp(-x) - p) / (x * np.exp(-x)), x / 4)
+    return x
+
+
+_R = gamma_quantiles(R_BITS).astype(np.float32)
+_LN_C = np.log(gamma_quantiles(C_BITS)).astype(np.float32)
 
 
 def draw(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
-    """(ln a, t) of every term (rows) and sample (columns)."""
-    seed = mix64(terms[:, None] ^ mix64(np.arange(1, samples + 1, dtype=np.uint64) * _GOLDEN)[None, :])
-    r = -np.log(_uniform(seed, 0) * _uniform(seed, 1))
-    ln_c = np.log(-np.log(_uniform(seed, 2) * _uniform(seed, 3)))
-    beta = _uniform(seed, 4)
-    t = np.floor(np.log(weights)[:, None] / r + beta)
-    return (ln_c - r * (t - beta) - r).astype(np.float32), t.astype(np.int32)
+    """(ln a, t) of every term (rows) and sample (columns): one hash gives the
+    places of the two gamma draws in their tables and the uniform one."""
+    h = mix64(terms[:, None] ^ mix64(np.arange(1, samples + 1, dtype=np.uint64) * _GOLDEN)[None, :])
+    r = _R[(h >> np.uint64(64 - R_BITS)).astype(np.int64)]
+    ln_c = _LN_C[((h >> np.uint64(64 - R_BITS - C_BITS)) & np.uint64((1 << C_BITS) - 1)).astype(np.int64)]
+    beta = ((h & np.uint64((1 << 23) - 1)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0 ** -23)
+    t = np.floor(np.log(weights).astype(np.float32)[:, None] / r + beta)
+    return ln_c - r * (t - beta) - r, t.astype(np.int32)
+
+
+def ordered(x: np.ndarray) -> np.ndarray:
+    """Unsigned codes of float32 values, in the same order."""
+    bits = x.view(np.uint32)
+    return np.where(bits >> np.uint32(31) == 1, ~bits, bits | np.uint32(1 << 31))
 
 
 class Sampler:
@@ -59,24 +74,22 @@ class Sampler:
 
     def clear(self) -> None:
         self.row: dict[tuple[bytes, int], int] = {}
-        self.low = np.empty((0, self.samples), dtype=np.float32)
-        self.value = np.empty((0, self.samples), dtype=np.uint32)
+        # by term and sample: ln a, so coded that the order stays, above the mark of (term, t)
+        self.key = np.empty((0, self.samples), dtype=np.uint64)
         self.used = 0
 
     def learn(self, new: list[tuple[bytes, int]]) -> None:
         need = self.used + len(new)
-        if need > len(self.low):
-            grow = max(need, min(2 * len(self.low), CACHE_TERMS)) - len(self.low)
-            self.low = np.concatenate([self.low, np.empty((grow, self.samples), dtype=np.float32)])
-            self.value = np.concatenate([self.value, np.empty((grow, self.samples), dtype=np.uint32)])
+        if need > len(self.key):
+            grow = max(need, min(2 * len(self.key), CACHE_TERMS)) - len(self.key)
+            self.key = np.concatenate([self.key, np.empty((grow, self.samples), dtype=np.uint64)])
         for lo in range(0, len(new), 2_000):
             part = new[lo:lo + 2_000]
             terms = word_hashes([w for w, _ in part])
             low, t = draw(terms, np.array([n for _, n in part], dtype=np.float64), self.samples)
             at = self.used + lo
-            self.low[at:at + len(part)] = low
-            self.value[at:at + len(part)] = (mix64(terms[:, None] + _GOLDEN * t.astype(np.int64).astype(np.uint64))
-                                             >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            mark = (mix64(terms[:, None] + _GOLDEN * t.astype(np.int64).astype(np.uint64)) >> np.uint64(32)) | np.uint64(1)
+            self.key[at:at + len(part)] = (ordered(low).astype(np.uint64) << np.uint64(32)) | mark
         self.row.update(zip(new, range(self.used, need), strict=True))
         self.used = need
 
@@ -84,7 +97,7 @@ class Sampler:
         terms = list(Counter(text.encode().split()).items())
         if not terms:
             return np.zeros(self.samples, dtype=np.uint32)
-        best = value = None
+        best = np.full(self.samples, np.iinfo(np.uint64).max, dtype=np.uint64)
         for lo in range(0, len(terms), 20_000):
             part = terms[lo:lo + 20_000]
             new = [x for x in part if x not in self.row]
@@ -94,16 +107,8 @@ class Sampler:
             if new:
                 self.learn(new)
             rows = np.fromiter(map(self.row.__getitem__, part), dtype=np.int64, count=len(part))
-            low = self.low[rows]
-            at = low.argmin(axis=0)
-            cols = np.arange(self.samples)
-            own, own_value = low[at, cols], self.value[rows[at], cols]
-            if best is None:
-                best, value = own, own_value
-            else:
-                value = np.where(own < best, own_value, value)
-                best = np.minimum(own, best)
-        return value
+            best = np.minimum(best, self.key[rows].min(axis=0))
+        return (best & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
