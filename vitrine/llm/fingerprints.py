@@ -55,14 +55,16 @@ def draw(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tupl
     r = _R[(h >> np.uint64(64 - R_BITS)).astype(np.int64)]
     ln_c = _LN_C[((h >> np.uint64(64 - R_BITS - C_BITS)) & np.uint64((1 << C_BITS) - 1)).astype(np.int64)]
     beta = ((h & np.uint64((1 << 23) - 1)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0 ** -23)
+    if (weights == 1).all():  # ln 1 = 0, so t = 0
+        return ln_c + r * (beta - np.float32(1)), np.zeros((len(terms), 1), dtype=np.int32)
     t = np.floor(np.log(weights).astype(np.float32)[:, None] / r + beta)
     return ln_c - r * (t - beta) - r, t.astype(np.int32)
 
 
 def ordered(x: np.ndarray) -> np.ndarray:
     """Unsigned codes of float32 values, in the same order."""
-    bits = x.view(np.uint32)
-    return np.where(bits >> np.uint32(31) == 1, ~bits, bits | np.uint32(1 << 31))
+    bits = x.view(np.int32)
+    return (bits ^ ((bits >> 31) | np.int32(-1 << 31))).view(np.uint32)
 
 
 class Sampler:
@@ -79,12 +81,14 @@ class Sampler:
         self.used = 0
 
     def learn(self, new: list[tuple[bytes, int]]) -> None:
+        new.sort(key=lambda x: x[1] > 1)  # those of weight 1 first, by themselves
+        ones = sum(n == 1 for _, n in new)
         need = self.used + len(new)
         if need > len(self.key):
             grow = max(need, min(2 * len(self.key), CACHE_TERMS)) - len(self.key)
             self.key = np.concatenate([self.key, np.empty((grow, self.samples), dtype=np.uint64)])
-        for lo in range(0, len(new), 2_000):
-            part = new[lo:lo + 2_000]
+        for lo in [*range(0, ones, 500), *range(ones, len(new), 500)]:
+            part = new[lo:min(lo + 500, ones if lo < ones else len(new))]
             terms = word_hashes([w for w, _ in part])
             low, t = draw(terms, np.array([n for _, n in part], dtype=np.float64), self.samples)
             at = self.used + lo
