@@ -34,7 +34,7 @@ def map_batches(df: DataFrame, columns: list, fn: Callable[[pa.RecordBatch], pa.
 
 
 _WORD_HASH: dict[bytes, int] = {}
-_WORD_HASH_MAX = 1_000_000
+_WORD_HASH_MAX = 200_000
 
 
 class _WordHash(dict):
