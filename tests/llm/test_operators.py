@@ -165,6 +165,43 @@ def test_language(spark):
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] == "xx"
 
 
+def test_language_sample_spreads_over_languages_and_takes_copies_once(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(4)
+    parts = {"xx": ["ka", "ri", "to", "mu"], "yy": ["sche", "bling", "gro", "wass"], "zz": ["ngu", "pho", "xay", "quy"]}
+    rows = [(i, " ".join("".join(rng.choice(parts[g], 3)) for _ in range(12)), g)
+            for i in range(1200) for g in [("yy" if i % 30 == 0 else "zz" if i % 30 == 7 else "xx")]]
+    texts = spark.createDataFrame([(t, ) for _, t, g in rows if g == "xx"], "text string")
+    first = texts.orderBy(F.xxhash64("text")).first()["text"]  # a hot text of the lowest hash
+    docs = spark.createDataFrame([*rows, *[(5000 + k, first, "xx") for k in range(400)]],
+                                 "doc_id long, text string, lang string")
+    got = by_id(language.identify(docs, fit_rows=60))
+    assert all(got[i]["lang_pred"] == g for i, _, g in rows)
+    assert language.share([5, 1000, 10], 60) == 45 and language.share([1000] * 100, 60) == 1
+    keys = docs.select("lang", F.xxhash64("text").alias("at"))
+    taken = language.sample_keys(keys, 60).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in taken} == {"xx": 20, "yy": 20, "zz": 20}
+
+
+def test_toxicity_fits_copies_once(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        rows.append((i, " ".join([*rng.choice(WORDS[:60], 30), *(["vilified"] if bad else [])])))
+        labels.append((i, int(bad)))
+    for text in {t for _, t in rows[:30]}:  # 20 copies each
+        for _ in range(20):
+            labels.append((len(rows), int("vilified" in text)))
+            rows.append((len(rows), text))
+    seen = {}
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda own, swapped, y, *a, **b: seen.update(y=y) or fit(own, swapped, y, *a, **b))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    toxicity.score(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(seen["y"]) <= 600 and 0 < seen["y"].sum() <= 200
+
+
 def test_html_layout():
     page = ("<html><head><title>x</title><style>.h{display:none}</style></head><body><ul><li>a<li>b<ol><li>c</ol></ul>"
             "<div class=h>no</div><p>one<p>two <b>bold</b><br>three<table><tr><th>k<th>value<tr><td>long<td>2</table>"

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import strata_bucket, text_or_empty
@@ -27,7 +27,7 @@ LENGTHS = (1, 2, 3, 4)
 #: n-grams are hashed to so many places
 PLACES = 8192
 LANDMARKS = 128
-#: Labelled rows that are fitted at most, those of the lowest hashes of their text.
+#: Labelled texts that are fitted at most, of each language those of the lowest hashes.
 FIT_ROWS = 6_000
 RIDGE = 1e-2
 UNKNOWN = "und"
@@ -77,12 +77,37 @@ def fit(x: np.ndarray, lang: list[str], landmarks: int = LANDMARKS,
     return names, marks, np.vstack([half @ w[:-1], w[-1:]]).astype(np.float32)
 
 
+def share(counts: list[int], rows: int) -> int:
+    """Most texts of each language that together are at most ``rows``; what
+    small languages leave goes to the others, and each has one at least."""
+    left, quota = rows, 1
+    for k, n in enumerate(sorted(counts)):
+        quota = max(1, left // (len(counts) - k))
+        left -= min(n, quota)
+    return quota
+
+
+def sample_keys(known: DataFrame, fit_rows: int) -> DataFrame:
+    """(lang, at) of the distinct texts to be fitted, of rows (lang, at)."""
+    keys = known.select("lang", "at").distinct()
+    counts = {r["lang"]: r["count"] for r in keys.groupBy("lang").count().collect()}
+    quota = share(list(counts.values()), fit_rows)
+    if not counts:
+        return keys
+    # hashes are uniform: below this bound lie more than the quota, but not many, so that the ranks are over few rows
+    bounds = [(lang, min(int(1.5 * (quota + 100) / n * 2 ** 64), 2 ** 64 - 1) - 2 ** 63) for lang, n in counts.items()]
+    low = known.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    return (keys.join(F.broadcast(low), "lang").filter("at <= bound").withColumn("rank", rank)
+            .filter(F.col("rank") <= quota).select("lang", "at"))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document.
 
-    At most ``fit_rows`` documents that are not held out, spread over the
-    languages, are fitted; their packed presence rows (1 KB each) come to the
+    At most ``fit_rows`` distinct texts that are not held out, spread over the
+    languages, are fitted (one of each language at least); their packed presence rows (1 KB each) come to the
     driver, and the model (landmarks x places) goes to the tasks.
     """
     spark = docs.sparkSession
@@ -91,17 +116,26 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     known = docs.filter(~held & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
         F.xxhash64(text_col).alias("at"))
-    sample = known.orderBy("at", "lang").limit(fit_rows)
+    sample = known.join(F.broadcast(sample_keys(known, fit_rows)), ["lang", "at"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
         for b in batches:
-            rows = []
-            for t in b.column(1).to_pylist():
+            langs, hashes, rows = [], [], []
+            for lang, at, t in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (lang, at) in seen:  # a copy
+                    continue
+                seen.add((lang, at))
                 bits = np.zeros(PLACES, dtype=np.uint8)
                 presence(t, bits)
+                langs.append(lang)
+                hashes.append(at)
                 rows.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["lang", "bits"])
-    got = sample.select("lang", "text").mapInArrow(pack, "lang string, bits binary").collect()
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(hashes, pa.int64()),
+                                              pa.array(rows, pa.binary())], ["lang", "at", "bits"])
+    got = (sample.select("lang", "at", "text").mapInArrow(pack, "lang string, at long, bits binary")
+           .groupBy("lang", "at").agg(F.min("bits").alias("bits")).collect())
+    got.sort(key=lambda r: (r["at"], r["lang"]))
     names: list[str] = []
     if got:
         x = np.stack([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in got]).astype(np.float32)

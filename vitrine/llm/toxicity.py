@@ -36,7 +36,7 @@ IDENTITY = (
     "immigrants refugees natives foreigners citizens",
     "old young elderly disabled deaf blind",
 )
-#: Words of the model, and labelled rows (lowest hashes of their text, each class half) that are fitted at most.
+#: Words of the model, and labelled texts (lowest hashes, copies once, each class half) that are fitted at most.
 WORDS = 2_000
 FIT_ROWS = 20_000
 #: Documents that a word must occur in to be considered.
@@ -140,17 +140,29 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         lookup = dict(vocabulary)
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[tuple[int, int]] = set()
             for b in batches:
-                own, other = [], []
-                for ws in b.column(1).to_pylist():
+                ys, hashes, own, other = [], [], [], []
+                for y, at, ws in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    if (y, at) in seen:  # a copy
+                        continue
+                    seen.add((y, at))
+                    ys.append(y)
+                    hashes.append(at)
                     own.append(sorted(lookup[x] for x in _python_terms(set(ws)) if x in lookup))
                     changed = _python_terms({swap.get(x, x) for x in ws})
                     other.append(sorted(lookup[x] for x in changed if x in lookup))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32())),
-                                                  pa.array(other, pa.list_(pa.int32()))], ["y", "own", "other"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ys, pa.int32()), pa.array(hashes, pa.int64()), pa.array(own, pa.list_(pa.int32())),
+                     pa.array(other, pa.list_(pa.int32()))], ["y", "at", "own", "other"])
         half = fit_rows // 2
-        sample = rows.filter("y = 1").orderBy("at").limit(half).union(rows.filter("y = 0").orderBy("at").limit(half))
-        got = sample.select("y", "words").mapInArrow(place, "y int, own array<int>, other array<int>").collect()
+        keys = rows.select("y", "at").distinct()  # copies of a text take one place
+        picked = keys.filter("y = 1").orderBy("at").limit(half).union(keys.filter("y = 0").orderBy("at").limit(half))
+        got = (rows.join(F.broadcast(picked), ["y", "at"]).select("y", "at", "words")
+               .mapInArrow(place, "y int, at long, own array<int>, other array<int>")
+               .groupBy("y", "at").agg(F.min(F.struct("own", "other")).alias("terms"))
+               .select("y", "at", "terms.*").collect())
+        got.sort(key=lambda r: (-r["y"], r["at"]))
         w = fit([np.array(r["own"], dtype=np.int64) for r in got], [np.array(r["other"], dtype=np.int64) for r in got],
                 np.array([r["y"] for r in got], dtype=float), len(vocabulary), fairness=fairness)
     weights = {word: float(w[i]) for word, i in vocabulary.items()}
