@@ -2,12 +2,14 @@
 
 Everything is a column expression.  A pattern is looked for by
 ``\\G(gap)(match)``, so that the lengths of gaps and matches give the places
-(code points).  Candidate strings (runs of token characters that the patterns
-did not find) are read by a window of ``WINDOW`` characters; the counts of its
+(code points).  Candidate strings (runs of token characters, without
+what the patterns found) are read by a window of ``WINDOW`` characters; the counts of its
 characters change by one in and one out at each step, and with them the sum
 of c * log2(c) from which the Shannon entropy follows.  A candidate is a
 secret if the highest entropy of its windows exceeds the limit of its
-character class and no allow-list pattern covers it.
+character class and no allow-list pattern covers it.  What the fixed patterns
+found and placeholder words are cut out of a candidate; the parts that are
+left are candidates if they have ``WINDOW`` characters or more.
 
 Defined results: a null text is empty and has no spans; repeated rows give
 repeated rows; an empty table gives an empty table; of the input only id and
@@ -37,9 +39,11 @@ CLASSES = {
     "alphanumeric": (r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+$", 3.6),
     "base64": (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_=-]+$", 3.8),
 }
-#: candidates that are no secrets: UUIDs, dates and numbers, paths of words, placeholders
+#: candidates that are no secrets: UUIDs, dates and numbers, paths of words
 ALLOWED = (r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|^[0-9_/=+-]+$"
-           r"|^/?([A-Za-z]+[/_=-])+[A-Za-z]*[0-9]{0,4}$|(?i:example|sample|placeholder|xxxxxx|000000)")
+           r"|^/?([A-Za-z]+[/_=-])+[A-Za-z]*[0-9]{0,4}$")
+#: words that are cut out of candidates
+PLACEHOLDER = r"((?i:example|sample|placeholder|x{6,}|0{6,}))"
 
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 
@@ -107,16 +111,42 @@ def with_spans(rows: DataFrame, text_col: str) -> DataFrame:
     text = F.col(text_col)
     found = rows.withColumns({f"_{k}": pattern_spans(text, p, n) for k, (p, n) in BASE.items()}
                              | {"_candidates": pattern_spans(text, CANDIDATE, WINDOW)})
-    base = F.concat(*[F.col(f"_{k}") for k in BASE])
+    found = found.withColumn("_base", F.concat(*[F.col(f"_{k}") for k in BASE]))
+
+    def value_of(span: Column) -> Column:
+        return F.substring(text, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
+
+    def parts(span: Column) -> Column:
+        """What is left of a candidate, without separators at the cuts."""
+        words = F.transform(pattern_spans(value_of(span), PLACEHOLDER, 6), lambda s: F.struct(
+            (s["start"] + span["start"]).alias("start"), (s["end"] + span["start"]).alias("end")))
+        cuts = F.array_sort(F.concat(words, F.filter("_base", lambda b: (b["start"] < span["end"])
+                                                     & (span["start"] < b["end"]))))
+        start = F.struct(span["start"].alias("at"), F.array().cast(_SPANS).alias("spans"))
+
+        def step(acc: Column, c: Column) -> Column:
+            gap = F.array(F.struct(acc["at"].alias("start"), c["start"].alias("end")))
+            return F.struct(F.greatest(acc["at"], c["end"]).alias("at"),
+                            F.when(c["start"] > acc["at"], F.concat(acc["spans"], gap)).otherwise(acc["spans"]).alias("spans"))
+        left = F.aggregate(cuts, start, step, lambda acc: F.concat(acc["spans"], F.array(F.struct(
+            acc["at"].alias("start"), span["end"].alias("end")))))
+
+        def trimmed(s: Column) -> Column:
+            v = value_of(s)
+            head = F.when(s["start"] > span["start"], F.length(v) - F.length(F.regexp_replace(v, "^[/_=+-]+", ""))).otherwise(0)
+            tail = F.when(s["end"] < span["end"], F.length(v) - F.length(F.regexp_replace(v, "[/_=+-]+$", ""))).otherwise(0)
+            return F.struct((s["start"] + head).alias("start"), (s["end"] - tail).alias("end"))
+        return F.filter(F.transform(left, trimmed), lambda s: s["end"] - s["start"] >= WINDOW)
 
     def secret(span: Column) -> Column:
-        value = F.substring(text, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
+        value = value_of(span)
         limit = F.lit(math.inf)
         for pattern, bits in reversed(CLASSES.values()):
             limit = F.when(value.rlike(pattern), F.lit(bits)).otherwise(limit)
-        apart = ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-        return F.when(apart & ~value.rlike(ALLOWED) & (limit < 99), window_entropy(value) > limit).otherwise(F.lit(False))
-    return found.withColumn("_entropy", F.filter("_candidates", secret)).drop("_candidates")
+        return F.when(~value.rlike(ALLOWED) & (limit < 99), window_entropy(value) > limit).otherwise(F.lit(False))
+    whole = F.filter("_candidates", lambda s: ~value_of(s).rlike(ALLOWED))
+    return (found.withColumn("_parts", F.flatten(F.transform(whole, parts)))
+            .withColumn("_entropy", F.filter("_parts", secret)).drop("_candidates", "_base", "_parts"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
