@@ -60,6 +60,18 @@ def test_join_equals_brute_force(docs, texts, n, percent):
     assert len(set(low.values())) < len(low)
 
 
+def test_representatives_keep_null_ids_and_one_of_repeated_rows(spark):
+    a, b = " ".join(WORDS[:40]), " ".join(WORDS[100:140])
+    rows = [(1, a, "p"), (1, a, "p"), (1, b, "q"), (2, a, "r"), (None, a, "s"), (None, None, "t"), (4, "w", "u"),
+            (5, None, "v"), (5, "", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = ngramjoin.representatives(docs)
+    assert got.columns == docs.columns
+    left = sorted((tuple(r) for r in got.collect()), key=str)
+    assert [r[:2] for r in left if r[0] == 5] in ([(5, None)], [(5, "")])
+    assert [r for r in left if r[0] != 5] == sorted([r for r in rows[1:] if r[0] not in (2, 5)], key=str)
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
     for size in (0, 1, 2, 7, 200):

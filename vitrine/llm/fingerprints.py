@@ -9,9 +9,10 @@ similarity, sum of minima over sum of maxima of the weights.
 
 Defined results: a null text is empty; texts without words have the
 fingerprint of the empty set, which is like itself (1) and unlike all others
-(0); documents with equal ids are ordered by their text; an empty table gives
-an empty table; of the input only id and text are read, so other columns may
-have any name.
+(0); documents with equal ids are ordered by their text; in ``with_next`` rows
+with a null id, which have no next document, are left out; an empty table
+gives an empty table; of the input only id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
