@@ -250,6 +250,17 @@ def test_html_layout():
     assert html.render("") == "" and html.render("<div>" * 5000 + "deep") == "deep"
 
 
+def test_html_rules_for_other_media_hide_nothing():
+    css = ("@import url(x.css); /* .c{display:none} */ @media print{.nav,.note{display:none}} "
+           "@media (max-width:767px){.wide{display:none} .w2{visibility:hidden}} @supports (x:y){.s{display:none}} "
+           ".x{display:none} .x{color:red;display:block} @media screen{.h{color:red;display:none}} p{margin:0} "
+           ".i{display:none!important} .i{display:block} .o{.nested{display:none}}")
+    assert html.hidden_rules([css]) == {("", ".h"), ("", ".i")}
+    page = (f"<style>{css}</style><style media=print>.p{{display:none}}</style><p class=note>a<p class=wide>b<p class=x>c"
+            "<p class=h>no<p class=p>d")
+    assert html.render(page) == "a\n\nb\n\nc\n\nd"
+
+
 def test_inverse_without_lapack():
     a = np.random.default_rng(0).normal(size=(40, 40))
     assert np.allclose(packing._inverse(a) @ a, np.eye(40))

@@ -3,7 +3,8 @@
 A tree builder takes the tags of a page and supplies the implied ones (ends of
 paragraphs, list items and cells; rows around cells).  What the page hides is
 left out: the head, scripts, templates, ``hidden`` elements, hidden inputs, and
-what inline styles or simple rules (tag, .class, #id) of its style sheets hide.
+what inline styles or simple rules (tag, .class, #id) of its style sheets hide
+on any screen (rules for other media or under a condition hide nothing).
 All other text is laid out: blocks on lines of their own, an empty line around
 paragraphs, headings, lists and tables, items with markers and indentation,
 preformatted text as it is, and the cells of a table in aligned columns.
@@ -43,7 +44,10 @@ ENDS = {
 }
 ENDS["thead"] = ENDS["tfoot"] = ENDS["tbody"]
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS_NOISE = re.compile(r"/\*.*?(?:\*/|$)|\"[^\"\n]*\"|'[^'\n]*'", re.S)
+_CSS_MARK = re.compile(r"([{};])")
+#: media that the text is for, without a condition
+_SHOWN_MEDIA = re.compile(r"(only\s+)?(screen|all)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _SIMPLE = re.compile(r"^([a-z][a-z0-9]*)?([.#][\w-]+)?$", re.I)
 
@@ -110,21 +114,63 @@ class Tree(HTMLParser):
                 return  # a stray end tag does not leave its cell
 
     def handle_data(self, data):
-        if self.open[-1].tag == "style":
-            self.styles.append(data)
+        if self.open[-1].tag == "style" and shown_media(self.open[-1].attrs.get("media", "")):
+            if self.open[-1].children:  # the rest of a style sheet
+                self.styles[-1] += data
+            else:
+                self.styles.append(data)
         self.open[-1].children.append(data)
 
 
+def shown_media(query: str) -> bool:
+    """Whether a list of media has the screen, or all, without a condition."""
+    return not query.strip() or any(_SHOWN_MEDIA.fullmatch(q.strip()) for q in query.split(","))
+
+
+def css_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) that hold on any screen: without the blocks of
+    conditional and other at-rules, and without rules nested in a rule."""
+    opened: list[str] = []  # kinds of the open blocks: group, rule, other
+    head = body = held = ""
+    for piece in _CSS_MARK.split(_CSS_NOISE.sub(" ", css)):
+        if piece == "{":
+            head_now, held = held.strip(), ""
+            if any(k != "group" for k in opened):
+                opened.append("other")
+            elif head_now.startswith("@"):
+                named = re.match(r"@media\b(.*)", head_now, re.I | re.S)
+                opened.append("group" if named and shown_media(named[1]) else "other")
+            else:
+                opened.append("rule")
+                head, body = head_now, ""
+        elif piece == "}":
+            if opened and opened.pop() == "rule":
+                yield head, body + held
+            held = ""
+        elif piece == ";":
+            if opened and opened[-1] == "rule":
+                body += held + ";"
+            held = ""
+        else:
+            held += piece
+
+
 def hidden_rules(styles: list[str]) -> set[tuple[str, str]]:
-    """(tag, .class or #id) of the simple selectors that hide."""
-    found = set()
-    for selectors, body in _RULE.findall(" ".join(styles)):
-        if _HIDING.search(body):
-            for s in selectors.split(","):
-                m = _SIMPLE.match(s.strip())
-                if m and m[0]:
-                    found.add(((m[1] or "").lower(), m[2] or ""))
-    return found
+    """(tag, .class or #id) of the simple selectors that hide, and that no later
+    value of the same property shows again."""
+    state: dict[tuple[tuple[str, str], str], tuple[bool, bool]] = {}  # (hides, important)
+    for selectors, body in (rule for css in styles for rule in css_rules(css)):
+        values = [(name.strip().lower(), value) for name, _, value in (d.partition(":") for d in body.split(";"))]
+        values = [(name, bool(_HIDING.search(f"{name}:{value}")), "!" in value) for name, value in values
+                  if name in ("display", "visibility")]
+        for s in selectors.split(",") if values else ():
+            m = _SIMPLE.match(s.strip())
+            if m and m[0]:
+                for name, hides, important in values:
+                    at = ((m[1] or "").lower(), m[2] or ""), name
+                    if important or not state.get(at, (False, False))[1]:
+                        state[at] = hides, important
+    return {selector for (selector, _), (hides, _) in state.items() if hides}
 
 
 def visible(node: Node, rules: set[tuple[str, str]]) -> bool:
