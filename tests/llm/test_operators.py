@@ -285,3 +285,11 @@ def test_stages_keep_columns_and_redact(spark, docs, texts):
     kept = {r["doc_id"] for r in stages.near_duplicates(spark, docs, "").collect()}
     _, low = brute_components(texts, 5, 80)
     assert kept == set(low.values())
+
+
+def test_passages_of_rows_with_one_id_stay_apart(spark):
+    passage = " ".join(WORDS[:20])
+    rows = [(1, passage), (2, f"first {passage}"), (2, f"{passage} second"), (2, "third"), (None, f"fourth {passage}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in stages.repeated_passages(spark, docs, "").collect())
+    assert got == [(0, f"fourth {passage}"), (1, passage), (2, " second"), (2, "first "), (2, "third")]

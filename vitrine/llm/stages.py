@@ -28,13 +28,15 @@ def _ready(spark: SparkSession) -> None:
 
 
 def _as(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """``docs`` with the new text (column ``_text`` by ``_id``) and its length."""
+    """``docs`` with the new text (column ``_text`` by ``_id`` and ``_key``, the
+    hash of the old text) and its length."""
     out = {f.name: F.col(f.name) for f in docs.schema.fields}
     out["text"] = F.coalesce("_text", "text")
     if "n_chars" in out:
         out["n_chars"] = F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(
             F.length("_text")).cast(docs.schema["n_chars"].dataType)
-    return docs.join(changed, F.col("doc_id") == F.col("_id"), "left").select(*[c.alias(n) for n, c in out.items()])
+    own = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(text_or_empty("text")) == F.col("_key"))
+    return docs.join(changed, own, "left").select(*[c.alias(n) for n, c in out.items()])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,11 +73,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [_whole_chars(t.encode(), s, e) for t, s, e in zip(
-                *[b.column(k).to_pylist() for k in (1, 2, 3)], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["_id", "_text"])
+                *[b.column(k).to_pylist() for k in (2, 3, 4)], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
+                                             ["_id", "_key", "_text"])
     changed = (suffixes.duplicate_runs(docs).filter("size(starts) > 0 and doc_id is not null")
-               .select("doc_id", "text", "starts", "ends").mapInArrow(cut, "_id long, _text string"))
-    out = _as(docs, changed.dropDuplicates(["_id"]))
+               .select("doc_id", F.xxhash64("text"), "text", "starts", "ends")
+               .mapInArrow(cut, "_id long, _key long, _text string"))
+    out = _as(docs, changed.dropDuplicates(["_id", "_key"]))
     return out.filter(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
