@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitrine.llm import filteraudit
 from vitrine.llm.common import table
 from vitrine.session import ensure_checkpoint_dir, ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op13_filter_audit": filteraudit.SQL}
 
 
 def query(name: str) -> Callable[[QueryFn], QueryFn]:
@@ -102,3 +103,9 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of every page, laid out."""
     from vitrine.llm import html
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op13_filter_audit")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order of them, by source."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
