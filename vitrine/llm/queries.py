@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import filteraudit
+from vitrine.llm import filteraudit, turnrepair
 from vitrine.llm.common import table
-from vitrine.session import ensure_checkpoint_dir, ship_package
+from vitrine.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
-ORACLE: dict[str, str] = {"op13_filter_audit": filteraudit.SQL}
+ORACLE: dict[str, str] = {"op11_turns": turnrepair.SQL, "op13_filter_audit": filteraudit.SQL}
 
 
 def query(name: str) -> Callable[[QueryFn], QueryFn]:
@@ -109,3 +109,17 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove in every order of them, by source."""
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_simple8b")
+def op12_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to Simple-8b files and read back."""
+    from vitrine.llm import simple8b
+    return simple8b.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"),
+                               scratch_path(spark, "token-ids"))
+
+
+@query("op11_turns")
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its digest of every damaged conversation."""
+    return turnrepair.report(turnrepair.damage(table(spark, sf_dir, "conversations")), present="present")
