@@ -11,13 +11,13 @@ away at the end; a running sum over the 120 ranks of a step gives what the
 step removes in every order.  Documents are only read to count the masks of
 each part; everything after that works on parts x masks.
 
-Which text is a copy is decided once, by the smallest id of its digest: the
-aggregate combines on the map side, and only digests under more than one id
-are joined back, to rows without texts, so a group of copies of any size is
-split by the join's skew handling.
+Which text is a copy is decided by the smallest id of its digest.  Copies are
+counted by digest and part before anything is joined (the sums combine on the
+map side), and the documents of the smallest id are found by digest and id,
+so a group of copies of any size never meets in a task.
 
-Defined results: a null text is empty; a null id is smaller than none and
-copies none, so its row never fails the copy filter; rows of one id and text
+Defined results: a null text is empty; a null id is smaller than none, copies
+none and has no label, so its row never fails the copy filter; rows of one id and text
 don't make each other copies, and each counts; of several labels of an id
 the largest value counts, and a null label is none; a null part is the empty
 string; an empty table gives no part and no row.  Of the documents only the
@@ -51,6 +51,8 @@ def text_filters(text: Column) -> dict[str, Column]:
 
 #: The filter that other documents decide.
 COPY = "E"
+#: What is counted of documents.
+LOST = ("n", "good", "toxic")
 
 
 def removal_intervals(letters: str) -> list[tuple[int, int, int, int]]:
@@ -79,19 +81,27 @@ def masks(docs: DataFrame, labels: DataFrame, part: str = "source", id_col: str
     text = text_or_empty(text_col)
     own = text_filters(text)
     bits = sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(own.values())), F.lit(0))
-    rows = materialize(docs.select(
+    rows = docs.select(
         F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.col(id_col).cast("long").alias("id"),
-        F.unhex(F.sha2(text, 256)).alias("digest"), bits.alias("bits")))
-    copied = (rows.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-              .filter("least < most").select("digest", "least"))
-    marked = (rows.join(copied, "digest", "left")
-              .select("part", "id", (F.col("bits") + F.when(F.col("id") > F.col("least"), 1 << len(own))
-                                     .otherwise(0)).alias("mask")))
+        F.unhex(F.sha2(text, 256)).alias("digest"), bits.alias("bits"))
     known = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(
         F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    return (marked.join(known, "id", "left").groupBy("part", "mask").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("good"),
-        F.count_if(F.col("toxic") == 1).alias("toxic")))
+    rows = materialize(rows.join(known.filter("id is not null"), "id", "left").select(
+        "part", "id", "digest", "bits", F.lit(1).alias("n"), F.when(F.col("quality") == 1, 1).otherwise(0).alias("good"),
+        F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic")))
+    sums = [F.sum(c).alias(c) for c in LOST]
+    # texts under several ids: all their documents fail the copy filter but those of the least id
+    copied = (rows.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+              .filter("least < most").select("digest", "least"))
+    of_texts = rows.filter("id is not null").groupBy("digest", "part", "bits").agg(*sums).join(copied, "digest")
+    first = rows.join(copied.withColumnRenamed("least", "id"), ["digest", "id"])
+    copy = 1 << len(own)
+
+    def signed(counts: DataFrame, sign: int, bit: int) -> DataFrame:
+        return counts.select("part", (F.col("bits") + bit).alias("mask"), *[(sign * F.col(c)).alias(c) for c in LOST])
+    return (signed(rows, 1, 0).unionAll(signed(of_texts, -1, 0)).unionAll(signed(of_texts, 1, copy))
+            .unionAll(signed(first, 1, 0)).unionAll(signed(first, -1, copy))
+            .groupBy("part", "mask").agg(*sums).filter("n > 0"))
 
 
 def audit(docs: DataFrame, labels: DataFrame, part: str = "source", id_col: str = "doc_id",
@@ -113,10 +123,9 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "source", id_col: str
     spans = spark.createDataFrame(removal_intervals(letters), "mask int, step int, low int, high int")
     at = F.explode(F.array(F.struct(F.col("low").alias("rank"), F.lit(1).alias("sign")),
                            F.struct(F.col("high").alias("rank"), F.lit(-1).alias("sign"))))
-    lost = ("n", "good", "toxic")
-    ends = (counted.join(F.broadcast(spans), "mask").select("part", "step", *lost, at.alias("at"))
+    ends = (counted.join(F.broadcast(spans), "mask").select("part", "step", *LOST, at.alias("at"))
             .groupBy("part", "step", F.col("at.rank").alias("rank"))
-            .agg(*[F.sum(F.col(c) * F.col("at.sign")).alias(c) for c in lost]))
+            .agg(*[F.sum(F.col(c) * F.col("at.sign")).alias(c) for c in LOST]))
 
     # all ranks and steps of a part (120 x 5), then the running sums over the ranks
     orders = ["".join(o) for o in permutations(letters)]
@@ -126,7 +135,7 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "source", id_col: str
             .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n)))))
     ranks = Window.partitionBy("part", "step").orderBy("rank")
     run = grid.join(ends, ["part", "step", "rank"], "left")
-    for c in lost:
+    for c in LOST:
         run = run.withColumn(c, F.coalesce(F.sum(c).over(ranks), F.lit(0)))
     run = (run.withColumn("filter_order", F.element_at(listed, F.col("rank") + 1))
            .withColumn("letter", F.substring("filter_order", F.col("step"), F.lit(1)))
