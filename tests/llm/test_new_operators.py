@@ -204,7 +204,7 @@ def test_files_read_back(spark):
     rows = [(i * 7 % 131, t, "x", 0) for i, t in enumerate(texts)] + [(5, "again", "y", 1)] * 30
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string, salt long").repartition(4)
     folder = scratch_path(spark, "ids")
-    simple8b.write(simple8b.tokenize(df, path, 2), folder, segment_ids=200)
+    simple8b.write(df, path, folder, segment_ids=200)
     got = simple8b.digests(spark, folder).orderBy("start").collect()
     assert len(got) == len(rows)
     ids = {}

@@ -43,7 +43,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPA
         own = word_ids(path)
         texts = batch.column(1).to_pylist()
         rows, at = [], []
-        for lo, hi in slices(texts):
+        for lo, hi in slices(texts, 4_000_000):
             for i, raw in enumerate(own.encode(texts[lo:hi]), lo):
                 raw += end
                 total = len(raw) // 4

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.bpe import slices
-from vitrine.llm.common import map_batches, text_or_empty
+from vitrine.llm.common import text_or_empty
 from vitrine.llm.wordids import word_ids
 
 ESCAPE, ZEROS = 0, 1
@@ -95,12 +95,11 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return ids, ids
     best = _best_selectors(_bits(ids))
-    at = np.arange(n)
-    nxt = (at + COUNT[best]).tolist()
+    taken = COUNT.astype(np.uint8)[best].tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)
-        i = nxt[i]
+        i += taken[i]
     start = np.array(starts)
     kind = best[start]
     words = kind.astype(np.uint64) << np.uint64(60)
@@ -197,53 +196,45 @@ def segments(raw: bytes) -> Iterator[Segment]:
         at += own.size + 1  # and the line feed
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids of each text by the tokenizer file and the end id, as
-    little-endian unsigned 32-bit integers, zlib-compressed for the shuffle."""
-    end = np.array([end_id], dtype="<u4").tobytes()
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = word_ids(path)
-        texts, out = batch.column(1).to_pylist(), []
-        for lo, hi in slices(texts, 2_000_000):
-            out += [zlib.compress(raw + end, 1) for raw in own.encode(texts[lo:hi])]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
-    cols = [F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")]
-    return map_batches(docs, cols, run, "doc_id long, ids binary")
-
-
-def write(tokens: DataFrame, path: str, segment_ids: int = SEGMENT_IDS) -> None:
-    """Write (doc_id, zlib-compressed 32-bit ids) as files under ``path``, in
-    ascending order of the ids, null ids first.  Rows are dealt by ranges of
-    the id; rows of one id by the digest of their ids, then at random, so
-    that an id of any number of rows is spread over the shards."""
+def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: str = "doc_id",
+          text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
+    """Write the ids of each text and the end id as files under ``path``, in
+    ascending order of the documents' ids, null ids first.  Texts are dealt by
+    ranges of the id (the bounds come from ids and hashes alone) and encoded
+    where they are written; rows of one id are dealt by the text's hash, then
+    at random, so that an id of any number of rows is spread over the shards."""
     order = ["doc_id", "digest", "salt"]
-    dealt = (tokens.withColumn("digest", F.xxhash64("ids")).withColumn("salt", F.rand(0))
-             .repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids"))
+    dealt = (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+             .withColumn("digest", F.xxhash64("text")).withColumn("salt", F.rand(0))
+             .repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text"))
+    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = word_ids(tokenizer)
         shard = TaskContext.get().partitionId()
         number = docs_before = ids_before = held = 0
-        docs, ids = [], []
+        names, ids = [], []
 
         def out(kind: str, data: bytes) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([kind])], ["data", "kind"])
 
         def close() -> pa.RecordBatch:
             nonlocal number, docs_before, ids_before, held
-            data = segment_bytes(shard, number, docs_before, ids_before, docs, ids)
-            number, docs_before, ids_before, held = number + 1, docs_before + len(docs), ids_before + held, 0
-            docs.clear()
+            data = segment_bytes(shard, number, docs_before, ids_before, names, ids)
+            number, docs_before, ids_before, held = number + 1, docs_before + len(names), ids_before + held, 0
+            names.clear()
             ids.clear()
             return out("ids", data)
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append(doc)
-                ids.append(np.frombuffer(zlib.decompress(raw.as_buffer()), dtype="<u4"))
-                held += len(ids[-1])
-                if held >= segment_ids:
-                    yield close()
-        if docs:
+            texts = batch.column(1).to_pylist()
+            for lo, hi in slices(texts, 4_000_000):
+                for doc, raw in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), own.encode(texts[lo:hi]), strict=True):
+                    names.append(doc)
+                    ids.append(np.frombuffer(raw + end, dtype="<u4"))
+                    held += len(ids[-1])
+                    if held >= segment_ids:
+                        yield close()
+        if names:
             yield close()
         if number:
             yield out("index", f"{shard} {docs_before} {ids_before}".encode())
@@ -315,5 +306,5 @@ def round_trip(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_c
     rows are written each on its own, next to each other; a null id is
     written first, as null; an empty table gives no file and no row; of the
     input only id and text are read, so other columns may have any name."""
-    write(tokenize(docs, tokenizer, end_id, id_col, text_col), path)
+    write(docs, tokenizer, path, end_id, id_col, text_col)
     return digests(docs.sparkSession, path)

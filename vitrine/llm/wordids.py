@@ -3,89 +3,136 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks kept between batches of a worker; emptied when full (bounded memory).
-CACHE_CHUNKS = 1_000_000
-_STOPS = frozenset(b".,;:!?")
+#: Bytes of chunks and ids that a worker keeps between batches; emptied when full (bounded memory).
+CACHE_BYTES = 64_000_000
+#: What an entry takes besides the bytes of its chunk and ids.
+_ENTRY = 160
+#: Marks that end a word; a run of them is a pre-token of its own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _JOINED = 500
+#: Characters beyond the Latin letters whose lower case and normal form are plain (not so: dotted capital I).
+_OTHER = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
 
 class WordIds:
     """Ids of texts by a tokenizer that drops white space and ends each
     pre-token by a ``</w>`` token, so that space-separated chunks encode
-    independently of each other and of ASCII case."""
+    independently of each other and of ASCII case.  Lower-case Latin words go
+    through the tokenizer's model alone, in groups; all others, and groups
+    whose words don't come out one by one, through the whole tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.held = 0
+
+    def _keep(self, chunks: list[bytes], ids: list[bytes]) -> None:
+        self.known.update(zip(chunks, ids, strict=True))
+        self.held += sum(map(len, chunks)) + sum(map(len, ids)) + _ENTRY * len(chunks)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4") for e in found]
-
-    def learn(self, chunks: set[bytes]) -> None:
-        split: list[tuple[bytes, bytes, bytes]] = []
-        words, others = set(), []
-        for c in chunks:
-            if c.decode().isalpha():
-                words.add(c)
-            elif c[-1] in _STOPS and c[:-1].decode().isalpha():
-                split.append((c, c[:-1], c[-1:]))
-                if c[:-1] not in self.known:
-                    words.add(c[:-1])
-                if c[-1:] not in self.known:
-                    words.add(c[-1:])
-            else:
-                others.append(c)
-        todo = list(words)
-        for lo in range(0, len(todo), 100 * _JOINED):
-            groups = [todo[i:i + _JOINED] for i in range(lo, min(lo + 100 * _JOINED, len(todo)), _JOINED)]
-            for group, ids in zip(groups, self._encode([b" ".join(g).decode() for g in groups]), strict=True):
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _learn_words(self, words: list[str]) -> list[str]:
+        """Keep the ids of lower-case words; those of groups that failed are returned."""
+        failed = []
+        for lo in range(0, len(words), 100 * _JOINED):
+            groups = [words[i:i + _JOINED] for i in range(lo, min(lo + 100 * _JOINED, len(words)), _JOINED)]
+            found = self.words.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+            for group, e in zip(groups, found, strict=True):
+                ids = np.array(e.ids, dtype="<u4")
                 stops = np.flatnonzero(self.ends[ids]) + 1
                 if len(stops) == len(group):
                     raw, cuts = ids.tobytes(), (stops * 4).tolist()
-                    self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)],
-                                          strict=True))
-                else:  # a word of several pre-tokens
-                    others += group
+                    self._keep([w.encode() for w in group], [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)])
+                else:
+                    failed += group
+        return failed
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Keep the ids of new chunks (without spaces, ASCII letters lower)."""
+        texts = b" ".join(chunks).decode().split(" ")
+
+        def simple(some: list[str]) -> list[bool]:
+            """Which are lower-case words that the model can take as they are."""
+            out = [a and b for a, b in zip(map(str.isalpha, some), map(str.islower, some), strict=True)]
+            if _OTHER.search(" ".join(some)):
+                out = [s and not _OTHER.search(t) for s, t in zip(out, some, strict=True)]
+            return out
+        plain = simple(texts)
+        rest = [t for t, p in zip(texts, plain, strict=True) if not p]
+        bodies = [t.rstrip(_MARKS) for t in rest]
+        split = simple(bodies)
+        pairs = [(t, b, t[len(b):]) for t, b in compress(zip(rest, bodies, strict=True), split)]
+        words = {*compress(texts, plain), *(b for _, b, _ in pairs)}
+        whole = {t for t, s in zip(rest, split, strict=True) if not s}
+        whole.update(m for _, _, m in pairs)
+        whole.update(self._learn_words([w for w in words if w.encode() not in self.known]))
+        others = [t for t in whole if t.encode() not in self.known]
         for lo in range(0, len(others), 20_000):
             part = others[lo:lo + 20_000]
-            for c, ids in zip(part, self._encode([c.decode() for c in part]), strict=True):
-                self.known[c] = ids.tobytes()
-        for c, word, stop in split:
-            self.known[c] = self.known[word] + self.known[stop]
+            self._keep([t.encode() for t in part], self._encode(part))
+        get = self.known.__getitem__
+        self._keep([t.encode() for t, _, _ in pairs], [get(b.encode()) + get(m.encode()) for _, b, m in pairs])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut, whole = [], []
-        for i, text in enumerate(texts):
-            if "<|" in text:  # may be a special token, whose case matters
-                whole.append(i)
-                cut.append([])
-            else:
-                cut.append(text.encode().lower().replace(b"\n", b" ").split(b" "))
-        wanted = set()
-        for parts in cut:
-            wanted.update(parts)
-        new = wanted.difference(self.known)
-        if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.known = {b"": b""}
-            new = wanted.difference(self.known)
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, their number in each text)."""
+        special = [i for i, t in enumerate(texts) if "<|" in t]  # may be a special token, whose case matters
+        plain = not _OTHER.search("\n".join(texts))
+        cut = [(t.lower().encode() if plain else t.encode().lower()).replace(b"\n", b" ") for t in texts]
+        for i in special:
+            cut[i] = b""
+        lists = pc.split_pattern(pa.array(cut, pa.binary()).cast(pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        chunks = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary),
+                                " ")[0].as_py().encode().split(b" ") if len(coded.dictionary) else []
+        new = [c for c in chunks if c not in self.known]
         if new:
+            if self.held > CACHE_BYTES:
+                self._forget()
+                new = [c for c in chunks if c]
             self.learn(new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, parts)) for parts in cut]
-        for i in whole:
-            out[i] = self._encode([texts[i]])[0].tobytes()
-        return out
+        ids = list(map(self.known.__getitem__, chunks))
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        table = np.frombuffer(b"".join(ids), dtype="<u4")
+        code = coded.indices.to_numpy()
+        n = size[code]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = table[np.repeat((np.cumsum(size) - size)[code] - (ends - n), n) + np.arange(total)]
+        per = np.diff(np.concatenate(([0], ends))[lists.offsets.to_numpy()]) if len(texts) else np.zeros(0, np.int64)
+        if special:
+            parts = np.split(flat, np.cumsum(per)[:-1])
+            for i in special:
+                parts[i] = np.frombuffer(self._encode([texts[i]])[0], dtype="<u4")
+            flat, per = np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+        return flat, per
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        flat, per = self.encode_flat(texts)
+        raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(per)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=1)
