@@ -169,7 +169,8 @@ def test_words_hold_all_ids():
         assert (simple8b.decode(words, escapes, n) == ids).all()
         assert len(escapes) == (ids >= 1 << 60).sum()
         parts = np.split(ids, np.sort(rng.integers(0, n + 1, 6)))
-        own = next(simple8b.segments(simple8b.segment_bytes(3, 1, 5, 9, [*range(6), None], parts) + b"\n"))
+        own = next(simple8b.segments(simple8b.segment_bytes(
+            3, 1, 5, 9, [*range(6), None], [len(x) for x in parts], ids) + b"\n"))
         assert (own.shard, own.number, own.docs_before, own.ids_before) == (3, 1, 5, 9)
         for k, part in enumerate(parts):
             assert (own.doc_ids(k) == part).all()

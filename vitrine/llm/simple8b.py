@@ -175,15 +175,14 @@ class Segment:
 
 
 def segment_bytes(shard: int, number: int, docs_before: int, ids_before: int, docs: list[int | None],
-                  ids: list[np.ndarray]) -> bytes:
-    """A segment of whole documents."""
-    flat = np.concatenate([np.asarray(i, dtype=np.uint64) for i in ids])
-    words, escapes = encode(flat)
+                  counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """A segment of whole documents: their ids, numbers of token ids and token ids."""
+    words, escapes = encode(ids)
     before = np.concatenate(([0], np.cumsum(held_ids(words))))[:-1][::BLOCK]
-    head = HEADER.pack(MAGIC, shard, number, docs_before, ids_before, len(docs), len(flat), len(words), len(escapes))
+    head = HEADER.pack(MAGIC, shard, number, docs_before, ids_before, len(docs), len(ids), len(words), len(escapes))
     return b"".join([head, np.array([d is None for d in docs], dtype="u1").tobytes(),
                      np.array([d or 0 for d in docs], dtype="<i8").tobytes(),
-                     np.array([len(i) for i in ids], dtype="<u8").tobytes(), before.astype("<u8").tobytes(),
+                     np.asarray(counts).astype("<u8").tobytes(), before.astype("<u8").tobytes(),
                      words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes()])
 
 
@@ -207,31 +206,40 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: s
     dealt = (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
              .withColumn("digest", F.xxhash64("text")).withColumn("salt", F.rand(0))
              .repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text"))
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_ids(tokenizer)
         shard = TaskContext.get().partitionId()
         number = docs_before = ids_before = held = 0
-        names, ids = [], []
+        names, counts, ids = [], [], []
 
         def out(kind: str, data: bytes) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([kind])], ["data", "kind"])
 
         def close() -> pa.RecordBatch:
             nonlocal number, docs_before, ids_before, held
-            data = segment_bytes(shard, number, docs_before, ids_before, names, ids)
+            data = segment_bytes(shard, number, docs_before, ids_before, names, np.concatenate(counts), np.concatenate(ids))
             number, docs_before, ids_before, held = number + 1, docs_before + len(names), ids_before + held, 0
-            names.clear()
-            ids.clear()
+            for part in (names, counts, ids):
+                part.clear()
             return out("ids", data)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in slices(texts, 4_000_000):
-                for doc, raw in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), own.encode(texts[lo:hi]), strict=True):
-                    names.append(doc)
-                    ids.append(np.frombuffer(raw + end, dtype="<u4"))
-                    held += len(ids[-1])
+                flat, per = own.encode_flat(texts[lo:hi])
+                docs = batch.column(0).slice(lo, hi - lo).to_pylist()
+                ends = np.cumsum(per + 1)
+                at = 0
+                while at < len(docs):  # as many documents as fill the segment
+                    done = int(ends[at - 1]) if at else 0
+                    to = min(int(np.searchsorted(ends, done + segment_ids - held)) + 1, len(docs))
+                    part = np.full(int(ends[to - 1]) - done, end_id, dtype=np.uint64)
+                    keep = np.ones(len(part), dtype=bool)
+                    keep[ends[at:to] - done - 1] = False
+                    part[keep] = flat[done - at:int(ends[to - 1]) - to]
+                    names += docs[at:to]
+                    counts.append(per[at:to] + 1)
+                    ids.append(part)
+                    held, at = held + len(part), to
                     if held >= segment_ids:
                         yield close()
         if names:

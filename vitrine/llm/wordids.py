@@ -42,10 +42,10 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.known: dict[str, bytes] = {"": b""}
         self.held = 0
 
-    def _keep(self, chunks: list[bytes], ids: list[bytes]) -> None:
+    def _keep(self, chunks: list[str], ids: list[bytes]) -> None:
         self.known.update(zip(chunks, ids, strict=True))
         self.held += sum(map(len, chunks)) + sum(map(len, ids)) + _ENTRY * len(chunks)
 
@@ -64,15 +64,13 @@ class WordIds:
                 stops = np.flatnonzero(self.ends[ids]) + 1
                 if len(stops) == len(group):
                     raw, cuts = ids.tobytes(), (stops * 4).tolist()
-                    self._keep([w.encode() for w in group], [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)])
+                    self._keep(group, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)])
                 else:
                     failed += group
         return failed
 
-    def learn(self, chunks: list[bytes]) -> None:
+    def learn(self, texts: list[str]) -> None:
         """Keep the ids of new chunks (without spaces, ASCII letters lower)."""
-        texts = b" ".join(chunks).decode().split(" ")
-
         def simple(some: list[str]) -> list[bool]:
             """Which are lower-case words that the model can take as they are."""
             out = [a and b for a, b in zip(map(str.isalpha, some), map(str.islower, some), strict=True)]
@@ -87,13 +85,13 @@ class WordIds:
         words = {*compress(texts, plain), *(b for _, b, _ in pairs)}
         whole = {t for t, s in zip(rest, split, strict=True) if not s}
         whole.update(m for _, _, m in pairs)
-        whole.update(self._learn_words([w for w in words if w.encode() not in self.known]))
-        others = [t for t in whole if t.encode() not in self.known]
+        whole.update(self._learn_words([w for w in words if w not in self.known]))
+        others = [t for t in whole if t not in self.known]
         for lo in range(0, len(others), 20_000):
             part = others[lo:lo + 20_000]
-            self._keep([t.encode() for t in part], self._encode(part))
+            self._keep(part, self._encode(part))
         get = self.known.__getitem__
-        self._keep([t.encode() for t, _, _ in pairs], [get(b.encode()) + get(m.encode()) for _, b, m in pairs])
+        self._keep([t for t, _, _ in pairs], [get(b) + get(m) for _, b, m in pairs])
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, their number in each text)."""
@@ -105,7 +103,7 @@ class WordIds:
         lists = pc.split_pattern(pa.array(cut, pa.binary()).cast(pa.string()), " ")
         coded = lists.flatten().dictionary_encode()
         chunks = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary),
-                                " ")[0].as_py().encode().split(b" ") if len(coded.dictionary) else []
+                                " ")[0].as_py().split(" ") if len(coded.dictionary) else []
         new = [c for c in chunks if c not in self.known]
         if new:
             if self.held > CACHE_BYTES:
