@@ -356,20 +356,20 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents with the lowest id of each component, all columns.  Rows
     with a null id stay; of the rows of one id with equal sets, the one with
     the lowest text stays."""
-    doc_id = F.col(id_col).cast("long")
-    kept = join(docs, id_col, text_col, shingle, percent).filter("doc_id = component_id").select(
-        F.col("doc_id").alias("_kept_id")).distinct()
-    repeated = (docs.filter(doc_id.isNotNull()).groupBy(doc_id.alias("_repeated_id")).count().filter("count > 1")
-                .select("_repeated_id"))
-    stay = docs.join(kept, doc_id == F.col("_kept_id"), "left_semi")
-    single = stay.join(repeated, doc_id == F.col("_repeated_id"), "left_anti")
+    kept = join(docs, id_col, text_col, shingle, percent).filter("doc_id = component_id").select("doc_id").distinct()
+    # a row travels in one struct, so its columns clash with none of these
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+                       text_or_empty(text_col).alias("text"))
+    repeated = rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    stay = rows.join(kept, "doc_id", "left_semi")
+    single = stay.join(repeated, "doc_id", "left_anti")
 
     @F.pandas_udf("binary")
     def set_key(texts: pd.Series) -> pd.Series:
         import xxhash
         return pd.Series([xxhash.xxh3_128_digest(np.unique(t).tobytes()) for t in shingles(texts.tolist(), shingle)], dtype=object)
-    one = (stay.join(repeated, doc_id == F.col("_repeated_id"), "left_semi")
-           .select(doc_id.alias("_id"), set_key(text_or_empty(text_col)).alias("_set"), F.struct(*docs.columns).alias("_row"),
-                   text_or_empty(text_col).alias("_text"))
-           .groupBy("_id", "_set").agg(F.min_by("_row", "_text").alias("_row")).select("_row.*"))
-    return single.union(one).union(docs.filter(doc_id.isNull()))
+    # of equal ids and sets the lowest text, of equal texts the row that is least as JSON
+    one = (stay.join(repeated, "doc_id", "left_semi").select("doc_id", set_key("text").alias("set"), "row", "text")
+           .groupBy("doc_id", "set").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row")))
+    return (single.select("row.*").unionAll(one.select("row.*"))
+            .unionAll(rows.filter("doc_id is null").select("row.*")))

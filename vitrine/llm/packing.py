@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.bpe import slices
 from vitrine.llm.common import map_batches, text_or_empty
-from vitrine.llm.wordids import word_ids
+from vitrine.llm.wordids import SLICE, word_ids
 from vitrine.session import materialize
 
 CAPACITY = 2048
@@ -43,7 +43,7 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPA
         own = word_ids(path)
         texts = batch.column(1).to_pylist()
         rows, at = [], []
-        for lo, hi in slices(texts, 4_000_000):
+        for lo, hi in slices(texts, SLICE):
             for i, raw in enumerate(own.encode(texts[lo:hi]), lo):
                 raw += end
                 total = len(raw) // 4

@@ -3,8 +3,8 @@
 Every document gets a few counts and from them the values of simple rules
 (symbols per character, repeated words, repeated lines, capitals, short or
 long words).  For each stratum the cutoff of a rule is chosen on labelled
-documents so that it rejects at most a share ``risk`` of the good ones, with
-confidence: cutoffs are tried from the most lenient to the strictest, each by
+documents so that all rules together reject at most a share ``risk`` of the
+good ones, with confidence: cutoffs are tried from the most lenient to the strictest, each by
 the exact binomial tail of its false rejections, and the first that fails ends
 the sequence (no correction within a sequence is needed); the confidence is
 divided by the number of sequences (Bonferroni over rules and strata).  Among
@@ -13,8 +13,9 @@ good ones is used, or none if that gains nothing.
 
 Defined results: a null or empty text has no words and fails the base rule; a
 null stratum is a stratum of its own; documents of a stratum without enough
-labels meet the base rule only; repeated rows give repeated rows and each
-label counts once for each row of its document; null labels count as absent;
+labels meet the base rule only; repeated rows give repeated rows; a text that
+several rows of a stratum share counts once for the cutoffs, as good if any of
+its labels says so; null labels count as absent; a null id has no label;
 an empty table gives an empty table; of the input only the named columns are
 read, so other columns may have any name.
 """
@@ -52,6 +53,7 @@ STEPS = 200
 
 _METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " \
            "n_lines long, n_capitals long"
+_COUNTS = [f.split()[0] for f in _METRICS.split(", ")]
 
 
 def step_of(value: str) -> Column:
@@ -86,16 +88,16 @@ def measure(text: str) -> tuple[int, ...]:
 
 
 def metrics(docs: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, stratum and the counts of every document."""
+    """doc_id, stratum, the text's hash and the counts of every document."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [measure(t) for t in batch.column(2).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]],
-            ["doc_id", "stratum", *[f.split()[0] for f in _METRICS.split(", ")]])
+            [batch.column(0), batch.column(1), batch.column(3), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]],
+            ["doc_id", "stratum", "text_key", *[f.split()[0] for f in _METRICS.split(", ")]])
     cols = [F.col(id_col).cast("long").alias("doc_id"),
             F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
-            text_or_empty(text_col).alias("text")]
-    return map_batches(docs, cols, run, f"doc_id long, stratum string, {_METRICS}")
+            text_or_empty(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("text_key")]
+    return map_batches(docs, cols, run, f"doc_id long, stratum string, text_key long, {_METRICS}")
 
 
 def log_binomial_tail(k: int, n: int, p: float) -> float:
@@ -127,24 +129,27 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, risk: float, delta: float,
     return chosen
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05,
+def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.06, delta: float = 0.05,
                price: float = 100.0, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """(stratum, cutoffs map<rule, step>) from the labelled documents: a rule
     rejects values over (step - 1) / STEPS.
 
-    ``risk``: largest share of good documents that a rule may reject in a
-    stratum; ``delta``: chance that any rule of any stratum breaks that;
+    ``risk``: largest share of good documents that the rules of a stratum may
+    reject together (each rule has an equal part of it); ``delta``: chance that any rule of any stratum breaks that;
     ``price``: bad documents that must go, in shares, for a share of good
     ones.  The work is one aggregate over all labelled rows; what meets in a
     task is at most STEPS + 1 counts of one stratum and rule.
     """
     known = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("good"))
-             .filter("doc_id is not null and good is not null").dropDuplicates(["doc_id"]))
+             .filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.max("good").alias("good")))
     parts = F.explode(F.array(*[
         F.struct(F.lit(r).alias("rule"),
                  step_of(v).alias("step"))
         for r, v in RULES.items()])).alias("part")
-    counts = (measured.join(known, "doc_id").select("stratum", "good", parts)
+    # copies are no independent draws: each different text of a stratum counts once, good if any label says so
+    holdout = measured.join(known, "doc_id").groupBy("stratum", "text_key").agg(
+        F.max("good").alias("good"), *[F.max(c).alias(c) for c in _COUNTS])
+    counts = (holdout.select("stratum", "good", parts)
               .groupBy("stratum", "part.rule", "part.step")
               .agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")))
     sequences = max(1, measured.select("stratum").distinct().count()) * len(RULES)
@@ -152,7 +157,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = 0.01, delta
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         good, bad = np.zeros(STEPS + 1), np.zeros(STEPS + 1)
         good[pdf["step"]], bad[pdf["step"]] = pdf["good"], pdf["bad"]
-        step = choose_cutoff(good, bad, risk, delta / sequences, price)
+        step = choose_cutoff(good, bad, risk / len(RULES), delta / sequences, price)
         return pd.DataFrame({"stratum": [str(pdf["stratum"].iloc[0])], "rule": [str(pdf["rule"].iloc[0])],
                              "cutoff": [step or 0]})
 
@@ -179,4 +184,4 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **limits) -
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     base.alias("base_failed"), (~base & ~failed).alias("kept"), "stratum",
                     F.array_compact(F.array(*[F.when(o, F.lit(r)) for o, r in zip(over, RULES, strict=True)]))
-                    .alias("broken_rules")))
+                    .alias("broken_rules"), "text_key"))

@@ -41,7 +41,7 @@ CLASSES = {
 }
 #: candidates that are no secrets: UUIDs, dates and numbers, paths of words
 ALLOWED = (r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|^[0-9_/=+-]+$"
-           r"|^/?([A-Za-z]+[/_=-])+[A-Za-z]*[0-9]{0,4}$")
+           r"|^/?(?:[A-Za-z]++[/_=-])++[A-Za-z]*+[0-9]{0,4}$")
 #: words that are cut out of candidates
 PLACEHOLDER = r"((?i:example|sample|placeholder|x{6,}|0{6,}))"
 
@@ -68,15 +68,35 @@ def pattern_spans(text: Column, pattern: str, least: int) -> Column:
     return F.when(text.rlike(quick), found).otherwise(F.array().cast(_SPANS))
 
 
+#: Characters of a long candidate that are read from its own start on.
+PART = 512
+
+
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
     """Highest Shannon entropy (bits) of the windows of an ASCII string, of
-    the whole string if it is shorter."""
+    the whole string if it is shorter.  A string is cut into parts of ``PART``
+    characters, each with the first window - 1 of the next, so that every
+    window lies in one part and the work grows with the length."""
+    cut = F.regexp_extract_all(value, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    parts = F.transform(cut, lambda p, i: F.concat(
+        p, F.substring(F.coalesce(F.get(cut, i + 1), F.lit("")), 1, window - 1)))
+    # what is left of a last part of a few characters lies in the windows of the part before
+    whole = F.filter(parts, lambda p, i: (i == 0) | (F.length(p) >= window))
+    return F.coalesce(F.array_max(F.transform(whole, lambda p: part_entropy(p, window))), F.lit(0.0))
+
+
+def part_entropy(value: Column, window: int) -> Column:
+    """``window_entropy`` of a short string."""
     def weight(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(F.greatest(c, F.lit(1)))).otherwise(F.lit(0.0))
 
     def code(i: Column) -> Column:
         return F.ascii(F.substring(value, i, F.lit(1)))
 
+    def put(counts: Column, at: Column, count: Column) -> Column:
+        """The counts with one of them replaced."""
+        return F.concat(F.slice(counts, 1, at), F.array(count), F.slice(counts, at + 2, 128))
+
     state = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
 
     def slide(acc: Column, i: Column) -> Column:
@@ -87,11 +107,13 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
                          new.alias("new"), old.alias("old"))
 
         def update(m: Column) -> Column:
-            s = F.when((m["new"] == m["old"]), m["s"]).otherwise(
+            same = m["new"] == m["old"]
+            s = F.when(same, m["s"]).otherwise(
                 m["s"] + weight(m["c_in"] + 1) - weight(m["c_in"])
                 + F.when(m["old"] >= 0, weight(m["c_out"] - 1) - weight(m["c_out"])).otherwise(F.lit(0.0)))
-            counts = F.transform(m["counts"], lambda c, j: c + (j == m["new"]).cast("int")
-                                 - (j == m["old"]).cast("int"))
+            one_in = put(m["counts"], m["new"], m["c_in"] + 1)
+            counts = F.when(same, m["counts"]).when(m["old"] < 0, one_in).otherwise(
+                put(one_in, m["old"], m["c_out"] - 1))
             bits = F.log2(F.least(i, F.lit(window))) - s / F.least(i, F.lit(window))
             full = (i >= window) | (i == F.length(value))
             return F.struct(counts.alias("counts"), s.alias("s"),

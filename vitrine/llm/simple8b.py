@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.bpe import slices
 from vitrine.llm.common import text_or_empty
-from vitrine.llm.wordids import word_ids
+from vitrine.llm.wordids import SLICE, word_ids
 
 ESCAPE, ZEROS = 0, 1
 #: Ids in a word and their width, by selector (fixed values of the format).
@@ -224,7 +224,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: s
             return out("ids", data)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in slices(texts, 4_000_000):
+            for lo, hi in slices(texts, SLICE):
                 flat, per = own.encode_flat(texts[lo:hi])
                 docs = batch.column(0).slice(lo, hi - lo).to_pylist()
                 ends = np.cumsum(per + 1)

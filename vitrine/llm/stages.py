@@ -1,8 +1,9 @@
 """Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and decides
 by one operator.  All but the last return the columns of ``docs``.
 
-Rows with a null id pass the filters and the rewriting stages unchanged except
-for the quality rules, which drop them if the base rule fails.
+A row travels in one struct column, so extra columns may have any name.  Rows
+are judged by their own text: of rows with a null or an equal id only those
+whose text breaks a rule go, and each keeps its own cut or redacted text.
 """
 
 from __future__ import annotations
@@ -27,24 +28,31 @@ def _ready(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def _as(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """``docs`` with the new text (column ``_text`` by ``_id`` and ``_key``, the
-    hash of the old text) and its length."""
-    out = {f.name: F.col(f.name) for f in docs.schema.fields}
-    out["text"] = F.coalesce("_text", "text")
+def _nested(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text, key): the whole row, its id, text and the text's hash."""
+    text = text_or_empty("text")
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                       text.alias("text"), F.xxhash64(text).alias("key"))
+
+
+def _with_text(nested: DataFrame, docs: DataFrame, changed: Column) -> DataFrame:
+    """The rows with the text ``changed`` where that is not null, and its length."""
+    out = {f.name: F.col("row")[f.name] for f in docs.schema.fields}
+    out["text"] = F.coalesce(changed, out["text"])
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(
-            F.length("_text")).cast(docs.schema["n_chars"].dataType)
-    own = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(text_or_empty("text")) == F.col("_key"))
-    return docs.join(changed, own, "left").select(*[c.alias(n) for n, c in out.items()])
+        out["n_chars"] = F.when(changed.isNull(), out["n_chars"]).otherwise(F.length(changed)).cast(
+            docs.schema["n_chars"].dataType)
+    return nested.select(*[c.alias(n) for n, c in out.items()])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break the base rule or a risk-controlled cutoff go."""
     _ready(spark)
     verdict = quality.judge(docs, table(spark, sf_dir, "labels"))
-    rejected = verdict.filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    # a verdict follows from the text and its stratum, so it holds for all rows with both
+    rejected = verdict.filter("not kept").select(F.col("text_key").alias("key"), F.col("stratum")).distinct()
+    return (_nested(docs).withColumn("stratum", F.coalesce(F.col("row")["lang"].cast("string"), F.lit("")))
+            .join(rejected, ["key", "stratum"], "left_anti").select("row.*"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +86,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
                                              ["_id", "_key", "_text"])
     changed = (suffixes.duplicate_runs(docs).filter("size(starts) > 0 and doc_id is not null")
                .select("doc_id", F.xxhash64("text"), "text", "starts", "ends")
-               .mapInArrow(cut, "_id long, _key long, _text string"))
-    out = _as(docs, changed.dropDuplicates(["_id", "_key"]))
+               .mapInArrow(cut, "_id long, _key long, _text string").dropDuplicates(["_id", "_key"]))
+    nested = _nested(docs)
+    out = _with_text(nested.join(changed, (nested["doc_id"] == changed["_id"]) & (nested["key"] == changed["_key"]), "left"),
+                     docs, F.col("_text"))
     return out.filter(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -98,16 +108,9 @@ def _redacted(text: Column, spans: Column) -> Column:
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by ``REDACTED``; all documents stay."""
     _ready(spark)
-    text = text_or_empty("text")
-    found = secrets.with_spans(docs.withColumn("_scanned", text), "_scanned")
+    found = secrets.with_spans(_nested(docs), "text")
     spans = F.concat(*[F.col(f"_{k}") for k in secrets.KINDS])
-    out = {f.name: F.col(f.name) for f in docs.schema.fields}
-    hit = F.size(spans) > 0
-    out["text"] = F.when(hit, _redacted(F.col("_scanned"), spans)).otherwise(F.col("text"))
-    if "n_chars" in out:
-        out["n_chars"] = F.when(hit, F.length(out["text"])).otherwise(F.col("n_chars")).cast(
-            docs.schema["n_chars"].dataType)
-    return found.select(*[c.alias(n) for n, c in out.items()])
+    return _with_text(found, docs, F.when(F.size(spans) > 0, _redacted(F.col("text"), spans)))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
