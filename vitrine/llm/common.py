@@ -33,7 +33,18 @@ def map_batches(df: DataFrame, columns: list, fn: Callable[[pa.RecordBatch], pa.
     return df.select(*columns).mapInArrow(run, schema)
 
 
-_WORD_HASH: dict[bytes, int] = {}
+def release(spark: SparkSession) -> None:
+    """Between two steps of a long job: have the driver collect its garbage,
+    upon which Spark deletes the shuffle files of plans that have ended (it
+    does so by itself only every ``spark.cleaner.periodicGC.interval``)."""
+    import gc
+    gc.collect()
+    try:
+        spark.sparkContext._jvm.System.gc()
+    except Exception:  # remote (Connect) session
+        return
+
+
 _WORD_HASH_MAX = 200_000
 
 
