@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +34,18 @@ def map_batches(df: DataFrame, columns: list, fn: Callable[[pa.RecordBatch], pa.
     return df.select(*columns).mapInArrow(run, schema)
 
 
+#: Bytes of the Arrow batches that a session of the pipeline sends to a worker.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark cut Arrow batches at ``BATCH_BYTES`` if it cuts them later."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is not None and not 0 < int(re.sub(r"\D", "", now)) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def release(spark: SparkSession) -> None:
     """Between two steps of a long job: have the driver collect its garbage,
     upon which Spark deletes the shuffle files of plans that have ended (it

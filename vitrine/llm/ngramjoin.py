@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import mix64, shingle_hashes, text_or_empty, word_hashes
+from vitrine.llm.common import mix64, release, shingle_hashes, text_or_empty, word_hashes
 from vitrine.session import materialize
 
 SHINGLE = 3
@@ -356,20 +356,26 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents with the lowest id of each component, all columns.  Rows
     with a null id stay; of the rows of one id with equal sets, the one with
     the lowest text stays."""
-    kept = join(docs, id_col, text_col, shingle, percent).filter("doc_id = component_id").select("doc_id").distinct()
     # a row travels in one struct, so its columns clash with none of these
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        text_or_empty(text_col).alias("text"))
-    repeated = rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    stay = rows.join(kept, "doc_id", "left_semi")
-    single = stay.join(repeated, "doc_id", "left_anti")
+    repeated = rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(
+        F.col("doc_id").alias("again"))
+    kept = materialize(join(docs, id_col, text_col, shingle, percent).filter("doc_id = component_id")
+                       .select("doc_id").distinct().join(repeated, F.col("doc_id") == F.col("again"), "left"))
+    release(docs.sparkSession)  # the shuffles of the join
+    # texts are dealt once, by the ids that stay
+    out = (rows.join(kept.filter("again is null").select("doc_id"), "doc_id", "left_semi").select("row.*")
+           .unionAll(rows.filter("doc_id is null").select("row.*")))
+    several = kept.filter("again is not null").select("doc_id")
+    if several.isEmpty():
+        return out
 
     @F.pandas_udf("binary")
     def set_key(texts: pd.Series) -> pd.Series:
         import xxhash
         return pd.Series([xxhash.xxh3_128_digest(np.unique(t).tobytes()) for t in shingles(texts.tolist(), shingle)], dtype=object)
     # of equal ids and sets the lowest text, of equal texts the row that is least as JSON
-    one = (stay.join(repeated, "doc_id", "left_semi").select("doc_id", set_key("text").alias("set"), "row", "text")
+    one = (rows.join(several, "doc_id", "left_semi").select("doc_id", set_key("text").alias("set"), "row", "text")
            .groupBy("doc_id", "set").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row")))
-    return (single.select("row.*").unionAll(one.select("row.*"))
-            .unionAll(rows.filter("doc_id is null").select("row.*")))
+    return out.unionAll(one.select("row.*"))

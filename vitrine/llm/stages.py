@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import ngramjoin, packing, quality, secrets, suffixes
-from vitrine.llm.common import table, text_or_empty
+from vitrine.llm.common import small_batches, table, text_or_empty
 from vitrine.llm.queries import tokenizer_file
 from vitrine.session import ensure_checkpoint_dir, ship_package
 
@@ -26,6 +26,7 @@ REDACTED = "[SECRET]"
 def _ready(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    small_batches(spark)
 
 
 def _nested(docs: DataFrame) -> DataFrame:
