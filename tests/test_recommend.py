@@ -10,7 +10,7 @@ from vitrine.operators import matrix as M
 from vitrine.operators import neighbors as N
 
 
-def recs_of(spark, rows, mode="auto", params=N.CFParams()):
+def recs_of(spark, rows, mode="tile", params=N.CFParams()):
     inter = inter_df(spark, rows)
     m = M.user_product_matrix(inter)
     old = N.user_neighbors
@@ -113,18 +113,78 @@ def test_properties_on_events(spark):
     assert all(r["n"] == r["d"] == r["mx"] <= 8 for r in per)
 
 
-@pytest.mark.parametrize("dense_items", [0, 4096])
-def test_tile_kernel_branches_and_blocks(spark, dense_items, monkeypatch):
+@pytest.mark.parametrize("share", [0, 256, 10 ** 9])
+@pytest.mark.parametrize("slots", [1, 7, 2048])
+def test_tile_kernel_branches_and_blocks(spark, share, slots, monkeypatch):
+    from vitrine.operators import userblocks as UB
     rnd = random.Random(5)
     rows = [(rnd.randrange(60), f"p{rnd.randrange(30)}", rnd.choice([1, 2, -1, 4])) for _ in range(260)]
     rows += [(200, "q", 3), (200, "q", -3)]
     m = M.user_product_matrix(inter_df(spark, rows))
-    monkeypatch.setattr(N, "TILE_DENSE_ITEMS", dense_items)
-    tiled = sorted(map(tuple, N.tile_user_neighbors(m, 5, block_rows=7).collect()))
+    # share 0: all products are expanded; huge: all go through the matrix product
+    monkeypatch.setattr(UB, "GEMM_SHARE", share)
+    monkeypatch.setattr(UB, "EXPANSION", 13)
+    tiled = sorted(map(tuple, N.tile_user_neighbors(m, 5, block_rows=slots).collect()))
     sparse = sorted(map(tuple, N.sparse_user_neighbors(m, 5, N.CFParams()).collect()))
     assert tiled == sparse
 
 
+def clustered(seed, groups, users, items):
+    """Users of a group share products that no other group has; negative and cancelled cells too."""
+    rnd = random.Random(seed)
+    rows = [(g * 1000 + rnd.randrange(users), f"g{g}-{rnd.randrange(items)}", rnd.choice([1, 2, 3, -1]))
+            for g in range(groups) for _ in range(users * 6)]
+    return rows + [(g * 1000, f"g{g}-x", c) for g in range(groups) for c in (2, -2)]
+
+
+def test_pruned_blocks_equal_join(spark):
+    """Blocks that no user can profit from are not compared, and nothing is lost."""
+    from vitrine.operators import userblocks as UB
+    m = M.user_product_matrix(inter_df(spark, clustered(3, 12, 20, 15))).cache()
+    blocks = UB.pack(m, 10)
+    n = blocks.count()
+    opened = UB.open_pairs(blocks, UB._settle(blocks, 5)).count()
+    assert n > 15 and opened < (n - 1) * (n - 2) / 4
+    tiled = sorted(map(tuple, N.tile_user_neighbors(m, 5, block_rows=10).collect()))
+    sparse = sorted(map(tuple, N.sparse_user_neighbors(m, 5, N.CFParams()).collect()))
+    assert tiled == sparse
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_users_without_overlap_and_with_opposite_scores(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(u, f"own{u}", 1) for u in range(40)] + [(rnd.randrange(40), "all", rnd.choice([1, -3])) for _ in range(60)]
+    m = M.user_product_matrix(inter_df(spark, rows))
+    tiled = sorted(map(tuple, N.tile_user_neighbors(m, 5, block_rows=3).collect()))
+    sparse = sorted(map(tuple, N.sparse_user_neighbors(m, 5, N.CFParams()).collect()))
+    assert tiled == sparse
+
+
+def test_tile_memory_at_full_blocks():
+    """2048 users x 400 cells over 5,000 products: bounded memory, right dots."""
+    import subprocess
+    import sys
+    code = """
+import resource, numpy as np
+from vitrine.operators import userblocks as UB
+def block(seed):
+    rng = np.random.default_rng(seed)
+    who = np.repeat(np.arange(2048), 400)
+    col = np.concatenate([rng.choice(5000, 400, replace=False) for _ in range(2048)])
+    order = np.lexsort((who, col))
+    starts = np.concatenate(([0], np.cumsum(np.bincount(col, minlength=5000))))
+    return UB.Block({"block": seed, "users": (np.arange(2048) + 5000 * seed).astype("<i8").tobytes(),
+        "products": np.array([f"p{i:05d}" for i in range(5000)], dtype=object), "starts": starts.astype("<i8").tobytes(),
+        "who": who[order].astype("<i4").tobytes(), "score": rng.integers(1, 5, len(who)).astype("<f8").tobytes()})
+a, b = block(0), block(1)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+UB.tile_top(a, b, 5, True)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 1000
+
+
 def test_tile_pairs_equal_join_pairs(spark):
     rnd = random.Random(9)
     rows = [(rnd.randrange(50), f"p{rnd.randrange(20)}", rnd.choice([1, 2, -3, 4])) for _ in range(220)]

@@ -43,6 +43,22 @@ def global_rank(df: DataFrame, order_cols: list[Column], rank_col: str = "rnk")
             .select(*cols, (F.col("_off") + F.col("_loc") + 1).alias(rank_col)))
 
 
+def running_total(df: DataFrame, order_cols: list[Column], weight: str, out: str = "before") -> DataFrame:
+    """Append the sum of ``weight`` over all rows before each row in the total
+    order of ``order_cols``: per sorted partition, plus what comes before the
+    partition (one row per partition)."""
+    cols = df.columns
+    ordered = materialize(df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
+    totals = ordered.groupBy("_pid").agg(F.sum(weight).alias("_w"))
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    return (ordered.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+            .join(F.broadcast(offsets), "_pid")
+            .select(*cols, (F.col("_off") + F.col("_in")).alias(out)))
+
+
 def successors(ranked: DataFrame, key: str, k: int, rank_col: str = "rnk") -> DataFrame:
     """(src, cand, cand_rnk): the k items ranked right after each item."""
     want = ranked.select(
