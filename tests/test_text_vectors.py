@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import text as TX
 from vitrine.operators import vectors as V
+from vitrine.operators.probing import probe_neighbors
 
 
 def tokens(spark, texts, stop):
@@ -105,8 +106,25 @@ def test_lsh_recall(spark):
     q = corpus[:20] + rnd.normal(scale=0.05, size=(20, 8))
     cdf = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(corpus)], "id string, vector array<double>")
     qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, vector array<double>")
-    approx = V.lsh_neighbors(qdf, cdf, k=3, threshold=1.0).collect()
+    approx = probe_neighbors(qdf, cdf, k=3).collect()
     exact = V.blocked_topk(qdf, cdf, lkey="qid", rkey="id", k=3, metric="l2").collect()
     a = {(r["qid"], r["id"]) for r in approx}
     e = {(r["left_key"], r["right_key"]) for r in exact}
-    assert len(a & e) / len(e) >= 0.8
+    assert len(a & e) / len(e) >= 0.9
+
+
+def test_undefined_similarities_are_null(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [nan, 1.0]), ("d", [0.0, 1.0])],
+                               "id string, vector array<double>")
+    got = {(r["product_id"], r["similar_id"]): r["score"] for r in V.similar_products(df, k=3).collect()}
+    assert len(got) == 12
+    assert all((s is None) == ("c" in pair) for pair, s in got.items())
+
+
+def test_stopword_file_is_read(spark, tmp_path):
+    from vitrine.sources.stopwords import load_stopwords
+    path = tmp_path / "words.txt"
+    path.write_text("và\ncủa\n\nvà\na lô\n", encoding="utf-8")
+    got = sorted(r["word"] for r in load_stopwords(spark, str(path)).collect())
+    assert got == ["a lô", "của", "và"]

@@ -1,8 +1,8 @@
 """Catalog scans, enrichment, API records and the chat catalog filters.
 
-Dimensions (brands, categories) are broadcast only after their row count is
-checked against ``max_broadcast_rows``; past it the join falls back to a
-shuffle join, so a large brand table never floods executors.
+Dimensions (brands, categories) are joined plainly: Spark broadcasts a side
+whose measured size is under its threshold, and AQE splits a hot key of a
+shuffled one.
 """
 
 from __future__ import annotations
@@ -12,16 +12,6 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import records as R
 
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-             max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join a dimension, broadcasting it only under a checked row bound."""
-    small = dim.limit(max_rows + 1).count() <= max_rows
-    return fact.join(F.broadcast(dim) if small else dim, on, how)
-
-
 def category_dim(categories: DataFrame) -> DataFrame:
     """S3: (id, name) with the name lower-cased."""
     return categories.select("id", F.lower("name").alias("name"))
@@ -38,8 +28,8 @@ def catalog_enriched(products: DataFrame, brands: DataFrame, categories: DataFra
     b = brands.select(F.col("id").alias("brand_id_ref"), F.col("name").alias("brand_name"))
     c = categories.select(F.col("id").alias("category_id_ref"), F.col("code").alias("category_code"),
                           F.col("name").alias("category_name"))
-    j = join_dim(products, b, products.brand_id == b.brand_id_ref)
-    return join_dim(j, c, j.category_id == c.category_id_ref)
+    j = products.join(b, products.brand_id == b.brand_id_ref, "left")
+    return j.join(c, j.category_id == c.category_id_ref, "left")
 
 
 def product_dedup(products: DataFrame, order: Column | None = None) -> DataFrame:
@@ -57,18 +47,26 @@ def product_record(enriched: DataFrame) -> DataFrame:
     return enriched.select(*R.product_record_columns())
 
 
+def with_category_label(products: DataFrame, categories: DataFrame) -> DataFrame:
+    """``category`` = lower name of the category id, default 'khác'."""
+    dim = category_dim(categories).select(F.col("id").alias("_cid"), F.col("name").alias("_label"))
+    return (products.join(dim, F.col("category_id") == F.col("_cid"), "left")
+            .withColumn("category", F.coalesce("_label", F.lit(R.OTHER_CATEGORY))).drop("_cid", "_label"))
+
+
 def category_label(products: DataFrame, categories: DataFrame) -> DataFrame:
-    """Category id -> lower(name), default 'khác'."""
-    dim = category_dim(categories).select(F.col("id").alias("cid"), F.col("name").alias("label"))
-    j = join_dim(products.select("id", "category_id"), dim, F.col("category_id") == F.col("cid"))
-    return j.select("id", "category_id", F.coalesce("label", F.lit(R.OTHER_CATEGORY)).alias("category"))
+    """(id, category_id, category) of every product."""
+    return with_category_label(products.select("id", "category_id"), categories)
 
 
 def missing_required_categories(categories: DataFrame, required=("áo", "quần", "giày")) -> DataFrame:
     """Required category names absent from the dimension (must be empty)."""
-    spark = categories.sparkSession
-    req = spark.createDataFrame([(r,) for r in required], "name string")
-    return req.join(category_dim(categories).select("name"), "name", "left_anti")
+    return missing_categories(categories, categories.sparkSession.createDataFrame([(r,) for r in required], "name string"))
+
+
+def missing_categories(categories: DataFrame, names: DataFrame) -> DataFrame:
+    """Lower-case names (name) that no category has."""
+    return names.join(category_dim(categories).select("name"), "name", "left_anti")
 
 
 def resolve_gender(gender: str | None) -> str | None:
@@ -89,7 +87,7 @@ def catalog_filter(products: DataFrame, categories: DataFrame, category: str | N
     df = products.where(F.col("status"))
     if category:
         ids = category_by_name(categories).where(F.col("category") == category.lower()).select("id")
-        df = df.join(F.broadcast(ids), df.category_id == ids.id, "left_semi")
+        df = df.join(ids, df.category_id == ids.id, "left_semi")
     g = resolve_gender(gender)
     if g is not None:
         df = df.where(F.col("gender") == g)
@@ -100,10 +98,9 @@ def catalog_filter(products: DataFrame, categories: DataFrame, category: str | N
 
 def chat_products(filtered: DataFrame, categories: DataFrame) -> DataFrame:
     """Chat product record: id, name, description, gender, price, thumbnail URI, label."""
-    lab = category_label(filtered, categories).select(F.col("id").alias("lid"), "category")
-    j = filtered.join(lab, filtered.id == lab.lid)
-    return j.select(F.col("id").cast("string").alias("id"), "name", "description", "gender", "price",
-                    R.thumbnail_uri(F.col("thumbnail")).alias("thumbnail"), "category")
+    return with_category_label(filtered, categories).select(
+        F.col("id").cast("string").alias("id"), "name", "description", "gender", "price",
+        R.thumbnail_uri(F.col("thumbnail")).alias("thumbnail"), "category")
 
 
 def gender_or_unisex(df: DataFrame, gender: str) -> DataFrame:
@@ -113,7 +110,7 @@ def gender_or_unisex(df: DataFrame, gender: str) -> DataFrame:
                     & ((g == F.lit((gender or "").upper())) | (g == R.UNISEX)))
 
 
-def product_document(chat: DataFrame) -> DataFrame:
-    """Document text and metadata."""
+def product_document(chat: DataFrame, *more: str) -> DataFrame:
+    """Document text and metadata (and the columns ``more``)."""
     return chat.select(R.page_content(F.col("name"), F.col("description")).alias("page_content"),
-                       "id", "name", "gender", "price", "thumbnail", "category")
+                       "id", "name", "gender", "price", "thumbnail", "category", *more)

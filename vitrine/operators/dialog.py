@@ -10,8 +10,8 @@ an answer.  Here:
   expressions, first valid attempt by ``min_by`` (partial aggregation);
 * "is the filtered catalog empty?" = equi-join against small per
   (category, gender) price aggregates, never a per-question scan;
-* retrieval = the blocked L2 top-k kernel with category as the equi key and
-  gender / price as residual predicates evaluated on each tile;
+* retrieval = the zoned L2 top-k kernel: category and gender rule are its
+  group, price is its zone, parts and singles go through one call;
 * texts (sources, prompts, answers) are assembled from at most 3 parts x 3
   documents per question: bounded collects only.
 
@@ -23,8 +23,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +31,7 @@ from vitrine.functions import records as R
 from vitrine.functions.replies import clean_reply, parse_replies, shape_ok
 from vitrine.functions.text import strip_unicode
 from vitrine.operators import catalog as C
-from vitrine.operators.vectors import blocked_topk
+from vitrine.operators.vectorblocks import zoned_topk
 from vitrine.session import materialize
 
 # Answer texts, messages and the retrieval prompt of the chat surface.
@@ -165,8 +163,7 @@ def availability(products: DataFrame) -> DataFrame:
 def with_availability(req: DataFrame, avail: DataFrame, cat_col: str) -> DataFrame:
     """Add has_rows (stage 1) and has_gender_rows (stage 2) to requests with
     columns (<cat_col>, mode, gkey, price_filter, max_price).  ``avail`` is the
-    small lookup of ``availability`` (already broadcast-hinted by the caller
-    after its size check)."""
+    lookup of ``availability``, a few rows per category."""
     out = req
     for stage, name in ((1, "has_rows"), (2, "has_gender_rows")):
         key = F.when((F.col("mode") == "up") & F.lit(stage == 1), F.lit("ANY")).otherwise(F.col("gkey"))
@@ -183,40 +180,40 @@ def with_availability(req: DataFrame, avail: DataFrame, cat_col: str) -> DataFra
     return out
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Small lookup side: joined plainly so that AQE broadcasts it from its
-    measured runtime size (and keeps a shuffle join beyond the threshold)."""
-    return df
-
-
-def _residual(pl: pd.DataFrame, pr: pd.DataFrame) -> np.ndarray:
-    g = pr["_pg"].fillna("").astype(str).to_numpy()
-    gu = np.char.upper(g.astype(str))
-    price = pr["_pp"].astype(float).to_numpy()
-    mode = pl["_mode"].to_numpy()
-    key = pl["_gkey"].fillna("").astype(str).to_numpy()
-    eq = (mode == "eq")[:, None] & (g[None, :] == key[:, None])
-    up = (mode == "up")[:, None] & (gu[None, :] == "UNISEX")
-    pf = pl["_pf"].fillna(False).astype(bool).to_numpy()
-    mp = pl["_mp"].astype(float).to_numpy()
-    with np.errstate(invalid="ignore"):
-        price_ok = (~pf)[:, None] | (price[None, :] <= mp[:, None])
-    return (eq | up) & price_ok
-
-
-def retrieve(requests: DataFrame, docs: DataFrame, k: int, block_rows: int = 2048,
-             group: str | None = "category_id") -> DataFrame:
-    """Top-k products by L2 per request under category (equi) and
-    gender / price (residual).  requests: (req_key, category_id, vector, mode,
-    gkey, price_filter, max_price); docs: (id, category_id, vector, gender, price)."""
-    t = blocked_topk(
-        requests, docs, lkey="req_key", rkey="id", k=k, group=group, metric="l2",
-        residual=_residual, block_rows=block_rows,
-        lextra=(F.col("mode").alias("_mode"), F.col("gkey").alias("_gkey"),
-                F.col("price_filter").alias("_pf"), F.col("max_price").alias("_mp")),
-        rextra=(F.col("gender").alias("_pg"), F.col("price").alias("_pp")))
-    return t.select(F.col("left_key").alias("req_key"), F.col("right_key").alias("id"),
-                    F.col("pos").alias("rank"), F.col("score").alias("l2"))
+GROUP_SEP = "\x02"
+
+
+def retrieve(requests: DataFrame, docs: DataFrame, vectors: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
+    """Top-k products by L2 per request under category, gender and price.
+
+    requests: (req_key, category_id, vec_id, mode, gkey, price_filter,
+    max_price); docs: (id, category_id, vec_id, gender, price); ``vectors``
+    (vec_id, vector) holds both sides' vectors.  Category and gender rule are
+    the group of the kernel: a document is in the group of its own gender
+    ('eq' requests) and, if UNISEX, in that of 'up' requests; prices are
+    zones, so blocks of dearer documents are not read by lower ceilings.
+    Equal requests are answered once."""
+    def grouped(df: DataFrame, rule: Column) -> Column:
+        return F.concat(F.col("category_id"), F.lit(GROUP_SEP), rule)
+    limited = F.coalesce(F.col("price_filter"), F.lit(False))
+    req = (requests.where(~limited | F.col("max_price").isNotNull())
+           .select("req_key", "vec_id", F.when(limited, F.col("max_price")).alias("ceiling"),
+                   grouped(requests, F.when(F.col("mode") == "eq", F.concat(F.lit("eq"), F.col("gkey"))).otherwise("up"))
+                   .alias("group")).where(F.col("group").isNotNull()))
+    asked = materialize(req.groupBy("group", "vec_id", "ceiling").agg(F.min("req_key").alias("key")))
+    rules = F.array_compact(F.array(F.concat(F.lit("eq"), F.col("gender")),
+                                    F.when(F.upper("gender") == R.UNISEX, F.lit("up"))))
+    held = (docs.select("id", "category_id", "vec_id", "price", F.explode(rules).alias("rule"))
+            .select(F.col("id").alias("key"), grouped(docs, F.col("rule")).alias("group"), "vec_id", "price")
+            .where(F.col("group").isNotNull()))
+    v = vectors.select("vec_id", F.col("vector").alias("v"))
+    hits = zoned_topk(asked.join(v, "vec_id").select("key", "group", "v", "ceiling"),
+                      held.join(v, "vec_id").select("key", "group", "v", "price"), k, block_rows)
+    same = asked.select("key", F.col("group").alias("_g"), F.col("vec_id").alias("_v"), F.col("ceiling").alias("_c"))
+    every = req.join(same, (F.col("group") == F.col("_g")) & (F.col("vec_id") == F.col("_v"))
+                     & F.col("ceiling").eqNullSafe(F.col("_c"))).select("req_key", "key")
+    return (every.join(hits, F.col("key") == F.col("left_key"))
+            .select("req_key", F.col("right_key").alias("id"), F.col("pos").alias("rank"), F.col("score").alias("l2")))
 
 
 # ---------------------------------------------------------------- end-to-end flow
@@ -231,27 +228,28 @@ class ChatFrames:
     docs: DataFrame
     answers: DataFrame
     outfit: DataFrame
-    vector_of: object
+    vectors: DataFrame
+    n_vec: int
     block_rows: int
 
     def outfit_top5(self) -> DataFrame:
         """The k=5 retriever over each outfit question's filtered catalog
         (built by the reference and never queried; computed on demand)."""
-        o_req = self.vector_of(self.outfit.where(F.col("has_gender_rows"))
-                               .withColumn("req_key", F.col("question_id")),
-                               F.col("question_id") * VEC_STRIDE)
-        return retrieve(o_req.select("req_key", "vector", "mode", "gkey", "price_filter", "max_price"),
-                        self.docs, TOP_K_UNUSED, self.block_rows, group=None)
+        req = self.outfit.where(F.col("has_gender_rows")).select(
+            F.col("question_id").alias("req_key"), F.lit("*").alias("category_id"),
+            _vec_id(F.col("question_id") * VEC_STRIDE, self.n_vec), "mode", "gkey", "price_filter", "max_price")
+        return retrieve(req, self.docs.withColumn("category_id", F.lit("*")), self.vectors, TOP_K_UNUSED, self.block_rows)
 
 
-VECTOR_BROADCAST_BYTES = 64 * 1024 * 1024
+def _vec_id(number: Column, n_vec: int) -> Column:
+    """Id of the stored vector of a document or request: its number mod n."""
+    return F.pmod(number, F.lit(max(n_vec, 1))).alias("vec_id")
 
 
-def vectors_by_id(df: DataFrame, vec_id: Column, vectors: DataFrame) -> DataFrame:
-    """Attach ``vectors.vector`` of row ``vec_id mod n`` (size-checked broadcast)."""
-    n = vectors.count()
-    v = vectors.select(F.col("vec_id").alias("_vid"), "vector")
-    return C.join_dim(df.withColumn("_vid", F.pmod(vec_id, F.lit(max(n, 1)))), v, "_vid", "inner").drop("_vid")
+def vectors_by_id(df: DataFrame, number: Column, vectors: DataFrame) -> DataFrame:
+    """Attach ``vectors.vector`` of row ``number mod n``."""
+    v = vectors.select("vec_id", "vector")
+    return df.select("*", _vec_id(number, vectors.count())).join(v, "vec_id").drop("vec_id")
 
 
 def chat_flow(questions: DataFrame, replies: DataFrame, products: DataFrame,
@@ -264,21 +262,16 @@ def chat_flow(questions: DataFrame, replies: DataFrame, products: DataFrame,
     routed = keep(routed.withColumn("mode", mode).withColumn("gkey", gkey))
     products = keep(products.select("id", "name", "description", "gender", "price", "status",
                                     "thumbnail", "category_id"))
-    avail = _small(availability(products))
-    by_name = _small(C.category_by_name(categories).select(F.col("category").alias("_cname"),
-                                                           F.col("id").alias("cat_id")))
+    avail = availability(products)
+    by_name = C.category_by_name(categories).select(F.col("category").alias("_cname"), F.col("id").alias("cat_id"))
     n_vec = vectors.count()
-    vside = vectors.select(F.col("vec_id").alias("_vid"), "vector")
-    if n_vec and n_vec * (8 * len(vectors.first()["vector"]) + 64) <= VECTOR_BROADCAST_BYTES:
-        vside = F.broadcast(vside)
 
-    def vector_of(df: DataFrame, vec_id: Column) -> DataFrame:
-        return df.withColumn("_vid", F.pmod(vec_id, F.lit(max(n_vec, 1)))).join(vside, "_vid").drop("_vid")
-
-    # active catalog documents with vectors (computed once, reused by every request)
-    chat = C.chat_products(products.where(F.col("status")), categories)
-    docs = C.product_document(chat).join(products.select("id", "category_id"), "id")
-    docs = keep(vector_of(docs, F.col("id").cast("long")))
+    # active catalog documents (texts are joined to hits only)
+    active = products.where(F.col("status"))
+    docs = C.product_document(C.with_category_label(active, categories).select(
+        F.col("id").cast("string").alias("id"), "name", "description", "gender", "price",
+        R.thumbnail_uri(F.col("thumbnail")).alias("thumbnail"), "category", "category_id"), "category_id")
+    docs = docs.select("*", _vec_id(F.col("id").cast("long"), n_vec))
 
     # ---- outfit questions: global gender/price check, then one request per part
     outfit = routed.where(F.col("route") == "outfit")
@@ -290,27 +283,27 @@ def chat_flow(questions: DataFrame, replies: DataFrame, products: DataFrame,
     rp = I.route_part(F.col("part"))
     parts = parts.select("*", *[v.alias(k) for k, v in rp.items()])
     parts = parts.join(by_name, F.col("category_key") == F.col("_cname"), "left").drop("_cname")
-    parts = with_availability(parts, avail, "cat_id")
-    part_req = parts.where(F.col("outfit_ok") & F.col("cat_id").isNotNull() & F.col("has_gender_rows"))
-    part_req = vector_of(part_req.withColumn("req_key", F.col("question_id") * 10 + F.col("pos")),
-                         F.col("question_id") * VEC_STRIDE + F.col("pos"))
-    part_hits = retrieve(part_req.select("req_key", F.col("cat_id").alias("category_id"), "vector",
-                                         "mode", "gkey", "price_filter", "max_price"),
-                         docs, TOP_K, block_rows)
+    parts = keep(with_availability(parts, avail, "cat_id"))
 
     # ---- single-category questions
     singles = routed.where(F.col("route") == "single")
     singles = singles.join(by_name, F.lower(F.col("category")) == F.col("_cname"), "left").drop("_cname")
-    singles = with_availability(singles, avail, "cat_id")
-    s_req = singles.where(F.col("cat_id").isNotNull() & F.col("has_gender_rows"))
-    s_req = vector_of(s_req.withColumn("req_key", F.col("question_id") * 10), F.col("question_id") * VEC_STRIDE)
-    single_hits = retrieve(s_req.select("req_key", F.col("cat_id").alias("category_id"), "vector", "mode",
-                                        "gkey", "price_filter", "max_price"),
-                           docs, TOP_K, block_rows)
+    singles = keep(with_availability(singles, avail, "cat_id"))
+
+    # ---- all requests in one table, answered by one kernel call: parts by question * 10 + place, singles by question * 10
+    wanted = ["category_id", "vec_id", "mode", "gkey", "price_filter", "max_price"]
+    part_req = parts.where(F.col("outfit_ok") & F.col("cat_id").isNotNull() & F.col("has_gender_rows")).select(
+        (F.col("question_id") * 10 + F.col("pos")).alias("req_key"), F.col("cat_id").alias("category_id"),
+        _vec_id(F.col("question_id") * VEC_STRIDE + F.col("pos"), n_vec), *wanted[2:])
+    s_req = singles.where(F.col("cat_id").isNotNull() & F.col("has_gender_rows")).select(
+        (F.col("question_id") * 10).alias("req_key"), F.col("cat_id").alias("category_id"),
+        _vec_id(F.col("question_id") * VEC_STRIDE, n_vec), *wanted[2:])
+    hits = keep(retrieve(part_req.unionByName(s_req), docs, vectors, TOP_K, block_rows))
+    part_hits, single_hits = hits.where("req_key % 10 <> 0"), hits.where("req_key % 10 = 0")
 
     answers = assemble_answers(routed, parts, part_hits, singles, single_hits, docs)
     return ChatFrames(parsed, routed, parts, part_hits, singles, single_hits, docs, answers, outfit,
-                      vector_of, block_rows)
+                      vectors, n_vec, block_rows)
 
 
 def _source_struct(d: str = "") -> Column:
@@ -319,7 +312,7 @@ def _source_struct(d: str = "") -> Column:
 
 
 def hits_with_docs(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    return hits.join(docs.drop("vector", "category_id"), "id")
+    return hits.join(docs.drop("vec_id", "category_id"), "id")
 
 
 def part_suggestions(parts: DataFrame, part_hits: DataFrame, docs: DataFrame) -> DataFrame:

@@ -242,26 +242,19 @@ def cosine_expr(a, b):
 
 def similar_products(vectors: DataFrame, k: int = 6, block_rows: int = 2048) -> DataFrame:
     """Six most similar products, the product itself excluded
-    (= ranks 2-7 of the reference's order with self first)."""
-    top = blocked_topk(vectors, vectors, lkey="id", rkey="id", k=k, exclude_same_key=True,
-                       block_rows=block_rows, symmetric=True)
+    (= ranks 2-7 of the reference's order with self first).
+
+    X17: a vector with a NaN counts as zero in the ranking, and its
+    similarities, to it and of it, are NULL."""
+    from vitrine.operators.vectorblocks import self_topk
+    odd = F.exists("vector", F.isnan)
+    clean = vectors.select("id", F.when(odd, F.transform("vector", lambda x: F.lit(0.0)))
+                           .otherwise(F.col("vector")).alias("vector"))
+    top = self_topk(clean, "id", k, exclude_self=True, block_rows=block_rows)
+    undefined = vectors.where(odd).select(F.col("id").alias("odd_id"))
+    a, b = undefined.select(F.col("odd_id").alias("odd_left")), undefined.select(F.col("odd_id").alias("odd_right"))
+    top = (top.join(a, F.col("left_key") == F.col("odd_left"), "left")
+           .join(b, F.col("right_key") == F.col("odd_right"), "left"))
+    score = F.when(F.coalesce("odd_left", "odd_right").isNull(), F.col("score"))
     return top.select(F.col("left_key").alias("product_id"), F.col("pos").cast("long").alias("rank"),
-                      F.col("right_key").alias("similar_id"), "score")
-
-
-def lsh_neighbors(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.5,
-                  num_tables: int = 8, threshold: float = 1.5, seed: int = 7) -> DataFrame:
-    """Approximate L2 top-k with BucketedRandomProjectionLSH (similarity join
-    within ``threshold``, then the k nearest per query)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    q = queries.select(F.col("qid"), array_to_vector("vector").alias("features"))
-    c = corpus.select(F.col("id"), array_to_vector("vector").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                        bucketLength=bucket_length, numHashTables=num_tables,
-                                        seed=seed).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, threshold, distCol="dist")
-    pairs = pairs.select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.id").alias("id"), "dist")
-    w = Window.partitionBy("qid").orderBy("dist", "id")
-    return (pairs.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
-            .select("qid", "id", (F.col("dist") * F.col("dist")).alias("l2"), "pos"))
+                      F.col("right_key").alias("similar_id"), score.alias("score"))
