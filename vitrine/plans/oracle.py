@@ -296,8 +296,8 @@ SELECT a.vec_id, b.vec_id AS next_id,
 FROM vectors a JOIN vectors b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM vectors)"""
 ORACLE["document_vectors"] = with_views(["products", "vectors"]) + """
 SELECT id, coalesce(name, 'None') || ': ' || coalesce(description, 'None') AS page_content,
-       CAST(id AS BIGINT) % (SELECT count(*) FROM vectors) AS vec_id
-FROM products WHERE status"""
+       v.vec_id, """ + vsummary("v.vector") + """
+FROM products p JOIN vectors v ON v.vec_id = CAST(p.id AS BIGINT) % (SELECT count(*) FROM vectors) WHERE status"""
 ORACLE["phrase_bigrams"] = with_views([]) + f"""
 dt AS (SELECT {clean_tokens_sql('text')} AS tokens FROM documents),
 uni AS (SELECT word, count(*) AS n FROM (SELECT unnest(tokens) AS word FROM dt) t GROUP BY 1),
@@ -305,7 +305,7 @@ big AS (
   SELECT w1, w2, count(*) AS n FROM (
     SELECT tokens[i] AS w1, tokens[i + 1] AS w2
     FROM dt, LATERAL (SELECT unnest(range(1, len(tokens))) AS i) g) t
-  GROUP BY 1, 2 HAVING count(*) >= 5)
+  GROUP BY 1, 2)
 SELECT b.w1, b.w2, b.n,
        round(ln(CAST(b.n AS DOUBLE) * (SELECT sum(n) FROM uni) / (CAST(u1.n AS DOUBLE) * u2.n)), 6) AS pmi
 FROM big b JOIN uni u1 ON u1.word = b.w1 JOIN uni u2 ON u2.word = b.w2""".replace("\ndt AS", "WITH dt AS", 1)
@@ -460,6 +460,8 @@ RETRIEVAL_CTES = [
   WHERE rank <= 3)""",
     """hagg AS (
   SELECT req_key, count(*) AS n_sources, string_agg(id, ',' ORDER BY rank) AS source_ids,
+         string_agg(concat_ws('|', id, name, CAST(price AS VARCHAR), thumbnail, page_content, gender, category), chr(10)
+                    ORDER BY rank) AS src_fields,
          arg_min(page_content, rank) AS best,
          string_agg(page_content, chr(10) || chr(10) ORDER BY rank) AS ctx,
          string_agg(page_content || ' (Category: ' || coalesce(category, 'None') || ', Gender: '
@@ -474,7 +476,8 @@ RETRIEVAL_CTES = [
               WHEN NOT p.has_gender_rows
                 THEN 'Không tìm thấy sản phẩm phù hợp với giới tính ' || coalesce(p.gender, 'None') || '.'
               ELSE coalesce(h.best, 'Không tìm thấy sản phẩm phù hợp.') END AS suggestion,
-         coalesce(h.n_sources, 0) AS n_sources, coalesce(h.source_ids, '') AS source_ids
+         coalesce(h.n_sources, 0) AS n_sources, coalesce(h.source_ids, '') AS source_ids,
+         coalesce(h.src_fields, '') AS source_fields
   FROM pav p LEFT JOIN hagg h ON h.req_key = p.question_id * 10 + p.pos)""",
 ]
 
@@ -514,7 +517,7 @@ SELECT question_id, CAST(rank AS BIGINT) AS rank, id, round(d2, 6) AS l2 FROM (
   WHERE r.outfit_ok) x WHERE rank <= 5""", retrieval=True)
 ORACLE["outfit_retrieval"] = dialog_sql("""
 SELECT question_id, CAST(pos AS BIGINT) AS pos, part, category_key, suggestion, CAST(n_sources AS BIGINT) AS n_sources,
-       source_ids FROM psug""", retrieval=True)
+       source_ids, source_fields FROM psug""", retrieval=True)
 SINGLE_ANS = f"""sans AS (
   SELECT s.question_id, s.route,
          {strip("'Dựa trên yêu cầu của bạn, đây là gợi ý sản phẩm cho ' || coalesce(s.category, 'None') || ':'"
@@ -523,9 +526,10 @@ SINGLE_ANS = f"""sans AS (
                 " WHEN NOT s.has_gender_rows THEN 'Không tìm thấy ' || coalesce(s.category, 'None')"
                 " || ' phù hợp với giới tính ' || coalesce(s.gender, 'None') || '.'"
                 " ELSE coalesce(h.best, 'Không tìm thấy sản phẩm phù hợp.') END")} AS answer,
-         CAST(coalesce(h.n_sources, 0) AS BIGINT) AS n_sources, coalesce(h.source_ids, '') AS source_ids
+         CAST(coalesce(h.n_sources, 0) AS BIGINT) AS n_sources, coalesce(h.source_ids, '') AS source_ids,
+         coalesce(h.src_fields, '') AS source_fields
   FROM sav s LEFT JOIN hagg h ON h.req_key = s.question_id * 10)"""
-ORACLE["category_retrieval"] = dialog_sql("SELECT question_id, answer, n_sources, source_ids FROM sans",
+ORACLE["category_retrieval"] = dialog_sql("SELECT question_id, answer, n_sources, source_ids, source_fields FROM sans",
                                           SINGLE_ANS, retrieval=True)
 _QA = DL.QA_PROMPT.split("{question}")
 _QA2 = _QA[1].split("{context}")
@@ -544,7 +548,8 @@ OUTFIT_ANS = f"""oagg AS (
   SELECT question_id, max(CAST(outfit_ok AS INTEGER)) AS ok,
          string_agg('- ' || part || chr(10) || '  ' || suggestion || chr(10), '' ORDER BY pos) AS details,
          sum(n_sources) AS n_src,
-         string_agg(CASE WHEN source_ids <> '' THEN source_ids END, ',' ORDER BY pos) AS src_ids
+         string_agg(CASE WHEN source_ids <> '' THEN source_ids END, ',' ORDER BY pos) AS src_ids,
+         string_agg(CASE WHEN source_ids <> '' THEN source_fields END, chr(10) ORDER BY pos) AS src_fields
   FROM psug GROUP BY 1),
 oans AS (
   SELECT r.question_id, r.route,
@@ -557,13 +562,14 @@ oans AS (
                      " || array_to_string(list_transform(r.parts, lambda x: '- ' || x || chr(10)), '') || chr(10)")}
          END AS answer,
          CAST(CASE WHEN coalesce(o.ok, 0) = 1 THEN o.n_src ELSE 0 END AS BIGINT) AS n_sources,
-         CASE WHEN coalesce(o.ok, 0) = 1 THEN coalesce(o.src_ids, '') ELSE '' END AS source_ids
+         CASE WHEN coalesce(o.ok, 0) = 1 THEN coalesce(o.src_ids, '') ELSE '' END AS source_ids,
+         CASE WHEN coalesce(o.ok, 0) = 1 THEN coalesce(o.src_fields, '') ELSE '' END AS source_fields
   FROM rt r LEFT JOIN oagg o ON o.question_id = r.question_id WHERE r.route = 'outfit')"""
 ORACLE["chat_answer"] = dialog_sql(f"""
 SELECT * FROM oans
 UNION ALL SELECT * FROM sans
 UNION ALL SELECT question_id, route,
-  CASE WHEN route = 'fallback' THEN {lit(DL.FALLBACK_ANSWER)} END, CAST(0 AS BIGINT), ''
+  CASE WHEN route = 'fallback' THEN {lit(DL.FALLBACK_ANSWER)} END, CAST(0 AS BIGINT), '', ''
 FROM rt WHERE route IN ('chat', 'fallback')""", SINGLE_ANS, OUTFIT_ANS, retrieval=True)
 
 
@@ -605,10 +611,20 @@ SELECT question_id, intent, CASE WHEN intent = {lit(IN.INTENT_SINGLE)} THEN the_
             THEN 'Áo: ' || question || ' | Quần: ' || question || ' | Giày: ' || question ELSE '' END AS parts
 FROM qr""".replace("WITH questions AS", "WITH questions AS", 1)
 
+# every field of the API record in one line
+RECORD = f"""concat_ws('|', e.id, coalesce({iso('e.created_at')}, '2025-01-01T00:00:00.000Z'), coalesce(e.created_by, 'system'),
+  coalesce({iso('e.updated_at')}, '2025-01-01T00:00:00.000Z'), coalesce(e.updated_by, 'system'), coalesce(e.name, ''),
+  CAST(length(coalesce(e.description, '')) AS VARCHAR), CAST(CAST(round(coalesce(e.price, 0.0) * 100) AS BIGINT) AS VARCHAR),
+  coalesce(e.gender, 'UNISEX'), CAST(coalesce(e.sold, 0) AS VARCHAR),
+  CAST(CAST(round(coalesce(e.rating, 0.0) * 10) AS BIGINT) AS VARCHAR),
+  CAST(coalesce(e.status, true) AS VARCHAR), coalesce(e.thumbnail, ''), coalesce(e.category_id, ''), coalesce(e.brand_id, ''),
+  coalesce(e.brand_id_ref, ''), coalesce(e.brand_name, ''), coalesce(e.category_id_ref, ''), coalesce(e.category_code, ''),
+  coalesce(e.category_name, ''))"""
 HYDRATED = f"""hy AS (
   SELECT r.user_id, r.rank, r.product_id, r.score, coalesce(e.name, '') AS name, coalesce(e.price, 0.0) AS price,
          coalesce(e.category_name, '') AS category_name, coalesce(e.brand_name, '') AS brand_name,
-         coalesce({iso('e.created_at')}, '2025-01-01T00:00:00.000Z') AS created_at
+         coalesce({iso('e.created_at')}, '2025-01-01T00:00:00.000Z') AS created_at,
+         {RECORD} AS record
   FROM recs r JOIN enriched e ON e.id = r.product_id)"""
 
 
@@ -620,7 +636,8 @@ ORACLE["recommend_hydrated"] = cf_full("interactions", HYDRATED) + """
 SELECT user_id, rank, product_id, name, price, category_name, brand_name, created_at FROM hy"""
 ORACLE["response_envelope"] = cf_full("interactions", HYDRATED) + """
 SELECT user_id, 'success' AS status, CAST(200 AS BIGINT) AS "statusCode", 'Product retrieved successfully' AS message,
-       CAST(count(*) AS BIGINT) AS n_products, string_agg(product_id, ',' ORDER BY rank) AS product_ids
+       CAST(count(*) AS BIGINT) AS n_products, string_agg(product_id, ',' ORDER BY rank) AS product_ids,
+       string_agg(record, chr(10) ORDER BY rank) AS records
 FROM hy GROUP BY user_id"""
 ORACLE["recommend_requests"] = cf_query("interactions", """,
 rq AS (SELECT c_custkey AS user_id FROM customer UNION ALL SELECT -1),
@@ -641,3 +658,119 @@ SELECT n.user_id, m.product_id, count(*) AS n_neighbors
 FROM nbk n JOIN m ON m.user_id = n.neighbor_id AND m.score > 0
 WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.user_id = n.user_id AND o.product_id = m.product_id AND o.score <> 0)
 GROUP BY 1, 2""")
+
+
+ORACLE["refresh_snapshot"] = with_views(["interactions", "products"], matrix_cte("interactions"), TOKS, VOCAB) + """
+SELECT 'matrix' AS "table", count(*) AS n, CAST(sum(score) AS BIGINT) AS total FROM m
+UNION ALL SELECT 'catalog', count(*), NULL FROM products
+UNION ALL SELECT 'model', count(*), NULL FROM vocab
+UNION ALL SELECT 'vectors', count(*), NULL FROM products"""
+
+
+# The same planes, buckets and order of probing, spelled out over all buckets
+from vitrine.operators import probing as PB  # noqa: E402  (fixed parameters)
+
+ORACLE["retrieve_lsh"] = with_views(["products", "vectors", "questions"], f"""d AS (SELECT p.id, v.vector FROM products p JOIN vectors v
+      ON v.vec_id = CAST(p.id AS BIGINT) % (SELECT count(*) FROM vectors) WHERE p.status),
+q AS (SELECT q.question_id AS qid, v.vector FROM questions q JOIN vectors v
+      ON v.vec_id = (q.question_id * {DL.VEC_STRIDE}) % (SELECT count(*) FROM vectors)),
+b AS (SELECT CASE WHEN count(*) > {PB.BUCKET_ROWS}
+             THEN greatest(0, least({PB.MAX_BITS}, CAST(floor(log2(count(*) / {PB.BUCKET_ROWS}.0)) AS INTEGER)))
+             ELSE 0 END AS bits FROM d),
+planes AS (
+  SELECT t, j, list(round(sin((31 * t + 7 * j + 3) * i + 0.5 * i * i), 6) ORDER BY i) AS plane
+  FROM (SELECT unnest(range({PB.TABLES})) AS t), LATERAL (SELECT unnest(range((SELECT bits FROM b))) AS j),
+       LATERAL (SELECT unnest(range(1, 65)) AS i) GROUP BY t, j),
+tables AS (SELECT unnest(range({PB.TABLES})) AS t),
+dp AS (SELECT d.id, p.t, sum(CASE WHEN list_inner_product(d.vector, p.plane) >= 0 THEN 1 << p.j ELSE 0 END) AS bucket
+       FROM d, planes p GROUP BY 1, 2),
+dh AS (SELECT d.id, t.t, CAST(coalesce(dp.bucket, 0) AS BIGINT) AS bucket
+       FROM d CROSS JOIN tables t LEFT JOIN dp ON dp.id = d.id AND dp.t = t.t),
+sizes AS (SELECT t, bucket, count(*) AS n FROM dh GROUP BY 1, 2),
+margins AS (SELECT q.qid, p.t, p.j, list_inner_product(q.vector, p.plane) AS m FROM q, planes p),
+costs AS (
+  SELECT q.qid, s.t, s.bucket, s.n,
+         coalesce(sum(CASE WHEN (m.m >= 0) <> ((s.bucket >> m.j) & 1 = 1) THEN m.m * m.m ELSE 0 END), 0) AS cost
+  FROM q CROSS JOIN sizes s LEFT JOIN margins m ON m.qid = q.qid AND m.t = s.t GROUP BY 1, 2, 3, 4),
+opened AS (
+  SELECT * FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY qid, t ORDER BY cost, bucket
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM costs) x
+  WHERE before < {PB.WANT}),
+cand AS (SELECT DISTINCT o.qid, h.id FROM opened o JOIN dh h ON h.t = o.t AND h.bucket = o.bucket),
+near AS (
+  SELECT c.qid, c.id, round(greatest(list_inner_product(q.vector, q.vector) + list_inner_product(d.vector, d.vector)
+                            - 2 * list_inner_product(q.vector, d.vector), 0.0), 9) + 0.0 AS d2
+  FROM cand c JOIN q ON q.qid = c.qid JOIN d ON d.id = c.id)
+SELECT qid, id, round(d2, 6) AS l2, pos
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS pos FROM near) x WHERE pos <= 3""")
+
+
+ORACLE["user_neighbors_sessions"] = cf_query("interactions_sessions", """
+SELECT user_id, neighbor_id, CAST(nrank AS BIGINT) AS nrank, dist FROM nbk""")
+ORACLE["recommend_sessions"] = cf_query("interactions_sessions", "SELECT * FROM recs")
+
+
+# Compounds by t-score; matches at consecutive places form a run, and within a run the best set of
+# non-overlapping matches is found step by step (t: with the last match, k: without it)
+ORACLE["phrase_tokens"] = with_views([]) + f"""
+WITH RECURSIVE dt AS (SELECT doc_id AS id, {clean_tokens_sql('text')} AS tokens FROM documents),
+uni AS (SELECT word, count(*) AS n FROM (SELECT unnest(tokens) AS word FROM dt) t GROUP BY 1),
+prs AS (SELECT id, i - 1 AS place, tokens[i] AS w1, tokens[i + 1] AS w2
+        FROM dt, LATERAL (SELECT unnest(range(1, len(tokens))) AS i) g),
+big AS (SELECT w1, w2, count(*) AS n FROM prs GROUP BY 1, 2),
+sc AS (SELECT b.w1, b.w2, CAST(b.n AS DOUBLE) AS n, u1.n AS n1, u2.n AS n2,
+              CAST((SELECT sum(n) FROM uni) AS DOUBLE) AS total
+       FROM big b JOIN uni u1 ON u1.word = b.w1 JOIN uni u2 ON u2.word = b.w2),
+cmp AS (SELECT w1, w2, CAST(round(ln(n * total / (CAST(n1 AS DOUBLE) * n2)) * 1000000) AS BIGINT) AS weight
+        FROM sc WHERE (n - n1 * CAST(n2 AS DOUBLE) / total) / sqrt(n) >= 2.576 AND ln(n * total / (CAST(n1 AS DOUBLE) * n2)) > 0),
+mt AS (SELECT p.id, p.place, c.weight,
+              p.place - row_number() OVER (PARTITION BY p.id ORDER BY p.place) AS run
+       FROM prs p JOIN cmp c ON c.w1 = p.w1 AND c.w2 = p.w2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY id, run ORDER BY place) AS i FROM mt),
+dp(id, run, i, ts, tl, ks, kl) AS (
+  SELECT id, run, i, weight, [place], CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM rk WHERE i = 1
+  UNION ALL
+  SELECT r.id, r.run, r.i, d.ks + r.weight, list_append(d.kl, r.place),
+         CASE WHEN d.ts > d.ks THEN d.ts ELSE d.ks END, CASE WHEN d.ts > d.ks THEN d.tl ELSE d.kl END
+  FROM dp d JOIN rk r ON r.id = d.id AND r.run = d.run AND r.i = d.i + 1),
+fin AS (SELECT id, run, CASE WHEN ts > ks THEN tl ELSE kl END AS got FROM dp
+        QUALIFY row_number() OVER (PARTITION BY id, run ORDER BY i DESC) = 1),
+got AS (SELECT id, unnest(got) AS place FROM fin),
+words AS (SELECT id, i - 1 AS place, tokens[i] AS w FROM dt, LATERAL (SELECT unnest(range(1, len(tokens) + 1)) AS i) g),
+marked AS (SELECT w.*, a.place IS NOT NULL AS starts, b.place IS NOT NULL AS ends
+           FROM words w LEFT JOIN got a ON a.id = w.id AND a.place = w.place
+           LEFT JOIN got b ON b.id = w.id AND b.place = w.place - 1),
+said AS (SELECT id, string_agg(w || CASE WHEN starts THEN '_' ELSE ' ' END, '' ORDER BY place) AS t,
+                count(*) FILTER (WHERE starts) AS n FROM marked GROUP BY id)
+SELECT d.id, coalesce(s.n, 0) AS n_joined, coalesce(rtrim(s.t, ' '), '') AS tokens FROM dt d LEFT JOIN said s ON s.id = d.id"""
+ORACLE["word_vectors"] = with_views(["products"], TOKS, VOCAB) + "SELECT word, CAST(100 AS BIGINT) AS dims FROM vocab"
+
+
+ORACLE["similar_response"] = with_views(["interactions", "interactions_orders", "products", "brands", "categories", "vectors"],
+                                        TOKS, VOCAB, WV, DVEC, COS_PAIRS, ENRICHED).rstrip() + """,
+sim AS (SELECT product_id, other_id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY score DESC, other_id) AS rank
+  FROM cp WHERE product_id <> other_id) t WHERE rank <= 6),
+asked AS (SELECT product_id FROM interactions_orders UNION SELECT product_id FROM interactions UNION SELECT 'no such id'),
+rec AS (SELECT s.product_id, string_agg(concat_ws('|', e.id, coalesce(e.name, ''), coalesce(e.brand_name, ''),
+          coalesce(e.category_name, ''), CAST(CAST(round(s.score * 1000000) AS BIGINT) AS VARCHAR)), chr(10) ORDER BY s.rank) AS records
+        FROM sim s JOIN enriched e ON e.id = s.other_id GROUP BY 1)
+SELECT a.product_id, CASE WHEN e.id IS NOT NULL THEN 'success' ELSE 'error' END AS status,
+       CAST(CASE WHEN e.id IS NOT NULL THEN 200 ELSE 404 END AS BIGINT) AS "statusCode",
+       CASE WHEN e.id IS NOT NULL THEN 'Product retrieved successfully'
+            ELSE 'Không tìm thấy sản phẩm với ID ''' || a.product_id || '''.' END AS message,
+       coalesce(r.records, '') AS records
+FROM asked a LEFT JOIN enriched e ON e.id = a.product_id LEFT JOIN rec r ON r.product_id = a.product_id
+WHERE a.product_id IS NOT NULL"""
+ORACLE["product_dedup_offers"] = with_views([]) + """
+SELECT id, created_at, name, price FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at, name) AS rn FROM (
+    SELECT CAST(l_partkey AS VARCHAR) AS id, min(l_shipdate) AS created_at,
+           'supplier ' || CAST(l_suppkey AS VARCHAR) AS name, CAST(max(l_extendedprice) AS DOUBLE) AS price
+    FROM lineitem GROUP BY l_partkey, l_suppkey) o) t WHERE rn = 1"""
+ORACLE["orphan_interactions_active"] = (
+    with_views(["interactions_orders", "products"], matrix_cte("interactions_orders"))
+    + "SELECT * FROM m WHERE product_id NOT IN (SELECT id FROM products WHERE status)")
+ORACLE["missing_part_categories"] = dialog_sql("""
+SELECT DISTINCT lower(part_category) AS name FROM pr
+WHERE has_colon AND lower(part_category) NOT IN (SELECT lower(name) FROM categories)""", retrieval=True)

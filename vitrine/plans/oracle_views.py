@@ -34,6 +34,12 @@ VIEWS["interactions"] = f"""interactions AS (
          CAST({case('event_type', FX.EVENT_CODES)} AS INTEGER) AS interaction_type
   FROM events)"""
 
+VIEWS["interactions_sessions"] = f"""interactions_sessions AS (
+  SELECT CAST(user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS user_id,
+         json_extract_string(props, '$.k') || '@' || CAST(extract(hour FROM ts) AS VARCHAR) AS product_id,
+         CAST({case('event_type', FX.EVENT_CODES)} AS INTEGER) AS interaction_type
+  FROM events)"""
+
 VIEWS["interactions_orders"] = f"""interactions_orders AS (
   SELECT CAST(o.o_custkey AS BIGINT) AS user_id,
          CAST(l.l_partkey AS VARCHAR) AS product_id,
@@ -77,7 +83,7 @@ products AS (
   FROM part p LEFT JOIN li_part a ON p.p_partkey = a.l_partkey
   LEFT JOIN documents d ON d.doc_id = p.p_partkey)"""
 
-_q_arms = " ".join(f"WHEN {i} THEN {lit(t)}" for i, t in enumerate(FX.QUESTION_TEMPLATES))
+_q_arms = " ".join(f"WHEN {i} THEN {lit(t + '. ')} || text" for i, t in enumerate(FX.QUESTION_TEMPLATES))
 VIEWS["questions"] = f"""questions AS (
   SELECT conv_id * 1000 + turn AS question_id,
          CASE (conv_id + turn) % 8 {_q_arms} ELSE text END AS question
@@ -105,7 +111,7 @@ VIEWS["vectors"] = """vectors AS (
 DEPS = {
     "model_replies": ["questions"],
 }
-ORDER = ["interactions", "interactions_orders", "categories", "brands", "products",
+ORDER = ["interactions", "interactions_sessions", "interactions_orders", "categories", "brands", "products",
          "questions", "model_replies", "vectors"]
 
 

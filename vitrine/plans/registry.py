@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import matrix as M
 from vitrine.operators import neighbors as N
-from vitrine.session import ensure_checkpoint_dir, ship_package
+from vitrine.session import ensure_checkpoint_dir, materialize, scratch_path, ship_package
 from vitrine.sources import fixtures as FX
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -90,7 +90,6 @@ def q_orphan_interactions(spark, sf_dir):
 # ------------------------------------------------------------------ neighbours
 def _matrix(spark, sf_dir):
     """Event matrix, checkpointed once: every CF query reads it in several branches."""
-    from vitrine.session import materialize
     return materialize(M.user_product_matrix(FX.interactions(spark, sf_dir)))
 
 
@@ -144,6 +143,19 @@ def q_recommend_users_orders(spark, sf_dir):
     return N.recommend_users(FX.interactions_orders(spark, sf_dir)).recs
 
 
+@query("user_neighbors_sessions")
+def q_user_neighbors_sessions(spark, sf_dir):
+    """W1 / J10 on a sparse matrix (days of users): most neighbour lists are filled at distance 1."""
+    nb = N.user_neighbors(materialize(M.user_product_matrix(FX.interactions_sessions(spark, sf_dir))))
+    return nb.select("user_id", "neighbor_id", F.col("nrank").cast("long").alias("nrank"), "dist")
+
+
+@query("recommend_sessions")
+def q_recommend_sessions(spark, sf_dir):
+    """Top-8 for every day of every user, most of them filled up by popularity."""
+    return N.recommend_users(FX.interactions_sessions(spark, sf_dir)).recs
+
+
 # ------------------------------------------------------------------ catalog
 from vitrine.functions import records as R  # noqa: E402
 from vitrine.operators import catalog as C  # noqa: E402
@@ -178,6 +190,27 @@ def q_category_label(spark, sf_dir):
     return C.category_label(FX.products(spark, sf_dir), FX.categories(spark, sf_dir))
 
 
+@query("product_dedup_offers")
+def q_product_dedup_offers(spark, sf_dir):
+    """A product row per part and supplier (ids repeat), the first of each id."""
+    return C.product_dedup(FX.offers(spark, sf_dir))
+
+
+@query("orphan_interactions_active")
+def q_orphan_interactions_active(spark, sf_dir):
+    """Matrix cells whose product is not in the active catalog."""
+    m = M.user_product_matrix(FX.interactions_orders(spark, sf_dir))
+    return M.orphan_interactions(m, FX.products(spark, sf_dir).where(F.col("status")))
+
+
+@query("missing_part_categories")
+def q_missing_part_categories(spark, sf_dir):
+    """Category names that outfit parts ask for and the catalog lacks."""
+    parts = D.part_routed(D.parse_questions(FX.questions(spark, sf_dir), _replies(spark, sf_dir)))
+    asked = parts.where(F.col("has_colon")).select(F.lower("part_category").alias("name")).distinct()
+    return C.missing_categories(FX.categories(spark, sf_dir), asked)
+
+
 @query("missing_required_categories")
 def q_missing_required_categories(spark, sf_dir):
     """Required categories absent from the catalog."""
@@ -297,7 +330,6 @@ def _product_counts(spark, sf_dir):
 
 
 def _product_vectors(spark, sf_dir):
-    from vitrine.session import materialize
     counts = materialize(_product_counts(spark, sf_dir))
     vecs = FX.embedding_table(spark, sf_dir)
     ids = TX.table_word_ids(TX.vocabulary_from_counts(counts), vecs.count())
@@ -370,9 +402,10 @@ def q_similar_products(spark, sf_dir):
 
 @query("product_similarity")
 def q_product_similarity(spark, sf_dir):
-    """Blocked all-pairs cosine, top 7 per product including itself."""
+    """All-pairs cosine over pruned blocks, top 7 per product including itself."""
+    from vitrine.operators.vectorblocks import self_topk
     dv = _product_vectors(spark, sf_dir)
-    t = V.blocked_topk(dv, dv, lkey="id", rkey="id", k=7, symmetric=True)
+    t = self_topk(dv, "id", 7)
     return t.select(F.col("left_key").alias("product_id"), F.col("right_key").alias("other_id"),
                     F.col("pos").cast("long").alias("rank"), F.round("score", 6).alias("similarity"))
 
@@ -393,27 +426,33 @@ def q_document_vectors(spark, sf_dir):
     """Documents of the active catalog with their vector ids (computed once)."""
     from vitrine.operators import catalog as C2
     docs = C2.product_document(_chat(spark, sf_dir))
-    n = FX.embedding_table(spark, sf_dir).count()
-    return docs.select("id", "page_content", (F.col("id").cast("long") % n).alias("vec_id"))
+    vecs = FX.embedding_table(spark, sf_dir)
+    n = vecs.count()
+    return (docs.select("id", "page_content", (F.col("id").cast("long") % n).alias("vec_id")).join(vecs, "vec_id")
+            .select("id", "page_content", "vec_id", *TX.vector_summary(vecs)))
 
 
 @query("phrase_bigrams")
 def q_phrase_bigrams(spark, sf_dir):
     """Corpus bigrams with PMI over the whole documents table."""
-    return TX.phrase_bigrams(_doc_tokens(spark, sf_dir), min_count=5)
+    return TX.phrase_bigrams(_doc_tokens(spark, sf_dir))
+
+
+@query("phrase_tokens")
+def q_phrase_tokens(spark, sf_dir):
+    """Every document's tokens with its compounds joined (one pass)."""
+    from vitrine.operators import phrases
+    out = phrases.segment(_doc_tokens(spark, sf_dir), passes=1)
+    return out.select("id", "n_joined", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("word_vectors")
 def q_word_vectors(spark, sf_dir):
-    """Spark ML Word2Vec (100-d, window 5, min count 1) saved and reread."""
-    from vitrine.session import scratch_path
-    tokens = _product_tokens(spark, sf_dir)
-    model = TX.train_word2vec(tokens, partitions=4)
-    path = scratch_path(spark, "word2vec")
-    model.write().overwrite().save(path)
-    TX.model_word_vectors(model).write.mode("overwrite").parquet(path + "-vectors")
-    wv = spark.read.parquet(path + "-vectors")
-    return wv.select("word", F.size("vector").cast("long").alias("dims"))
+    """Word vectors (100-d, window 5, min count 1) trained on all descriptions, saved and reread."""
+    from vitrine.operators import embedding
+    path = scratch_path(spark, "word-vectors")
+    embedding.train(_product_tokens(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path).select("word", F.size("vector").cast("long").alias("dims"))
 
 
 # ------------------------------------------------------------------ dialog
@@ -517,7 +556,10 @@ def q_retrieve_top5(spark, sf_dir):
 
 def _src_cols(c="sources"):
     return [F.size(c).cast("long").alias("n_sources"),
-            F.array_join(F.transform(c, lambda s: s["id"]), ",").alias("source_ids")]
+            F.array_join(F.transform(c, lambda s: s["id"]), ",").alias("source_ids"),
+            F.array_join(F.transform(c, lambda s: F.concat_ws(
+                "|", s["id"], s["name"], s["price"].cast("string"), s["thumbnail"], s["description"], s["gender"],
+                s["category"])), "\n").alias("source_fields")]
 
 
 @query("outfit_retrieval")
@@ -576,7 +618,7 @@ def q_recommend_hydrated(spark, sf_dir):
     h = RS.hydrate(N.recommend_users(FX.interactions(spark, sf_dir)).recs, _enriched(spark, sf_dir))
     p = F.col("product")
     return h.select("user_id", "rank", "product_id", p["name"].alias("name"), p["price"].alias("price"),
-                    p["category_name"].alias("category_name"), p["brand_name"].alias("brand_name"),
+                    p["category"]["name"].alias("category_name"), p["brand"]["name"].alias("brand_name"),
                     p["created_at"].alias("created_at"))
 
 
@@ -587,7 +629,21 @@ def q_response_envelope(spark, sf_dir):
     e = RS.envelope(h)
     return e.select("user_id", "status", F.col("statusCode").cast("long").alias("statusCode"), "message",
                     F.size("data").cast("long").alias("n_products"),
-                    F.array_join(F.transform("data", lambda d: d["id"]), ",").alias("product_ids"))
+                    F.array_join(F.transform("data", lambda d: d["id"]), ",").alias("product_ids"),
+                    F.array_join(F.transform("data", RS.record_text), "\n").alias("records"))
+
+
+@query("similar_response")
+def q_similar_response(spark, sf_dir):
+    """Similar-products envelope of every product that was bought or looked at, and of an unknown id."""
+    asked = (FX.interactions_orders(spark, sf_dir).select("product_id").unionByName(
+        FX.interactions(spark, sf_dir).select("product_id")).unionByName(
+        spark.range(1).select(F.lit("no such id").alias("product_id"))).where(F.col("product_id").isNotNull()))
+    out = RS.similar_responses(asked, V.similar_products(_product_vectors(spark, sf_dir)), _enriched(spark, sf_dir))
+    return out.select("product_id", "status", F.col("statusCode").cast("long").alias("statusCode"), "message",
+                      F.array_join(F.transform("data", lambda d: F.concat_ws(
+                          "|", d["id"], d["name"], d["brand"]["name"], d["category"]["name"],
+                          F.round(d["similarity"] * 1000000).cast("long").cast("string"))), "\n").alias("records"))
 
 
 @query("recommend_requests")
@@ -612,31 +668,41 @@ def q_stream_matrix(spark, sf_dir):
 
 @query("refresh_snapshot")
 def q_refresh_snapshot(spark, sf_dir):
-    """Versioned refresh of matrix, catalog and vectors; returns row counts read back."""
-    from vitrine.streaming.refresh import read_snapshot, snapshot_base, write_snapshot
-    base = snapshot_base(spark)
-    tables = {"matrix": M.user_product_matrix(FX.interactions(spark, sf_dir)),
-              "catalog": _enriched(spark, sf_dir),
-              "vectors": _product_vectors(spark, sf_dir)}
-    write_snapshot(spark, base, tables)
-    parts = [read_snapshot(spark, base, n).agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("n"))
-             for n in tables]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """A whole refresh from the events before the last day, then a delta refresh with the rest and the
+    products of the latest update; rows of every table read back from one version (and the sum of the scores)."""
+    from vitrine.streaming import refresh as RF
+    base = RF.snapshot_base(spark)
+    events = read_table(spark, sf_dir, "events", "ts", "user_id", "event_type", "props")
+    last = events.agg(F.max("ts") - F.expr("interval 1 day")).first()[0]
+    early, late = [FX.events_interactions(events.where(c)) for c in (F.col("ts") <= F.lit(last), F.col("ts") > F.lit(last))]
+    products, catalog = FX.products(spark, sf_dir), _enriched(spark, sf_dir)
+    vecs = FX.embedding_table(spark, sf_dir)
+    words = TX.table_word_ids(TX.vocabulary_from_counts(_product_counts(spark, sf_dir)), vecs.count())
+    model = words.join(vecs, "vec_id").select("word", "vector")
+    texts, stop = products.select("id", "description"), stopword_list()
+    RF.refresh_all(spark, base, early, catalog, texts, model, stop, dim=64)
+    newest = products.agg(F.max("updated_at")).first()[0]
+    changed = products.where(F.col("updated_at") == F.lit(newest)).select("id")
+    RF.refresh_delta(spark, base, late, catalog.join(changed, "id", "left_semi"),
+                     texts.join(changed, "id", "left_semi"), stop, dim=64)
+    at = RF.Snapshot.open(spark, base)
+    n = F.count(F.lit(1)).alias("n")
+    out = RF.matrix_of(at.read("cells")).agg(F.lit("matrix").alias("table"), n, F.sum("score").alias("total"))
+    for name in ("catalog", "model", "vectors"):
+        out = out.unionByName(at.read(name).agg(F.lit(name).alias("table"), n, F.lit(None).cast("long").alias("total")))
     return out
 
 
 @query("retrieve_lsh")
 def q_retrieve_lsh(spark, sf_dir):
-    """Approximate L2 top-3 (random-projection LSH) of every question over the active catalog."""
+    """Approximate L2 top-3 (multi-probe hashing, exact re-ranking) of every question over the active catalog."""
+    from vitrine.operators.probing import probe_neighbors
     vecs = FX.embedding_table(spark, sf_dir)
     prods = FX.products(spark, sf_dir)
-    docs = C.product_document(C.chat_products(prods.where(F.col("status")), FX.categories(spark, sf_dir)))
-    docs = D.vectors_by_id(docs.select("id"), F.col("id").cast("long"), vecs)
+    docs = D.vectors_by_id(prods.where(F.col("status")).select("id"), F.col("id").cast("long"), vecs)
     q = D.vectors_by_id(FX.questions(spark, sf_dir).select(F.col("question_id").alias("qid")),
                         F.col("qid") * D.VEC_STRIDE, vecs)
-    return V.lsh_neighbors(q, docs, k=3)
+    return probe_neighbors(q, docs, k=3).select("qid", "id", F.round("l2", 6).alias("l2"), F.col("pos").cast("long").alias("pos"))
 
 
 @query("unread_candidates")

@@ -29,8 +29,8 @@ CATEGORY_ROWS = (
 UNMAPPED_CATEGORY_ID = "c6"
 MISSING_BRAND = "Brand#25"
 
-# Question templates chosen by (conv_id + turn) % 8; slot 7
-# keeps the conversation's own text.
+# Phrases put before a user turn's text, chosen by (conv_id + turn) % 8;
+# slot 7 has none.
 QUESTION_TEMPLATES = (
     "áo nam dưới 2 triệu",
     "set đồ nữ đi làm",
@@ -50,9 +50,8 @@ def _case(col: Column, mapping: dict, default=None) -> Column:
 
 
 # ---------------------------------------------------------------- interactions
-def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event stream as (user_id, product_id, interaction_type)."""
-    ev = read_table(spark, sf_dir, "events", "user_id", "event_type", "props")
+def events_interactions(ev: DataFrame) -> DataFrame:
+    """Events as (user_id, product_id, interaction_type)."""
     return ev.select(
         F.col("user_id").cast("long").alias("user_id"),
         F.get_json_object("props", "$.k").alias("product_id"),
@@ -60,6 +59,20 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole event stream as (user_id, product_id, interaction_type)."""
+    return events_interactions(read_table(spark, sf_dir, "events", "user_id", "event_type", "props"))
+
+
+def interactions_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole event stream as a sparse matrix: a user's day is a user, a
+    product at an hour of the day a product."""
+    ev = read_table(spark, sf_dir, "events", "ts", "user_id", "event_type", "props")
+    return events_interactions(ev.withColumn(
+        "user_id", F.col("user_id") * 100000 + F.datediff(F.to_date("ts"), F.lit("1970-01-01"))).withColumn(
+        "props", F.to_json(F.struct(F.concat(F.get_json_object("props", "$.k"), F.lit("@"), F.hour("ts").cast("string")).alias("k")))))
+
+
 def interactions_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as interactions: customer x part, code by return flag."""
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_returnflag")
@@ -129,14 +142,24 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products by supplier: the rows of one part share its id."""
+    li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    return li.groupBy("l_partkey", "l_suppkey").agg(
+        F.min("l_shipdate").alias("created_at"), F.max("l_extendedprice").cast("double").alias("price")).select(
+        F.col("l_partkey").cast("string").alias("id"), "created_at",
+        F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("name"), "price")
+
+
 # ---------------------------------------------------------------- questions
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as shopping questions (question_id = conv_id * 1000 + turn)."""
+    """User turns as shopping questions (question_id = conv_id * 1000 + turn): a
+    phrase by slot, then the turn's whole text."""
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     slot = (F.col("conv_id") + F.col("turn")) % 8
     q = F.col("text")
     for i in reversed(range(len(QUESTION_TEMPLATES))):
-        q = F.when(slot == i, F.lit(QUESTION_TEMPLATES[i])).otherwise(q)
+        q = F.when(slot == i, F.concat(F.lit(QUESTION_TEMPLATES[i] + ". "), F.col("text"))).otherwise(q)
     return conv.where(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
         q.alias("question"),
