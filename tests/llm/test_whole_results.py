@@ -291,3 +291,40 @@ def test_stages_on_nothing(spark, tmp_path):
         out = stage(spark, d, str(tmp_path))
         assert out.collect() == [], name
         d = out if name != "packing" else d
+
+
+# ------------------------------------------------------------------------- pages
+@pytest.mark.parametrize("page, text", [
+    ("<div style='visibility:hidden'>a<p style='visibility:visible'>b</p>c</div>d", "b\n\nd"),
+    ("<p style='display:none;display:block'>a<p style='display:block;display:none'>b", "a"),
+    ("<style>.x{visibility:hidden} .x b{color:red} b{visibility:visible}</style><p class=x>no <b>yes</b>", "yes"),
+    ("<style>p{display:none} .y{display:block}</style><p>no<p class=y>yes", "yes"),
+    ("<noscript>plain <b>text</b></noscript>", "plain text"),
+    ("<table><tr><td>a<td>b<td>c<tr><td colspan=2>wide<td>d<tr><td>e<td>f<td>g</table>", "a | b | c\nwide  | d\ne | f | g"),
+    ("<table><tr><td rowspan=2>ab<td>c<tr><td>d<tr><td>e<td>f</table>", "ab | c\n   | d\ne  | f"),
+    ("<table><tr><td><img alt='a picture'><td colspan=x>t</table>", "a picture | t"),
+    ("<table><tr><td colspan=99999>t<tr><td>u</table>", "t\nu"),
+])
+def test_pages_show_what_is_visible(page, text):
+    from vitrine.llm import html
+    assert html.render(page) == text
+
+
+def test_all_words_of_a_deep_page_show():
+    from vitrine.llm import html
+    rng = random.Random(11)
+    words, page = [], []
+    for i in range(400):
+        tag = rng.choice(["p", "div", "li", "td", "span", "table", "ul", "tr", "h2", "b"])
+        words.append(f"w{i}x")
+        page.append(f"<{tag}>w{i}x" + (f"</{tag}>" if rng.random() < .5 else ""))
+    assert sorted(re.findall(r"w\d+x", html.render("".join(page)))) == sorted(words)
+
+
+def test_pages_of_a_table(spark):
+    from vitrine.llm import html
+    rows = [(1, "<p>a"), (None, None), (2, ""), (2, "<div>" * 3000 + "x " * 100_000), (1, "<p>a")]
+    d = spark.createDataFrame([(*r, "u") for r in rows], "page_id long, html string, text string")
+    got = Counter((r["page_id"], r["n_lines"], r["text"]) for r in html.extract(d).collect())
+    assert got == Counter([(1, 1, "a"), (None, 0, ""), (2, 0, ""), (2, 1, ("x " * 100_000).strip()), (1, 1, "a")])
+    assert html.extract(d.limit(0)).collect() == []

@@ -4,10 +4,14 @@ A tree builder takes the tags of a page and supplies the implied ones (ends of
 paragraphs, list items and cells; rows around cells).  What the page hides is
 left out: the head, scripts, templates, ``hidden`` elements, hidden inputs, and
 what inline styles or simple rules (tag, .class, #id) of its style sheets hide
-on any screen (rules for other media or under a condition hide nothing).
+on any screen (rules for other media or under a condition hide nothing).  Of
+several values the more specific, then the later counts; what is visible
+inside an element of ``visibility: hidden`` shows.  Scripts don't run, so
+``noscript`` shows.
 All other text is laid out: blocks on lines of their own, an empty line around
 paragraphs, headings, lists and tables, items with markers and indentation,
-preformatted text as it is, and the cells of a table in aligned columns.
+preformatted text as it is, and the cells of a table in aligned columns (cells
+that span columns or rows keep theirs); images are their alternative text.
 
 Defined results: a null or empty page has the empty text; unclosed and stray
 tags are repaired; a table inside a cell is read as the cell's text; depth is
@@ -30,7 +34,7 @@ from vitrine.llm.common import text_or_empty
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = set("head script style template noscript title meta link datalist".split())
+UNSEEN = set("head script style template title meta link datalist".split())
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer "
             "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search "
             "section summary table ul caption".split())
@@ -155,40 +159,62 @@ def css_rules(css: str) -> Iterator[tuple[str, str]]:
             held += piece
 
 
-def hidden_rules(styles: list[str]) -> set[tuple[str, str]]:
-    """(tag, .class or #id) of the simple selectors that hide, and that no later
-    value of the same property shows again."""
-    state: dict[tuple[tuple[str, str], str], tuple[bool, bool]] = {}  # (hides, important)
+def _values(body: str) -> Iterator[tuple[str, bool, bool]]:
+    """(property, whether it hides, important) of the declarations that decide
+    on showing, in order."""
+    for d in body.split(";"):
+        name, _, value = d.partition(":")
+        name = name.strip().lower()
+        if name in ("display", "visibility") and value.strip() and not re.match(r"\s*(inherit|unset)\b", value, re.I):
+            yield name, bool(_HIDING.search(f"{name}:{value}")), "!" in value
+
+
+def style_rules(styles: list[str]) -> dict[tuple[str, str], dict[str, bool]]:
+    """(tag, .class or #id) of the simple selectors -> property -> whether it
+    hides, by the last value (an important one is not taken back)."""
+    state: dict[tuple[str, str], dict[str, tuple[bool, bool]]] = {}
     for selectors, body in (rule for css in styles for rule in css_rules(css)):
-        values = [(name.strip().lower(), value) for name, _, value in (d.partition(":") for d in body.split(";"))]
-        values = [(name, bool(_HIDING.search(f"{name}:{value}")), "!" in value) for name, value in values
-                  if name in ("display", "visibility")]
+        values = list(_values(body))
         for s in selectors.split(",") if values else ():
             m = _SIMPLE.match(s.strip())
             if m and m[0]:
+                own = state.setdefault(((m[1] or "").lower(), m[2] or ""), {})
                 for name, hides, important in values:
-                    at = ((m[1] or "").lower(), m[2] or ""), name
-                    if important or not state.get(at, (False, False))[1]:
-                        state[at] = hides, important
-    return {selector for (selector, _), (hides, _) in state.items() if hides}
+                    if important or not own.get(name, (False, False))[1]:
+                        own[name] = hides, important
+    return {k: {name: hides for name, (hides, _) in own.items()} for k, own in state.items()}
+
+
+def hidden_rules(styles: list[str]) -> set[tuple[str, str]]:
+    """The simple selectors that hide."""
+    return {selector for selector, own in style_rules(styles).items() if any(own.values())}
 
 
-def visible(node: Node, rules: set[tuple[str, str]]) -> bool:
+def shown(node: Node, rules: dict[tuple[str, str], dict[str, bool]], inherited: bool) -> bool | None:
+    """Whether an element's own text shows; None if all in it is hidden."""
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or _HIDING.search(a.get("style", "")):
-        return False
-    if node.tag == "input" and a.get("type", "").lower() == "hidden":
-        return False
-    if rules:
-        marks = ["", *("." + c for c in a.get("class", "").split()), *(["#" + a["id"]] if a.get("id") else [])]
-        return not any((t, m) in rules for t in (node.tag, "") for m in marks)
-    return True
+    if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
+        return None
+    found: dict[str, bool] = {}
+    if rules:  # from the least specific on
+        for mark in ["", *("." + c for c in a.get("class", "").split()), *(["#" + a["id"]] if a.get("id") else [])]:
+            for tag in ("", node.tag):
+                found.update(rules.get((tag, mark), {}))
+    found.update((name, hides) for name, hides, _ in _values(a.get("style", "")))
+    if found.get("display"):
+        return None
+    return not found["visibility"] if "visibility" in found else inherited
+
+
+def _span(node: Node, name: str, most: int) -> int:
+    text = node.attrs.get(name, "").strip()
+    return min(max(int(text), 1), most) if text.isascii() and text.isdigit() else 1
 
 
 class Layout:
     """Lines of a page, written from left to right."""
 
-    def __init__(self, rules: set[tuple[str, str]]):
+    def __init__(self, rules: dict[tuple[str, str], dict[str, bool]]):
         self.rules, self.lines, self.inline = rules, [], []
         self.lists: list[list] = []  # [ordered, items so far]
         self.marker = ""
@@ -206,56 +232,88 @@ class Layout:
         if self.lines and self.lines[-1]:
             self.lines.append("")
 
-    def flat(self, node: Node) -> str:
-        """All visible text of an element in one line."""
-        out, todo = [], [node]
+    def flat(self, node: Node, shows: bool) -> str:
+        """All visible text of an element in one line; ``shows``: whether its own does."""
+        out, todo = [], [(node, shows)]
         while todo:
-            n = todo.pop()
+            n, own = todo.pop()
             if isinstance(n, str):
-                out.append(n)
-            elif n is node or visible(n, self.rules):
-                if n.tag in BLOCK or n.tag in ("br", "td", "th", "tr"):
-                    out.append(" ")
-                    todo.append(" ")
-                todo.extend(reversed(n.children))
+                out.append(n if own else "")
+                continue
+            if n is not node and (own := shown(n, self.rules, own)) is None:
+                continue
+            if n.tag in BLOCK or n.tag in ("br", "td", "th", "tr"):
+                out.append(" ")
+                todo.append((" ", True))
+            if n.tag == "img" and own:
+                out.append(n.attrs.get("alt", ""))
+            todo.extend((c, own) for c in reversed(n.children))
         return _SPACES.sub(" ", "".join(out)).strip(" ")
 
-    def table(self, node: Node) -> None:
-        rows, todo, loose = [], [node], []
+    def table(self, node: Node, shows: bool) -> None:
+        rows: list[list[tuple[int, int, str]]] = []  # (first column, columns, text) of each cell
+        loose: list[str] = []
+        taken: dict[int, int] = {}  # columns that cells of earlier rows still hold, for so many rows
+        todo = [(node, shows)]
         while todo:
-            n = todo.pop()
+            n, own = todo.pop()
             if isinstance(n, str):
-                if n.strip():
+                if n.strip() and own:
                     loose.append(_SPACES.sub(" ", n).strip(" "))
-            elif n is not node and not visible(n, self.rules):
                 continue
-            elif n.tag == "tr":
-                cells = [c for c in n.children if isinstance(c, Node) and c.tag in ("td", "th")]
-                loose += [t for c in n.children if c not in cells and (
-                    t := self.flat(c) if isinstance(c, Node) and visible(c, self.rules) else
-                    _SPACES.sub(" ", c).strip(" ") if isinstance(c, str) else "")]
-                rows.append([self.flat(c) for c in cells if visible(c, self.rules)])
+            if n is not node and (own := shown(n, self.rules, own)) is None:
+                continue
+            if n.tag == "tr":
+                row, at = [], 0
+                held, taken = taken, {c: k - 1 for c, k in taken.items() if k > 1}
+                for c in n.children:
+                    if isinstance(c, str) or c.tag not in ("td", "th"):
+                        inside = own if isinstance(c, str) else shown(c, self.rules, own)
+                        if inside is not None and (text := _SPACES.sub(" ", c if inside else "").strip(" ")
+                                                   if isinstance(c, str) else self.flat(c, inside)):
+                            loose.append(text)
+                        continue
+                    if (inside := shown(c, self.rules, own)) is None:
+                        continue
+                    while at in held:
+                        at += 1
+                    wide, high = _span(c, "colspan", 1000), _span(c, "rowspan", 65534)
+                    row.append((at, wide, self.flat(c, inside)))
+                    if high > 1:
+                        taken.update((k, high - 1) for k in range(at, at + wide))
+                    at += wide
+                rows.append(row)
             elif n is node or n.tag in ("tbody", "thead", "tfoot", "colgroup"):
-                todo.extend(reversed(n.children))
-            elif text := self.flat(n):
+                todo.extend((c, own) for c in reversed(n.children))
+            elif text := self.flat(n, own):
                 loose.append(text)
         self.lines += loose
-        width: list[int] = []
-        for r in rows:
-            width += [0] * (len(r) - len(width))
-            for k, cell in enumerate(r):
-                width[k] = max(width[k], len(cell))
+        width: dict[int, int] = {}
+        for at, wide, text in (cell for r in rows for cell in r):
+            if wide == 1:
+                width[at] = max(width.get(at, 0), len(text))
+        columns = {c: k for k, c in enumerate(sorted({at for r in rows for at, _, _ in r}))}  # those that a cell starts in
         for r in rows:
-            if any(r):
-                self.lines.append(" | ".join(c.ljust(w) for c, w in zip(r, width, strict=False)).rstrip(" "))
+            line = ["".ljust(width.get(c, 0)) for c in columns]
+            for at, wide, text in r:
+                inner = [k for c, k in columns.items() if at <= c < at + wide]
+                line[inner[0]] = text.ljust(sum(len(line[k]) for k in inner) + 3 * (len(inner) - 1))
+                for k in inner[1:]:
+                    line[k] = None
+            parts = [x for x in line if x is not None]
+            while parts and not parts[-1].strip():  # no cells, or empty ones, at the end
+                parts.pop()
+            if parts:
+                self.lines.append(" | ".join(parts).rstrip(" "))
 
     def write(self, root: Node) -> str:
-        todo: list = [root]
+        todo: list = [(root, True)]
         while todo:
-            n = todo.pop()
+            n, own = todo.pop()
             if isinstance(n, str):
-                self.inline.append(n)
-            elif isinstance(n, tuple):  # the end of an element
+                self.inline.append(n if own else "")
+                continue
+            if isinstance(n, tuple):  # the end of an element
                 self.flush()
                 if n[0] in ("ul", "ol", "menu"):
                     self.lists.pop()
@@ -263,27 +321,29 @@ class Layout:
                         continue
                 if n[0] in SPACED:
                     self.gap()
-            elif not visible(n, self.rules):
                 continue
-            elif n.tag == "br":
+            if (own := shown(n, self.rules, own)) is None:
+                continue
+            inner = [(c, own) for c in reversed(n.children)]
+            if n.tag == "br":
                 self.flush()
             elif n.tag in BLOCK:
                 self.flush()
                 if n.tag in SPACED and not (self.lists and n.tag in ("ul", "ol", "menu")):
                     self.gap()
                 if n.tag == "table":
-                    self.table(n)
+                    self.table(n, own)
                     self.gap()
                     continue
                 if n.tag == "pre":
-                    whole, inner = [], list(reversed(n.children))
+                    whole = []
                     while inner:
-                        c = inner.pop()
+                        c, show = inner.pop()
                         if isinstance(c, str):
-                            whole.append(c)
-                        elif visible(c, self.rules):
+                            whole.append(c if show else "")
+                        elif (show := shown(c, self.rules, show)) is not None:
                             whole.append("\n" if c.tag == "br" else "")
-                            inner.extend(reversed(c.children))
+                            inner.extend((x, show) for x in reversed(c.children))
                     self.lines += "".join(whole).strip("\n").split("\n")
                     self.gap()
                     continue
@@ -293,12 +353,12 @@ class Layout:
                     if self.lists:
                         self.lists[-1][1] += 1
                     self.marker = f"{self.lists[-1][1]}. " if self.lists and self.lists[-1][0] else "- "
-                todo.append((n.tag,))
-                todo.extend(reversed(n.children))
+                todo.append(((n.tag,), own))
+                todo.extend(inner)
             else:
-                if n.tag == "img" and n.attrs.get("alt"):
+                if n.tag == "img" and n.attrs.get("alt") and own:
                     self.inline.append(n.attrs["alt"])
-                todo.extend(reversed(n.children))
+                todo.extend(inner)
         self.flush()
         return "\n".join(self.lines).strip("\n")
 
@@ -308,7 +368,7 @@ def render(page: str) -> str:
     tree = Tree()
     tree.feed(page)
     tree.close()
-    return Layout(hidden_rules(tree.styles)).write(tree.root)
+    return Layout(style_rules(tree.styles)).write(tree.root)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
