@@ -46,6 +46,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def give_back() -> None:
+    """At the end of a task: return what Arrow and the allocator keep of freed
+    memory to the system, since workers are used again by other tasks."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Between two steps of a long job: have the driver collect its garbage,
     upon which Spark deletes the shuffle files of plans that have ended (it
