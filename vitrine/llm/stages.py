@@ -8,8 +8,6 @@ whose text breaks a rule go, and each keeps its own cut or redacted text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,15 +77,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     which nothing but white space is left goes."""
     _ready(spark)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [_whole_chars(t.encode(), s, e) for t, s, e in zip(
-                *[b.column(k).to_pylist() for k in (2, 3, 4)], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
-                                             ["_id", "_key", "_text"])
-    changed = (suffixes.duplicate_runs(docs).filter("size(starts) > 0 and doc_id is not null")
-               .select("doc_id", F.xxhash64("text"), "text", "starts", "ends")
-               .mapInArrow(cut, "_id long, _key long, _text string").dropDuplicates(["_id", "_key"]))
+    def cut(ids: pa.Array, texts: list[bytes], starts: list, ends: list) -> pa.RecordBatch | None:
+        at = [i for i, s in enumerate(starts) if len(s) and ids[i].is_valid]
+        if not at:
+            return None
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(at)), pa.array([texts[i] for i in at], pa.binary()).cast(pa.string()),
+             pa.array([_whole_chars(texts[i], starts[i].tolist(), ends[i].tolist()) for i in at], pa.string())],
+            ["_id", "old", "_text"])
+    changed = (suffixes.with_runs(docs, cut, "_id long, old string, _text string")
+               .select("_id", F.xxhash64("old").alias("_key"), "_text").dropDuplicates(["_id", "_key"]))
     nested = _nested(docs)
     out = _with_text(nested.join(changed, (nested["doc_id"] == changed["_id"]) & (nested["key"] == changed["_key"]), "left"),
                      docs, F.col("_text"))
