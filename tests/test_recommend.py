@@ -114,7 +114,7 @@ def test_properties_on_events(spark):
 
 
 @pytest.mark.parametrize("share", [0, 256, 10 ** 9])
-@pytest.mark.parametrize("slots", [1, 7, 2048])
+@pytest.mark.parametrize("slots", [7, 2048])
 def test_tile_kernel_branches_and_blocks(spark, share, slots, monkeypatch):
     from vitrine.operators import userblocks as UB
     rnd = random.Random(5)
