@@ -128,3 +128,40 @@ def test_stopword_file_is_read(spark, tmp_path):
     path.write_text("và\ncủa\n\nvà\na lô\n", encoding="utf-8")
     got = sorted(r["word"] for r in load_stopwords(spark, str(path)).collect())
     assert got == ["a lô", "của", "và"]
+
+
+def test_tiled_means_over_chunks_repeats_and_rare_words(spark):
+    rnd = np.random.default_rng(5)
+    vectors = [(i, rnd.normal(size=3).tolist()) for i in range(11)] + [(4, [1.0, 2.0, 3.0]), (6, None), (None, [9.0] * 3)]
+    counts = [(d, f"w{w}", int(rnd.integers(1, 4))) for d in range(9) for w in range(20) if rnd.random() < 0.4]
+    words = [(f"w{w}", w % 13, w + 1) for w in range(19)]            # two ids without a vector, a word without an id
+    cdf = spark.createDataFrame(counts, "id long, word string, cnt long")
+    wdf = spark.createDataFrame(words, "word string, vec_id long, rnk long")
+    vdf = spark.createDataFrame(vectors, "vec_id long, vector array<double>")
+    to, want = {w: v for w, v, _ in words}, {}
+    for d, w, c in counts:
+        for i, v in vectors:
+            if w in to and i == to[w]:
+                s = want.setdefault(d, [np.zeros(3), 0, 0])
+                s[2] += c
+                if v is not None:
+                    s[0], s[1] = s[0] + c * np.array(v), s[1] + c
+    for hot, chunk, hits in ((3, 4, 7), (50, 100, 1000)):
+        h = TX.hits_of(cdf, wdf, hot)
+        got = {r["id"]: r for r in TX.tiled_means(h, vdf, len(counts), 3, chunk, hits).collect()}
+        assert set(got) == set(want)
+        for d, (s, n, tokens) in want.items():
+            assert np.allclose(got[d]["vector"], s / max(n, 1)) and got[d]["n_vocab_tokens"] == tokens
+
+
+def test_no_shuffled_row_holds_a_word_vector_per_word(spark, monkeypatch):
+    """Neither the words' counts nor their vectors are joined row by row, nor checkpointed uncompressed."""
+    from tests.conftest import SF001
+    from vitrine.plans.registry import QUERIES
+    seen, kind = [], type(spark.range(1))
+    whole = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, **kw: (seen.append(self.columns), whole(self, *a, **kw))[1])
+    plan = QUERIES["doc_vectors"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "vec_id" in line]
+    assert "FlatMapCoGroupsInPandas" in plan and not joins
+    assert not any({"id", "word", "cnt"} <= set(c) for c in seen)
