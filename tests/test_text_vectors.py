@@ -165,3 +165,29 @@ def test_no_shuffled_row_holds_a_word_vector_per_word(spark, monkeypatch):
     joins = [line for line in plan.splitlines() if "Join" in line and "vec_id" in line]
     assert "FlatMapCoGroupsInPandas" in plan and not joins
     assert not any({"id", "word", "cnt"} <= set(c) for c in seen)
+
+
+def test_pairs_too_rare_for_a_compound_never_meet_their_words(spark, monkeypatch):
+    from vitrine.operators import phrases
+    texts = [["a", "b", "c"]] * 9 + [["a", "c"]] * 6 + [["b", "d", "a", "x", "y"]] * 4 + [["x", "y", "x", "y"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, tokens array<string>")
+    whole, seen = TX.phrase_bigrams, []
+
+    def noted(*a, **kw):
+        out = whole(*a, **kw)
+        seen.append(sorted(r["n"] for r in out.collect()))
+        return out
+    for t in (-1.0, 0.5, 2.0, 2.576):
+        n, pairs = {}, {}
+        for text in texts:
+            for w in text:
+                n[w] = n.get(w, 0) + 1
+            for p in zip(text, text[1:], strict=False):
+                pairs[p] = pairs.get(p, 0) + 1
+        total = sum(n.values())
+        want = {p for p, c in pairs.items() if (c - n[p[0]] * n[p[1]] / total) / math.sqrt(c) >= t
+                and c * total > n[p[0]] * n[p[1]]}
+        monkeypatch.setattr(phrases.TX, "phrase_bigrams", noted)
+        assert {(r["w1"], r["w2"]) for r in phrases.compounds(df, t).collect()} == want
+        monkeypatch.setattr(phrases.TX, "phrase_bigrams", whole)
+    assert min(seen[-1]) >= 7 and min(seen[0]) < 7
