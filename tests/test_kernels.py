@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +267,33 @@ def test_many_deltas_are_merged(spark):
     assert len(at.tables["t"]["parts"]) <= RF.MAX_PARTS
     got = {r["id"]: r["v"] for r in RF.Snapshot.open(spark, base).read("t").collect()}
     assert got == {i: f"v{max(n for n in range(RF.MAX_PARTS + 2) if n % 5 == i) + 1}" for i in range(5)}
+
+
+def test_blocks_travel_by_squads(spark, monkeypatch):
+    """Squads of blocks give the rows of single blocks, and the tasks return k rows a key."""
+    from vitrine.operators import ranking as RK
+    from vitrine.operators import userblocks as UB
+    from vitrine.operators import vectorblocks as VB
+    rnd = np.random.default_rng(3)
+    m = spark.createDataFrame([(u, f"p{p}", int(rnd.integers(1, 5))) for u in range(90) for p in rnd.choice(15, 4, False)],
+                              "user_id long, product_id string, score long")
+    vectors = [(f"{i:03d}", rnd.integers(-2, 3, 4).astype(float).tolist()) for i in range(90)]
+    v = spark.createDataFrame(vectors, "id string, vector array<double>")
+    sizes, seen, whole = [], [], RK.squad_pairs
+
+    def noted(left, right, pairs, size):
+        sizes.append(size)
+        out = whole(left, right, pairs, size)
+        seen.append(pairs.count())
+        return out
+    for module in (UB, VB):
+        monkeypatch.setattr(module, "squad_pairs", noted)
+    found = []
+    for least in (1000, 3):
+        monkeypatch.setattr(RK, "MIN_SQUADS", least)
+        found.append((sorted(map(tuple, UB.nearest(m, 5, 5).collect())), sorted(map(tuple, VB.self_topk(v, "id", 5, block_rows=5).collect()))))
+    assert found[0] == found[1] and sizes[:2] == [1, 1] and min(sizes[2:]) > 1 and min(seen) > 3
+    near = RK.Nearest(["lk", "rk", "s"], 2, False, 3)
+    for rk, s in enumerate((0.1, 0.7, None, 0.7)):
+        near.add(pd.DataFrame({"lk": ["x"], "rk": [rk], "s": [s]}))
+    assert near.best()["rk"].tolist() == [2, 1]
