@@ -34,6 +34,8 @@ BUCKET_ROWS = 128
 MAX_BITS = 16
 #: Candidates that each table must offer.
 WANT = 256
+#: Queries that are widened at a time: each gives a row per bucket, with its vector.
+SLICE = 512
 
 
 def plane(table: int, bit: int, dim: int) -> np.ndarray:
@@ -95,9 +97,7 @@ def probe_neighbors(queries: DataFrame, corpus: DataFrame, k: int, tables: int =
         sizes[r["table"], r["bucket"]] = r["count"]
 
     def widen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if not len(rows):
-                continue
+        for rows in (b[lo:lo + SLICE] for b in batches for lo in range(0, len(b), SLICE)):
             margins = products(np.stack(rows["vector"].to_numpy()), tables, bits)
             found = [[(t, b) for t in range(tables) for b in probes(m[t], sizes[t], max(want, k)) if sizes[t, b]]
                      for m in margins]
