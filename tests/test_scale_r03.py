@@ -5,8 +5,12 @@ import sys
 import numpy as np
 import pytest
 
+from vitrine.operators import matrix as M
+from vitrine.operators import neighbors as N
 from vitrine.operators import ranking as RK
+from vitrine.operators import userblocks as UB
 from vitrine.operators import vectorblocks as VB
+from tests.conftest import inter_df
 
 
 def brute_zone(x, y, ceiling, price, keys, k):
@@ -72,3 +76,36 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
     assert float(out.stdout) < 60  # a whole tile of scores alone has 32 MB, and there were seven
+
+
+def block(number, users, cells, products, rng):
+    who = np.repeat(np.arange(users), cells)
+    col = np.concatenate([rng.choice(products, cells, replace=False) for _ in range(users)])
+    order = np.lexsort((who, col))
+    starts = np.concatenate(([0], np.cumsum(np.bincount(col, minlength=products))))
+    return UB.Block({"block": number, "users": (np.arange(users) + users * number).astype("<i8").tobytes(),
+                     "products": np.array([f"p{i}" for i in range(products)], dtype=object),
+                     "starts": starts.astype("<i8").tobytes(), "who": who[order].astype("<i4").tobytes(),
+                     "score": rng.choice([1, 2, 4, -3], len(who)).astype("<f8").tobytes()})
+
+
+def test_sparse_tiles_expand_matching_cells_only(monkeypatch):
+    rng = np.random.default_rng(8)
+    a, b = block(0, 400, 2, 900, rng), block(1, 400, 2, 900, rng)
+    limits = [rng.choice([0.0, 0.1, 0.5, 0.9], 400) for _ in range(2)]
+    want = set()
+    for (users, _, _), limit, first in zip([(a.users, 0, 0), (b.users, 0, 0)], limits, (0, 400), strict=True):
+        for parts in UB.tile_top(a, b, 5, True):
+            want |= {(u, v, d) for u, v, d in zip(*parts, strict=True) if u in set(users) and d <= limit[u - first]}
+    monkeypatch.setattr(UB, "tile", None)  # no matrix of all pairs
+    got = {x for parts in UB.sparse_top(a, b, 5, *limits) for x in zip(*parts, strict=True)}
+    assert got == want and len(want) > 50
+    assert UB.sparse_top(block(0, 50, 20, 30, rng), block(1, 50, 20, 30, rng), 5, np.ones(50), np.ones(50)) is None
+
+
+def test_sparse_users_equal_the_join(spark):
+    rng = np.random.default_rng(9)
+    rows = [(u, f"p{p}", int(rng.choice([1, 2, 4, -3]))) for u in range(160) for p in rng.integers(0, 60, rng.integers(1, 4))]
+    m = M.user_product_matrix(inter_df(spark, rows))
+    tiled = sorted(map(tuple, N.tile_user_neighbors(m, 3, block_rows=16).collect()))
+    assert tiled == sorted(map(tuple, N.sparse_user_neighbors(m, 3, N.CFParams()).collect()))
