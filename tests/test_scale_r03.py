@@ -109,3 +109,21 @@ def test_sparse_users_equal_the_join(spark):
     m = M.user_product_matrix(inter_df(spark, rows))
     tiled = sorted(map(tuple, N.tile_user_neighbors(m, 3, block_rows=16).collect()))
     assert tiled == sorted(map(tuple, N.sparse_user_neighbors(m, 3, N.CFParams()).collect()))
+
+
+def test_only_rare_words_are_joined_with_their_vectors(spark):
+    from vitrine.operators import text as TX
+    rng = np.random.default_rng(6)
+    texts = [(i, [f"w{w}" for w in rng.zipf(1.4, 20) % 40]) for i in range(30)] + [(30, []), (31, ["unknown"])]
+    vectors = [(f"w{w}", rng.normal(size=3).tolist()) for w in range(38)] + [("w1", [1.0, 2.0, 3.0])]
+    docs = spark.createDataFrame(texts, "id long, tokens array<string>")
+    model = spark.createDataFrame(vectors, "word string, vector array<double>")
+    for hot in (3, 1000):
+        frame = TX.doc_vectors(docs, model, 3, hot)
+        got = {r["id"]: r for r in frame.collect()}
+        for i, words in texts:
+            found = [np.array(v) for w in words for x, v in vectors if x == w]
+            assert got[i]["n_vocab_tokens"] == len(found)
+            assert np.allclose(got[i]["vector"], np.mean(found, axis=0) if found else np.zeros(3))
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInPandas" in plan and len(got) == 32
