@@ -127,3 +127,20 @@ def test_only_rare_words_are_joined_with_their_vectors(spark):
             assert np.allclose(got[i]["vector"], np.mean(found, axis=0) if found else np.zeros(3))
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         assert "FlatMapCoGroupsInPandas" in plan and len(got) == 32
+
+
+def test_fingerprints_of_many_texts_equal_single_ones(monkeypatch):
+    from vitrine.llm import fingerprints
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.3, rng.integers(0, 60)) % 500) for _ in range(60)] + ["", "  "]
+    want = [fingerprints.Sampler(32).of(t) for t in texts]
+    drawn, learn = [], fingerprints.Sampler.learn
+    monkeypatch.setattr(fingerprints.Sampler, "learn", lambda self, new: (drawn.append(len(new)), learn(self, new))[1])
+    monkeypatch.setattr(fingerprints, "GROUP_TERMS", 50)
+    for room in (20, 120, 10_000):
+        monkeypatch.setattr(fingerprints, "CACHE_TERMS", room)
+        own = fingerprints.Sampler(32)
+        drawn.clear()
+        got = [f for lo in range(0, len(texts), 7) for f in own.many(texts[lo:lo + 7])]
+        assert all((a == b).all() for a, b in zip(got, want, strict=True)) and len(drawn) < len(texts)
+        assert own.used <= max(room, 50) + 50

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,11 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import mix64, text_or_empty, word_hashes
 
 SAMPLES = 128
-#: (term, weight) rows kept by a worker; emptied when full (bounded memory).
-CACHE_TERMS = 150_000
+#: (term, weight) rows kept by a worker; when full, those of few texts are dropped (bounded memory).
+CACHE_TERMS = 100_000
+#: Terms of texts that are looked up, and drawn if new, together; rows of a batch that are.
+GROUP_TERMS = 20_000
+SLICE_ROWS = 32
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Quantiles of the gamma tables: for r, and for c, whose low tail decides.
 R_BITS, C_BITS = 16, 20
@@ -53,13 +57,28 @@ def draw(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tupl
     """(ln a, t) of every term (rows) and sample (columns): one hash gives the
     places of the two gamma draws in their tables and the uniform one."""
     h = mix64(terms[:, None] ^ mix64(np.arange(1, samples + 1, dtype=np.uint64) * _GOLDEN)[None, :])
-    r = _R[(h >> np.uint64(64 - R_BITS)).astype(np.int64)]
-    ln_c = _LN_C[((h >> np.uint64(64 - R_BITS - C_BITS)) & np.uint64((1 << C_BITS) - 1)).astype(np.int64)]
-    beta = ((h & np.uint64((1 << 23) - 1)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0 ** -23)
+    # places are below 2^20, so signed views and clipping (no check of bounds) change nothing
+    place = np.right_shift(h, np.uint64(64 - R_BITS))
+    r = _R.take(place.view(np.int64), mode="clip")
+    np.right_shift(h, np.uint64(64 - R_BITS - C_BITS), out=place)
+    place &= np.uint64((1 << C_BITS) - 1)
+    ln_c = _LN_C.take(place.view(np.int64), mode="clip")
+    beta = (h.astype(np.uint32) & np.uint32((1 << 23) - 1)).view(np.int32).astype(np.float32)
+    beta += np.float32(0.5)
+    beta *= np.float32(2.0 ** -23)
     if (weights == 1).all():  # ln 1 = 0, so t = 0
-        return ln_c + r * (beta - np.float32(1)), np.zeros((len(terms), 1), dtype=np.int32)
-    t = np.floor(np.log(weights).astype(np.float32)[:, None] / r + beta)
-    return ln_c - r * (t - beta) - r, t.astype(np.int32)
+        beta -= np.float32(1)
+        beta *= r
+        beta += ln_c
+        return beta, np.zeros((len(terms), 1), dtype=np.int32)
+    t = np.log(weights).astype(np.float32)[:, None] / r
+    t += beta
+    np.floor(t, out=t)
+    np.subtract(t, beta, out=beta)
+    beta *= r
+    ln_c -= beta
+    ln_c -= r
+    return ln_c, t.astype(np.int32)
 
 
 def ordered(x: np.ndarray) -> np.ndarray:
@@ -79,8 +98,22 @@ class Sampler:
         self.row: dict[tuple[bytes, int], int] = {}
         # by term and sample: ln a, so coded that the order stays, above the mark of (term, t)
         self.key = np.empty((0, self.samples), dtype=np.uint64)
+        self.uses = np.zeros(0, dtype=np.int32)  # texts by term
         self.used = 0
 
+    def trim(self) -> None:
+        """Keeps the terms of several texts, those of most texts if they take over half of the room."""
+        keep = np.flatnonzero(self.uses[:self.used] > 2)  # a text and its edited text have most terms in common
+        if 2 * len(keep) > CACHE_TERMS:
+            keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[:CACHE_TERMS // 2]])
+        for lo in range(0, len(keep), 4096):  # in place: a row only moves ahead
+            self.key[lo:lo + len(keep[lo:lo + 4096])] = self.key[keep[lo:lo + 4096]]
+        terms = list(self.row)  # in the order of the rows
+        self.row = {terms[i]: n for n, i in enumerate(keep.tolist())}
+        self.uses[:len(keep)] = self.uses[keep] // 2
+        self.uses[len(keep):] = 0
+        self.used = len(keep)
+
     def learn(self, new: list[tuple[bytes, int]]) -> None:
         new.sort(key=lambda x: x[1] > 1)  # those of weight 1 first, by themselves
         ones = sum(n == 1 for _, n in new)
@@ -88,33 +121,63 @@ class Sampler:
         if need > len(self.key):
             grow = max(need, min(2 * len(self.key), CACHE_TERMS)) - len(self.key)
             self.key = np.concatenate([self.key, np.empty((grow, self.samples), dtype=np.uint64)])
+            self.uses = np.concatenate([self.uses, np.zeros(grow, dtype=np.int32)])
         for lo in [*range(0, ones, 500), *range(ones, len(new), 500)]:
             part = new[lo:min(lo + 500, ones if lo < ones else len(new))]
             terms = word_hashes([w for w, _ in part])
             low, t = draw(terms, np.array([n for _, n in part], dtype=np.float64), self.samples)
             at = self.used + lo
             mark = (mix64(terms[:, None] + _GOLDEN * t.astype(np.int64).astype(np.uint64)) >> np.uint64(32)) | np.uint64(1)
-            self.key[at:at + len(part)] = (ordered(low).astype(np.uint64) << np.uint64(32)) | mark
+            key = self.key[at:at + len(part)]
+            key[...] = ordered(low)
+            key <<= np.uint64(32)
+            key |= mark
         self.row.update(zip(new, range(self.used, need), strict=True))
         self.used = need
 
     def of(self, text: str) -> np.ndarray:
-        terms = list(Counter(text.encode().split()).items())
-        if not terms:
-            return np.zeros(self.samples, dtype=np.uint32)
-        best = np.full(self.samples, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for lo in range(0, len(terms), 20_000):
-            part = terms[lo:lo + 20_000]
-            new = [x for x in part if x not in self.row]
-            if self.used + len(new) > CACHE_TERMS:
-                self.clear()
-                new = part
-            if new:
-                self.learn(new)
-            rows = np.fromiter(map(self.row.__getitem__, part), dtype=np.int64, count=len(part))
-            best = np.minimum(best, self.key[rows].min(axis=0))
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> np.ndarray:
+        """The fingerprint of each text; new terms of up to GROUP_TERMS are drawn together."""
+        best = np.full((len(texts), self.samples), np.iinfo(np.uint64).max, dtype=np.uint64)
+        group: list[tuple[int, list]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            terms = list(Counter(text.encode().split()).items())
+            for lo in range(0, len(terms), GROUP_TERMS):
+                part = terms[lo:lo + GROUP_TERMS]
+                if size + len(part) > GROUP_TERMS:
+                    self._meet(group, best)
+                    group, size = [], 0
+                group.append((i, part))
+                size += len(part)
+            if not terms:
+                best[i] = 0
+        self._meet(group, best)
         return (best & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
+    def _meet(self, group: list[tuple[int, list]], best: np.ndarray) -> None:
+        found = [list(map(self.row.get, part)) for _, part in group]
+        new = dict.fromkeys(x for (_, part), rows in zip(group, found, strict=True) if None in rows
+                            for x, row in zip(part, rows, strict=True) if row is None)
+        if self.used + len(new) > CACHE_TERMS:
+            self.trim()
+            found = [[None]] * len(group)
+            new = dict.fromkeys(x for _, part in group for x in part if x not in self.row)
+        if new:
+            self.learn(list(new))
+        for (i, part), rows in zip(group, found, strict=True):
+            at = np.array(list(map(self.row.__getitem__, part)) if None in rows else rows, dtype=np.int64)
+            self.uses[at] += 1
+            np.minimum(best[i], self.key.take(at, axis=0).min(axis=0), out=best[i])
+
+
+@lru_cache(maxsize=1)
+def sampler(samples: int) -> Sampler:
+    """The sampler of this worker: its tasks share what is kept."""
+    return Sampler(samples)
+
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
@@ -124,10 +187,11 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 samples: int = SAMPLES) -> DataFrame:
     """(doc_id, fingerprint binary) of every document; no shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Sampler(samples)
+        own = sampler(samples)
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([own.of(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())],
+                [b.column(0), pa.array([f.tobytes() for lo in range(0, b.num_rows, SLICE_ROWS)
+                                        for f in own.many(b.column(1).slice(lo, SLICE_ROWS).to_pylist())], pa.binary())],
                 ["doc_id", "fingerprint"])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")) \
         .mapInArrow(run, "doc_id long, fingerprint binary")
@@ -182,20 +246,23 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                      picked.column(0), picked.column(1)], ["range", "tail", "doc_id", "text"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = Sampler(samples), None  # last: (range, tail, id, text, fingerprint)
+        own, last, last_mark = sampler(samples), [], []  # last: [(range, tail, id, text)]
         for b in batches:
             out = []
-            for r, tail, i, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if last and last[0] == r and last[1] and tail:
-                    continue  # a repeated id: the first of its texts is next
-                now = (r, tail, i, text, own.of(text))
-                if last and last[0] == r and not last[1]:
-                    changed = edited(last[3], text)
-                    mark = own.of(changed)
-                    out.append((last[2], len(last[3]), hashlib.sha256(changed.encode()).hexdigest(),
-                                last[4].astype(">u4").tobytes().hex(), mark.astype(">u4").tobytes().hex(),
-                                likeness(last[4], mark), likeness(last[4], now[4])))
-                last = now
+            for lo in range(0, b.num_rows, SLICE_ROWS):
+                rows = [*last]
+                for now in zip(*[c.to_pylist() for c in b.slice(lo, SLICE_ROWS).columns], strict=True):
+                    if not (rows and rows[-1][0] == now[0] and rows[-1][1] and now[1]):
+                        rows.append(now)  # else a repeated id: the first of its texts is next
+                at = [k for k in range(len(rows) - 1) if rows[k][0] == rows[k + 1][0] and not rows[k][1]]
+                changed = [edited(rows[k][3], rows[k + 1][3]) for k in at]
+                made = own.many([r[3] for r in rows[len(last):]] + changed)
+                marks = [*last_mark, *made[:len(rows) - len(last)]]
+                for k, text, mark in zip(at, changed, made[len(rows) - len(last):], strict=True):
+                    out.append((rows[k][2], len(rows[k][3]), hashlib.sha256(text.encode()).hexdigest(),
+                                marks[k].astype(">u4").tobytes().hex(), mark.astype(">u4").tobytes().hex(),
+                                likeness(marks[k], mark), likeness(marks[k], marks[k + 1])))
+                last, last_mark = rows[-1:], marks[-1:]
             if out:
                 names = [f.split()[0] for f in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
