@@ -144,3 +144,27 @@ def test_fingerprints_of_many_texts_equal_single_ones(monkeypatch):
         got = [f for lo in range(0, len(texts), 7) for f in own.many(texts[lo:lo + 7])]
         assert all((a == b).all() for a, b in zip(got, want, strict=True)) and len(drawn) < len(texts)
         assert own.used <= max(room, 50) + 50
+
+
+def test_fingerprints_draw_few_samples_of_a_word(monkeypatch):
+    """Fingerprints from the low draws alone equal those from all draws: counts, few and many words, equal words."""
+    from collections import Counter
+
+    from vitrine.llm import fingerprints as FP
+    from vitrine.llm.common import word_hashes
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.2, n) % 5000) for n in (1, 2, 9, 60, 300, 1500, 4000)] + ["a " * 3000, "a b " * 40]
+    own = FP.Sampler(128)
+    for text, got in zip(texts, own.many(texts), strict=True):
+        terms = Counter(text.encode().split())
+        h = word_hashes(list(terms))
+        every = np.repeat(h, 128)
+        n = np.repeat(np.array(list(terms.values())), 128)
+        _, key = FP.keys(FP.mix64(every ^ np.tile(own.salt, len(terms))), every, n)
+        assert (got == key.reshape(-1, 128).min(axis=0).astype(np.uint32)).all()
+    assert len(own.key[:own.begin[own.used]]) < own.used * 128 / 8
+    monkeypatch.setattr(FP, "GROUP_TERMS", 100)
+    monkeypatch.setattr(FP, "CACHE_TERMS", 150)
+    small = FP.Sampler(128)
+    assert (small.many(texts) == own.many(texts)).all()
+    assert small.used <= 250 and len(small.word) <= 6000
