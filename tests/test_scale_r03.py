@@ -168,3 +168,40 @@ def test_fingerprints_draw_few_samples_of_a_word(monkeypatch):
     small = FP.Sampler(128)
     assert (small.many(texts) == own.many(texts)).all()
     assert small.used <= 250 and len(small.word) <= 6000
+
+
+def test_word_pairs_travel_in_packed_arrays(spark, monkeypatch):
+    """The tiles of coded texts times vectors equal the weights of all pairs of words: several blocks and slabs of rows,
+    texts counted by parts, words that occur beside themselves or alone."""
+    from vitrine.operators import embedding as E
+    rng = np.random.default_rng(3)
+    texts = [[f"w{w % 60}" for w in rng.zipf(1.4, n)] for n in (0, 1, 2, 7, 90, 30)] + [["x", "x", "y"], ["alone"]]
+    for name, value in (("BLOCK_WORDS", 16), ("GROUP_BLOCKS", 2), ("TOKENS", 37), ("STRIPES", 3), ("STRIPE_WORDS", 4)):
+        monkeypatch.setattr(E, name, value)
+    tokens = spark.createDataFrame([(t,) for t in texts], "tokens array<string>")
+    vocab, blocks = E.vocabulary(tokens, 3)
+    code = {r["word"]: r["place"] * blocks + r["block"] for r in vocab.collect()}
+    n = np.zeros((len(code), len(code)))
+    for t in texts:
+        for i, a in enumerate(t):
+            for b in t[i + 1:i + 4]:
+                n[code[a], code[b]] += 1
+                n[code[b], code[a]] += 1
+    s = n.sum(axis=1)
+    assert blocks > 2 and {r["word"]: r["s"] for r in vocab.collect()} == {w: s[c] for w, c in code.items()}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        want = np.maximum(np.nan_to_num(np.log(n * s.sum() / (s[:, None] * s[None, :])), nan=0.0, neginf=0.0), 0)
+    matrix = E.tiles(E.coded(tokens, vocab, blocks), blocks, 3, float(s.sum()))
+    assert sorted(matrix.columns) == ["bi", "bj", "cols", "rows", "weights"] and matrix.count() <= 12 * blocks * blocks
+    x = rng.normal(size=(blocks * 16, 5)).astype("<f4")  # of code c: row c
+    held = [(b, x[b::blocks].tobytes(), np.pad(np.log(np.maximum(s, 1)), (0, len(x) - len(s)))[b::blocks].tobytes())
+            for b in range(blocks)]
+    v = spark.createDataFrame([h[:2] for h in held], "block long, data binary")
+    sums = spark.createDataFrame([h[::2] for h in held], "block long, sums binary")
+    got = np.zeros_like(x)
+    for r in E._times(matrix, sums, v, 5, blocks).collect():
+        got[r["block"]::blocks] = np.frombuffer(r["data"], dtype="<f4").reshape(-1, 5)
+    assert np.allclose(got[:len(s)], want @ x[:len(s)], atol=1e-4)
+    monkeypatch.undo()
+    few = E.train(tokens, 4, 3, rounds=1).collect()
+    assert {r["word"] for r in few} == set(code) and all(len(r["vector"]) == 4 for r in few)
