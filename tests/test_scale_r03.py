@@ -205,3 +205,36 @@ def test_word_pairs_travel_in_packed_arrays(spark, monkeypatch):
     monkeypatch.undo()
     few = E.train(tokens, 4, 3, rounds=1).collect()
     assert {r["word"] for r in few} == set(code) and all(len(r["vector"]) == 4 for r in few)
+
+
+def test_overlapping_pairs_travel_by_squads(spark, monkeypatch):
+    """Blocks, blocks in squads and squads with themselves give each pair in both directions once; none of nothing."""
+    rng = np.random.default_rng(12)
+    rows = [(int(u), f"p{p}", int(c)) for u, p, c in zip(rng.integers(0, 60, 400), rng.integers(0, 90, 400), rng.choice([1, 2, -3, 4], 400), strict=True)]
+    m = M.user_product_matrix(inter_df(spark, rows + [(77, "own", 1), (78, "zero", 1), (78, "zero", -1), (78, "p3", None)]))
+    want = sorted(map(tuple, N.user_similarity(m, mode="sparse").collect()))
+    sizes, whole = [], RK.squad_size
+    monkeypatch.setattr(UB, "squad_size", lambda *a: (sizes.append(whole(*a)), sizes[-1])[1])
+    for least, slots in ((1000, 7), (3, 7), (2, 5), (16, 2048)):
+        monkeypatch.setattr(RK, "MIN_SQUADS", least)
+        assert sorted(map(tuple, UB.overlapping(m, slots).collect())) == want
+    assert sizes == [1, 3, 6, 1] and 100 < len(want) < 60 * 59
+    assert UB.overlapping(m.where("false")).collect() == []
+
+
+def test_two_directions_of_a_pair_lie_together(spark):
+    """Within two blocks' users of each other, so that files hold their values about once; before, a slice of all pairs lay between."""
+    rng = np.random.default_rng(13)
+    rows = [(u, f"p{p}", int(c)) for u in range(120) for p, c in zip(rng.choice(12, 7, replace=False), rng.integers(1, 5, 7), strict=True)]
+    found = UB.overlapping(M.user_product_matrix(inter_df(spark, rows)), 40).collect()
+    place = {(r["user_id"], r["other_id"]): i for i, r in enumerate(found)}
+    assert len(place) == len(found) == 120 * 119
+    assert max(abs(i - place[v, u]) for (u, v), i in place.items()) <= 2 * 40
+
+
+def test_pairs_of_full_blocks_leave_in_slices():
+    """Two full blocks have 8.4 million rows, 270 MB at once: no slice holds over 2 x MIRRORED x 2048 of them."""
+    rng = np.random.default_rng(14)
+    a, b = (block(number, 2048, 49, 100, rng) for number in (0, 1))
+    sizes = [{len(x) for x in part} for part in UB.mirrored(a, b)]
+    assert all(len(s) == 1 and max(s) <= 2 * UB.MIRRORED * 2048 for s in sizes) and sum(map(max, sizes)) > 8_000_000
